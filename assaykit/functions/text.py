@@ -40,9 +40,16 @@ TITLE_RANKS = [
 WORD = r"[\p{L}\p{N}_]+"
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Drop leading and trailing white space of any kind (``trim`` drops only spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Drop leading and trailing white space of any kind (``trim`` alone drops only spaces)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:

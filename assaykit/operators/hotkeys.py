@@ -9,6 +9,17 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More tasks for row-wise work when the input has fewer splits than the cluster has cores.
+
+    Large inputs have splits enough and are returned as they are, without a shuffle. ``key`` should be a unique column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure at most ``max_rows + 1`` rows: is the whole table small enough to copy to every executor?"""
     width = F.length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.dates import experience_years, latest_title, years_rank
+from assaykit.functions.dates import career_spans, title_of, years_of, years_rank
 from assaykit.functions.text import jaccard, normalize_skill, phrase_count, skill_set, title_rank
 from assaykit.schemas import EXPERIENCE_LEVELS, PAIR_FAILURES
 
 YEARS = "_years"
 OWNED = "_owned_skills"
 TITLE = "_latest_title"
+SPANS = "_spans"
+REQUIRED = "_required"
 
 
 def with_career(pairs: DataFrame, as_of: str) -> DataFrame:
     """Add the values several labels share, so each is worked out once per row."""
-    today = F.lit(as_of).cast("date")
-    return pairs.withColumn(YEARS, experience_years(F.col("resume.experience"), today)).withColumn(
-        OWNED, skill_set(F.col("resume.skills.name"))
-    ).withColumn(TITLE, latest_title(F.col("resume.experience")))
+    required = F.transform("job.requirements.required_skills", normalize_skill)
+    return (
+        pairs.withColumns({
+            SPANS: career_spans(F.col("resume.experience"), F.lit(as_of).cast("date")),
+            OWNED: skill_set(F.col("resume.skills.name")),
+            REQUIRED: required,
+        })
+        .withColumns({YEARS: years_of(F.col(SPANS)), TITLE: F.lower(title_of(F.col(SPANS)))})
+    )
 
 
 def level_rank(level: Column) -> Column:
@@ -28,7 +35,7 @@ def level_rank(level: Column) -> Column:
 
 
 def skills_overlap() -> Column:
-    return jaccard(F.col(OWNED), skill_set(F.col("job.requirements.required_skills")))
+    return jaccard(F.col(OWNED), F.array_distinct(REQUIRED))
 
 
 def experience_mismatch() -> Column:
@@ -48,8 +55,7 @@ def seniority_mismatch() -> Column:
 
 def missing_core_skills(top: int = 3) -> Column:
     """Any of the first required skills is absent from the resume."""
-    core = F.slice("job.requirements.required_skills", 1, top)
-    return F.exists(core, lambda r: ~F.array_contains(F.col(OWNED), normalize_skill(r)))
+    return F.size(F.array_except(F.slice(REQUIRED, 1, top), F.col(OWNED))) > 0
 
 
 def hallucinated_skills() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.operators import agreement, failures
-from assaykit.plans.registry import query, sql_strings, table
+from assaykit.plans.registry import query, spread_table, sql_strings, table
 
 FLAGS = ["low_quality", "toxic", "is_short", "is_long", "duplicated", "contact"]
 EMAIL_SHAPE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -20,7 +20,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text is scanned once and left behind before the joins. Copies are counted by digest with a partial aggregate,
     and only digests that occur more than once are joined back; a very common text is one row there.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", "lang", "n_chars",
         F.sha2("text", 256).alias("digest"),
         F.col("text").rlike(EMAIL_SHAPE).cast("int").alias("has_contact"))

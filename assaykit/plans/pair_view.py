@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions.text import SKILL_ENDINGS, TITLE_RANKS, phrase_pattern, BUZZWORDS  # noqa: F401
+from assaykit.functions.text import BUZZWORDS, SKILL_ENDINGS, TITLE_RANKS
 from assaykit.operators.generation import assemble_pairs, element
-from assaykit.plans.registry import sql_list, sql_strings, table
+from assaykit.plans.registry import spread_table, sql_list, table
 from assaykit.schemas import EXPERIENCE_LEVELS, FIT_LEVELS, PROFICIENCY_LEVELS, WRITING_STYLES
 
 AS_OF = "2026-03-11"
@@ -72,7 +72,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One resume per order; its lists are made inside the row."""
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    o = table(spark, sf_dir, "orders").withColumn("d", F.add_months(F.col("o_orderdate").cast("date"), 240))
+    o = spread_table(spark, sf_dir, "orders", "o_orderkey").withColumn("d", F.add_months(F.col("o_orderdate").cast("date"), 240))
     month = lambda d: F.date_format(d, "yyyy-MM")
     full = lambda d: F.date_format(d, "yyyy-MM-dd")
     level = F.substring("o_orderpriority", 1, 1).cast("int")
@@ -125,14 +125,14 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 != 0, (k % 45) / F.lit(10.0)).alias("gpa"),
         F.array().cast("array<string>").alias("coursework"))))
     fit, style = element(FIT_LEVELS, k), element(WRITING_STYLES, F.floor(k / 5))
-    resume_id = F.format_string("res_%d", k)
+    resume_id = F.concat(F.lit("res_"), k.cast("string"))
     return o.select(
         F.col("o_custkey").alias("job_key"),
         resume_id.alias("resume_id"), fit.alias("fit_level"), style.alias("writing_style"),
         F.struct(
             F.struct(
-                F.format_string("Person %d", k).alias("name"),
-                F.when(k % 29 == 0, "bad").otherwise(F.format_string("p%d@example.com", k)).alias("email"),
+                F.concat(F.lit("Person "), k.cast("string")).alias("name"),
+                F.when(k % 29 == 0, "bad").otherwise(F.concat(F.lit("p"), k.cast("string"), F.lit("@example.com"))).alias("email"),
                 F.when(k % 11 == 0, "123").otherwise(
                     F.concat(F.lit("415-555-"), F.lpad((k % 10000).cast("string"), 4, "0"))).alias("phone"),
                 F.lit("Springfield").alias("location"), F.lit(None).cast("string").alias("linkedin"),

@@ -75,7 +75,7 @@ SELECT pair_id, latest.title, title_rank, years_rank FROM base JOIN ranks USING
 def title_rank(spark, sf_dir):
     career = labels.with_career(pairs(spark, sf_dir), AS_OF)
     return career.select(
-        pid(), F.lower(labels.TITLE).alias("title"), text.title_rank(F.col(labels.TITLE)).alias("title_rank"),
+        pid(), F.col(labels.TITLE).alias("title"), text.title_rank(F.col(labels.TITLE)).alias("title_rank"),
         dates.years_rank(F.col(labels.YEARS)).alias("years_rank"))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.operators.hotkeys import spread
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 PLANS: dict[str, Plan] = {}
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A given table for row-wise heavy work: a single small file is spread over the cores first."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def sql_list(values: list[str]) -> str:
     """A list of strings as a SQL literal."""
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"

@@ -25,6 +25,8 @@ def local_session(cores: str = "*", memory: str = "16g", partitions: int = 8) ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # call-site capture costs driver round trips per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
