@@ -57,9 +57,9 @@ def is_blank(c: Column) -> Column:
 
 
 def normalize_skill(c: Column) -> Column:
-    """Lower-case skill name without one trailing version and one trailing file-like ending."""
-    no_version = F.regexp_replace(F.lower(strip(c)), r"(?U)\s+v?\d[\d.]*$", "")
-    return strip(F.regexp_replace(no_version, r"\.(" + "|".join(SKILL_ENDINGS) + ")$", ""))
+    """Lower-case skill name without one trailing version and, before it, one trailing file-like ending."""
+    tail = r"(?U)(\.(" + "|".join(SKILL_ENDINGS) + r"))?(\s+v?\d[\d.]*)?$"
+    return strip(F.regexp_replace(F.lower(strip(c)), tail, ""))
 
 
 def skill_set(names: Column) -> Column:

@@ -17,7 +17,13 @@ BLOCK_ROWS = 4096
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
     """Distinct terms per query: rows (query, term)."""
-    return queries.select(query, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    return term_rows(queries, F.array_distinct(words(F.col(text))), query)
+
+
+def term_rows(df: DataFrame, terms: Column, *keep: str | Column, name: str = "term") -> DataFrame:
+    """One row per array element. The outer form keeps Catalyst from inferring a "not empty" filter that would cut the
+    text into words a second time below."""
+    return df.select(*keep, F.explode_outer(terms).alias(name)).where(F.col(name).isNotNull())
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,7 +40,7 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabular
     of a document sit in one task, so the partial aggregate sends one row per document and term to the shuffle.
     """
     tokens = docs.select(doc, words(F.col(text)).alias("_t"))
-    terms = tokens.select(doc, F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+    terms = term_rows(tokens, F.col("_t"), doc, F.size("_t").alias("doc_len"))
     if vocabulary is not None:
         terms = spread_join(terms, vocabulary.select("term").distinct(), ["term"], small_fits=vocabulary_fits,
                             spread_by=F.col(doc), how="left_semi")
@@ -222,18 +228,18 @@ def contains_text(items: DataFrame, docs: DataFrame, item: str = "query_id", doc
         spaced("_w").alias("_item"), "_len")
     lengths = [r[0] for r in wanted.select("_len").distinct().collect()]  # at most `anchor` numbers
     tokens = docs.select(doc, words(F.col(text)).alias("_w"))
-    runs = [
-        F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i, n=n: F.xxhash64(
-            F.array_join(F.slice("_w", i, F.lit(n)), " "), F.lit(n)))
-        for n in lengths
-    ]
-    guarded = [F.when(F.size("_w") >= n, r).otherwise(F.array().cast("array<bigint>")) for n, r in zip(lengths, runs)]
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(n)), " "), F.lit(n)))
+        return F.when(F.size("_w") >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+
     empty = F.array().cast("array<bigint>")
-    hashed = tokens.select(doc, spaced("_w").alias("_doc"), F.array_distinct(F.concat(empty, *guarded)).alias("_hs"))
+    hashed = tokens.select(doc, spaced("_w").alias("_doc"), F.array_distinct(F.concat(empty, *[runs(n) for n in lengths])).alias("_hs"))
     fits = fits_broadcast(wanted)
     keys = wanted.select("_h").distinct()
     # keep the text out of the explode: first find (doc, hash), then bring the text of the few matching documents
-    exploded = hashed.select(doc, F.explode("_hs").alias("_h"))
+    exploded = term_rows(hashed, F.col("_hs"), doc, name="_h")
     found = spread_join(exploded, keys, ["_h"], small_fits=fits, spread_by=F.col(doc), how="left_semi")
     candidates = spread_join(found, wanted, ["_h"], small_fits=fits, spread_by=F.col(doc)).select(item, doc, "_item")
     texts = hashed.select(doc, "_doc")
