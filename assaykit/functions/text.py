@@ -37,7 +37,7 @@ TITLE_RANKS = [
     (4, ["director", "vp ", "vice president", "head of", "chief", "cto", "ceo"]),
 ]
 
-WORD = r"[\p{L}\p{N}_]+"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 # Every character that counts as white space at the ends of a text.
@@ -97,7 +97,7 @@ def title_rank(title: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-case word tokens: runs of letters, digits and underscore in any script."""
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(c), NOT_WORD, -1), "")
 
 
 def spaced_words(c: Column) -> Column:

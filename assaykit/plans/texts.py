@@ -181,14 +181,12 @@ def chunk_pages(spark, sf_dir):
     turns = pages(spark, sf_dir)
     # a dialogue beyond one text segment would be cut per segment; offsets are shifted by the segment's start
     texts = full_text(turns).withColumn("part", F.struct("document_id", "segment", F.col("start_char").alias("base")))
+    number = F.col("part.segment") * 10_000_000 + F.col("chunk_index")
     rows = chunking.chunk_fixed(texts, "part", size=40, overlap=8).select(
-        F.col("part.document_id").alias("document_id"), F.col("part.segment").alias("segment"), "chunk_index",
+        F.col("part.document_id").alias("document_id"), number.cast("int").alias("chunk_index"),
         (F.col("start_char") + F.col("part.base")).alias("start_char"),
         (F.col("end_char") + F.col("part.base")).alias("end_char"))
-    first_segment = rows.where("segment = 0").drop("segment")
-    later = rows.where("segment > 0").withColumn(
-        "chunk_index", (F.col("segment") * 10_000_000 + F.col("chunk_index")).cast("int")).drop("segment")
-    return sections.with_page_numbers(first_segment.unionByName(later), page_offsets(turns))
+    return sections.with_page_numbers(rows, page_offsets(turns))
 
 
 SECTIONS_SQL = f"""
