@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.text import words
@@ -39,8 +39,9 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabular
     With a ``vocabulary`` (column ``term``) only its terms are kept, and they are filtered before counting. All words
     of a document sit in one task, so the partial aggregate sends one row per document and term to the shuffle.
     """
-    tokens = docs.select(doc, words(F.col(text)).alias("_t"))
-    terms = term_rows(tokens, F.col("_t"), doc, F.size("_t").alias("doc_len"))
+    # the length is worked out before the explode, or every term row would carry its document's whole word array
+    tokens = docs.select(doc, words(F.col(text)).alias("_t")).withColumn("doc_len", F.size("_t"))
+    terms = term_rows(tokens, F.col("_t"), doc, "doc_len")
     if vocabulary is not None:
         terms = spread_join(terms, vocabulary.select("term").distinct(), ["term"], small_fits=vocabulary_fits,
                             spread_by=F.col(doc), how="left_semi")
@@ -173,21 +174,29 @@ def retrieve_vector(queries: DataFrame, corpus: DataFrame, k: int = 10, query: s
 
 # ---------------------------------------------------------------- fusion
 
-def min_max(scores: DataFrame, query: str = "query_id", score: str = "score", out: str = "norm") -> DataFrame:
+def min_max(scores: DataFrame, query: str = "query_id", score: str = "score", out: str = "norm",
+            bounded: bool = False) -> DataFrame:
     """Scale scores to [0, 1] within each query's result list; a list of equal scores becomes 1.
 
-    Limits come from an aggregate with map-side combine, joined back, so a very long list is not sorted in one task.
+    Limits come from an aggregate with map-side combine, joined back, so a very long list is not gathered in one task.
+    ``bounded`` lists (the output of a top-k, already partitioned by query) take the limits from a window instead,
+    which needs no further shuffle.
     """
-    limits = scores.groupBy(query).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    if bounded:
+        list_of = Window.partitionBy(query)
+        limited = scores.withColumn("_lo", F.min(score).over(list_of)).withColumn("_hi", F.max(score).over(list_of))
+    else:
+        limits = scores.groupBy(query).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+        limited = scores.join(limits, query)
     scaled = F.coalesce(F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(1.0))
-    return scores.join(limits, query).withColumn(out, scaled).drop("_lo", "_hi")
+    return limited.withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int, alpha: float = 0.5, query: str = "query_id",
          doc: str = "doc_id", scale_vector: bool = True, digits: int = DIGITS) -> DataFrame:
-    """alpha * vector + (1 - alpha) * lexical over both result lists; a missing side counts 0."""
-    lex = min_max(lexical.select(query, doc, "score"), query, out="lex").select(query, doc, "lex")
-    scaled = min_max(vector.select(query, doc, "score"), query, out="vec") if scale_vector else (
+    """alpha * vector + (1 - alpha) * lexical over both top-k lists; a missing side counts 0."""
+    lex = min_max(lexical.select(query, doc, "score"), query, out="lex", bounded=True).select(query, doc, "lex")
+    scaled = min_max(vector.select(query, doc, "score"), query, out="vec", bounded=True) if scale_vector else (
         vector.select(query, doc, F.col("score").alias("vec")))
     both = lex.join(scaled.select(query, doc, "vec"), [query, doc], "full")
     blend = alpha * F.coalesce("vec", F.lit(0.0)) + (1 - alpha) * F.coalesce("lex", F.lit(0.0))
@@ -236,11 +245,8 @@ def contains_text(items: DataFrame, docs: DataFrame, item: str = "query_id", doc
 
     empty = F.array().cast("array<bigint>")
     hashed = tokens.select(doc, spaced("_w").alias("_doc"), F.array_distinct(F.concat(empty, *[runs(n) for n in lengths])).alias("_hs"))
-    fits = fits_broadcast(wanted)
-    keys = wanted.select("_h").distinct()
-    # keep the text out of the explode: first find (doc, hash), then bring the text of the few matching documents
+    # the text stays out of the explode; only the few candidates get it back
     exploded = term_rows(hashed, F.col("_hs"), doc, name="_h")
-    found = spread_join(exploded, keys, ["_h"], small_fits=fits, spread_by=F.col(doc), how="left_semi")
-    candidates = spread_join(found, wanted, ["_h"], small_fits=fits, spread_by=F.col(doc)).select(item, doc, "_item")
-    texts = hashed.select(doc, "_doc")
-    return candidates.join(texts, doc).where(F.col("_doc").contains(F.col("_item"))).select(item, doc)
+    candidates = spread_join(exploded, wanted.drop("_len"), ["_h"], small_fits=fits_broadcast(wanted), spread_by=F.col(doc))
+    matched = candidates.join(hashed.select(doc, "_doc"), doc).where(F.col("_doc").contains(F.col("_item")))
+    return matched.select(item, doc)

@@ -13,6 +13,7 @@ from assaykit.operators.chunking import ChunkConfig
 from assaykit.operators.hotkeys import top_k
 from assaykit.plans.registry import query, spread_table, table
 from assaykit.plans.texts import hashed_sql, sentences_sql, windows_sql, words_sql
+from assaykit.session import shared_dir
 
 K = 10
 KS = irmetrics.K_VALUES
@@ -280,17 +281,22 @@ EXPERIMENTS = {"bm25": None, "vector": None, **{f"hybrid_{a}": a for a in ALPHAS
 
 
 def document_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean metrics of lexical, vector and blended retrieval over whole documents."""
+    """Mean metrics of lexical, vector and blended retrieval over whole documents.
+
+    The two basic result lists, at most depth rows per query, are stored once and blended at every alpha.
+    """
     q, d = items(spark, sf_dir), corpus(spark, sf_dir)
     depth = retrieval.candidate_depth(K)
-    lexical = retrieval.retrieve_bm25(q, d, depth)
-    vector = retrieval.retrieve_vector(hashed(q, "query_id"), hashed(d, "doc_id"), depth)
+    shared_dir(spark)
+    lexical = retrieval.retrieve_bm25(q, d, depth).checkpoint()
+    vector = retrieval.retrieve_vector(hashed(q, "query_id"), hashed(d, "doc_id"), depth).checkpoint()
     lists = {"bm25": lexical.where(F.col("rank") <= K), "vector": vector.where(F.col("rank") <= K)}
     lists.update({f"hybrid_{a}": retrieval.fuse(lexical, vector, K, a) for a in ALPHAS})
     found = reduce(DataFrame.unionByName, [
         x.select("query_id", "doc_id", "rank", F.lit(name).alias("experiment_id")) for name, x in lists.items()])
     everyone = q.select("query_id", F.explode(F.array(*[F.lit(n) for n in lists])).alias("experiment_id"))
-    per_query = irmetrics.query_metrics(found, relevant(spark, sf_dir), everyone, group=["experiment_id"])
+    truth = relevant(spark, sf_dir).checkpoint()
+    per_query = irmetrics.query_metrics(found, truth, everyone, group=["experiment_id"])
     return rounded(irmetrics.mean_metrics(per_query, ["experiment_id"]), METRICS)
 
 
