@@ -46,6 +46,8 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+ASCII_SPACE = " \t\n\x0b\x0c\r"
+
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing white space of any kind (``trim`` alone drops only spaces)."""
@@ -111,5 +113,10 @@ def sentence_pieces(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Drop ASCII white space at both ends (the classes the word and sentence cutters use)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Drop ASCII white space at both ends (the characters the word and sentence cutters use)."""
+    return F.btrim(c, F.lit(ASCII_SPACE))
+
+
+def leading_space(c: Column) -> Column:
+    """Number of ASCII white-space characters in front."""
+    return F.length(c) - F.length(F.ltrim(c, F.lit(ASCII_SPACE)))

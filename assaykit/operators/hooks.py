@@ -37,8 +37,8 @@ def hashed_terms(dim: int = 64) -> Embedder:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            for term in _WORD.findall((text or "").lower()):
-                out[i, term_bucket(term, dim)] += 1
+            buckets = [term_bucket(term, dim) for term in _WORD.findall((text or "").lower())]
+            out[i] = np.bincount(buckets, minlength=dim) if buckets else 0
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0).astype(np.float32)
 

@@ -107,10 +107,19 @@ def _best(ids: np.ndarray, matrix: np.ndarray, q_ids: np.ndarray, q_matrix: np.n
             matrix, q_matrix = _unit_rows(matrix), _unit_rows(q_matrix)
         scores = q_matrix @ matrix.T
     scores = np.round(scores, digits)
-    by_id = np.argsort(ids, kind="stable")
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")][:, :k]
-    rows = np.arange(len(q_ids))[:, None]
-    return np.repeat(q_ids, order.shape[1]), ids[order].ravel(), scores[rows, order].ravel()
+    if scores.shape[1] > k:  # everything at or above the k-th best, ties included
+        limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero(scores >= limit[:, None])
+    else:
+        rows, cols = np.indices(scores.shape).reshape(2, -1)
+    id_order = np.empty(len(ids), dtype=np.int64)
+    id_order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((id_order[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - first < k
+    rows, cols = rows[keep], cols[keep]
+    return q_ids[rows], ids[cols], scores[rows, cols]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
