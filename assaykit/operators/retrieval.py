@@ -13,6 +13,7 @@ from assaykit.operators.hotkeys import fits_broadcast, spread_join, top_k
 K1, B = 1.5, 0.75
 DIGITS = 6
 BLOCK_ROWS = 4096
+CELL_ROWS = 65_536
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -159,13 +160,14 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, query: str = "q
         return c.mapInPandas(search, schema)
 
     spark = corpus.sparkSession
-    cells = corpus_cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the number of cells follows the corpus, so that a task never holds more than about CELL_ROWS of its rows
+    cells = corpus_cells or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CELL_ROWS))
     blocks = -(-queries.count() // block_rows)
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every_cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    left = c.withColumn("_cell", F.pmod(F.xxhash64(doc), F.lit(cells))).withColumn("_block", every_block)
-    right = q.withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).withColumn(
-        "_cell", every_cell.cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spot = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = c.withColumn("_cell", spot(doc, cells)).withColumn("_block", every(blocks))
+    right = q.withColumn("_block", spot(query, blocks)).withColumn("_cell", every(cells))
 
     def search_cell(cell: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if cell.empty or block.empty:

@@ -37,7 +37,9 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType, mis
 def read_with_quarantine(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good records, raw bad lines) instead of failing."""
     full = T.StructType([*_schema(schema).fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    df = lines.select(F.from_json("value", full, options).alias("r")).select("r.*")
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
