@@ -242,17 +242,20 @@ def contains_text(items: DataFrame, docs: DataFrame, item: str = "query_id", doc
     checked in full. The items' anchors are few; when measured as small they are broadcast and the corpus stays put.
     """
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    wanted = items.select(item, words(F.col(text)).alias("_w")).where(F.size("_w") > 0).select(
-        item, F.least(F.size("_w"), F.lit(anchor)).alias("_len"), "_w").select(
-        item, F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("_len")), " "), "_len").alias("_h"),
-        spaced("_w").alias("_item"), "_len")
+    hashes_of = F.transform("_w", lambda w: F.xxhash64(w))
+    run_hash = lambda start, n: F.xxhash64(F.slice("_n", start, n))
+    wanted = (
+        items.select(item, words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+        .select(item, "_w", hashes_of.alias("_n"), F.least(F.size("_w"), F.lit(anchor)).alias("_len"))
+        .select(item, run_hash(F.lit(1), F.col("_len")).alias("_h"), spaced("_w").alias("_item"), "_len")
+    )
     lengths = [r[0] for r in wanted.select("_len").distinct().collect()]  # at most `anchor` numbers
-    tokens = docs.select(doc, words(F.col(text)).alias("_w"))
+    tokens = docs.select(doc, words(F.col(text)).alias("_w")).withColumn("_n", hashes_of)
 
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(n)), " "), F.lit(n)))
-        return F.when(F.size("_w") >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+        starts = F.sequence(F.lit(1), F.size("_n") - n + 1)
+        hashes = F.transform(starts, lambda i: run_hash(i, F.lit(n)))
+        return F.when(F.size("_n") >= n, hashes).otherwise(F.array().cast("array<bigint>"))
 
     empty = F.array().cast("array<bigint>")
     hashed = tokens.select(doc, spaced("_w").alias("_doc"), F.array_distinct(F.concat(empty, *[runs(n) for n in lengths])).alias("_hs"))

@@ -234,7 +234,9 @@ _BM25_METRICS_SQL = f"WITH {QUERIES_SQL}, {bm25_sql()}, {REL_SQL}, top AS ({top_
 def bm25_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = items(spark, sf_dir)
     found = retrieval.retrieve_bm25(q, corpus(spark, sf_dir), K)
-    return irmetrics.query_metrics(found, relevant(spark, sf_dir), q)
+    shared_dir(spark)
+    truth = relevant(spark, sf_dir).checkpoint()  # used for both the hits and the counts
+    return irmetrics.query_metrics(found, truth, q)
 
 
 @query("ir_metrics", _BM25_METRICS_SQL + f"""
