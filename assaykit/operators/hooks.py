@@ -13,10 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.session import ship_package
+
 Embedder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[str]], Iterable[float | None]]
 Completer = Callable[[list[str], int], list]
@@ -45,6 +47,13 @@ def hashed_terms(dim: int = 64) -> Embedder:
     return embed
 
 
+def prepare_workers() -> None:
+    """The workers need this package before any hook runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def _chunks(texts: list[str], size: int) -> Iterator[list[str]]:
     for i in range(0, len(texts), size):
         yield texts[i : i + size]
@@ -52,6 +61,7 @@ def _chunks(texts: list[str], size: int) -> Iterator[list[str]]:
 
 def embed(text: Column, embedder: Embedder, batch_size: int = BATCH) -> Column:
     """Embedding column (array<float>); the embedder sees at most ``batch_size`` texts per call."""
+    prepare_workers()
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
@@ -63,6 +73,7 @@ def embed(text: Column, embedder: Embedder, batch_size: int = BATCH) -> Column:
 
 def score(text: Column, scorer: Scorer, batch_size: int = BATCH) -> Column:
     """Score column (double). A batch whose scorer raises is retried row by row; a row that raises gets NULL."""
+    prepare_workers()
 
     @F.pandas_udf(T.DoubleType())
     def run(texts: pd.Series) -> pd.Series:

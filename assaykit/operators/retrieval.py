@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.text import words
 from assaykit.operators.hotkeys import fits_broadcast, spread_join, top_k
+from assaykit.session import ship_package
 
 K1, B = 1.5, 0.75
 DIGITS = 6
@@ -137,6 +138,7 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, query: str = "q
     are sent to every task, and the corpus is not moved. More queries are cut into blocks of about ``block_rows`` and
     the corpus into cells; each (cell, block) pair is one task, and nothing is gathered on the driver.
     """
+    ship_package(corpus.sparkSession)
     q = queries.select(query, F.col(vector).alias("_v"))
     c = corpus.select(doc, F.col(vector).alias("_v"))
     q_type, d_type = queries.schema[query].dataType.simpleString(), corpus.schema[doc].dataType.simpleString()

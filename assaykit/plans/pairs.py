@@ -51,14 +51,14 @@ def skill_normalize(spark, sf_dir):
     return raw.groupBy(text.normalize_skill(F.col("raw")).alias("skill")).agg(F.count("*").alias("n"))
 
 
-@query("skill_jaccard", PAIRS_SQL + "SELECT pair_id, skills_overlap, n_own AS n_skills FROM lab JOIN overlap USING (k)")
+@query("skill_jaccard", PAIRS_SQL + "SELECT pair_id, skills_overlap, n_own::INT AS n_skills FROM lab JOIN overlap USING (k)")
 def skill_jaccard(spark, sf_dir):
     career = labels.with_career(pairs(spark, sf_dir), AS_OF)
     return career.select(pid(), labels.skills_overlap().alias("skills_overlap"), F.size(labels.OWNED).alias("n_skills"))
 
 
 @query("date_parse", PAIRS_SQL + f"""
-SELECT pair_id, i AS pos, start_date, strftime(sd, '%Y-%m-%d') AS parsed FROM ex JOIN base USING (k)""")
+SELECT pair_id, i::INT AS pos, start_date, strftime(sd, '%Y-%m-%d') AS parsed FROM ex JOIN base USING (k)""")
 def date_parse(spark, sf_dir):
     rows = pairs(spark, sf_dir).select(pid(), F.posexplode("resume.experience.start_date").alias("pos", "start_date"))
     return rows.withColumn("parsed", F.date_format(dates.parse_date(F.col("start_date")), "yyyy-MM-dd"))
@@ -79,7 +79,7 @@ def title_rank(spark, sf_dir):
         dates.years_rank(F.col(labels.YEARS)).alias("years_rank"))
 
 
-@query("buzzword_count", PAIRS_SQL + "SELECT pair_id, n_buzz FROM base JOIN buzz USING (k)")
+@query("buzzword_count", PAIRS_SQL + "SELECT pair_id, n_buzz::INT AS n_buzz FROM base JOIN buzz USING (k)")
 def buzzword_count(spark, sf_dir):
     return pairs(spark, sf_dir).select(pid(), labels.buzzword_count().alias("n_buzz"))
 
@@ -125,7 +125,7 @@ def failure_histogram(spark, sf_dir):
 # ---------------------------------------------------------------- validation
 
 @query("pair_validation", PAIRS_SQL + """
-SELECT pair_id, count(err.k) = 0 AS is_valid, count(err.k) AS error_count,
+SELECT pair_id, count(err.k) = 0 AS is_valid, count(err.k)::INT AS error_count,
   coalesce(string_agg(field_path || '=' || category || ':' || coalesce(invalid_value, '') || ':' || message, '; '
     ORDER BY rule, pos), '') AS errors
 FROM base LEFT JOIN err ON base.k = err.k GROUP BY pair_id""")
@@ -138,7 +138,7 @@ def pair_validation(spark, sf_dir):
 
 
 @query("pair_errors_by_category", PAIRS_SQL + """
-SELECT pair_id, category, count(*) AS n_errors, string_agg(message, '; ' ORDER BY rule, pos) AS messages
+SELECT pair_id, category, count(*)::INT AS n_errors, string_agg(message, '; ' ORDER BY rule, pos) AS messages
 FROM err JOIN base ON err.k = base.k GROUP BY pair_id, category""")
 def pair_errors_by_category(spark, sf_dir):
     keyed = validated(spark, sf_dir).select(pid(), "errors")
@@ -251,7 +251,7 @@ def label_last_wins(spark, sf_dir):
 
 @query("unmatched_repairs", PAIRS_SQL + """
 , inv AS (SELECT DISTINCT k FROM err), val AS (SELECT k, count(*) AS n FROM err WHERE rule <> 6 GROUP BY k)
-SELECT pair_id, coalesce(n, 0) AS known_errors, n IS NULL AS given_up
+SELECT pair_id, coalesce(n, 0)::INT AS known_errors, n IS NULL AS given_up
 FROM inv JOIN base ON inv.k = base.k LEFT JOIN val ON inv.k = val.k""")
 def unmatched_repairs(spark, sf_dir):
     """The stored validations lack those whose only error is the phone; these pairs cannot be repaired."""

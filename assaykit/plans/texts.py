@@ -42,7 +42,7 @@ def offsets(spark, sf_dir):
 
 
 @query("full_text", """
-SELECT conv_id AS document_id, 0 AS segment, 0 AS start_char, string_agg(text, chr(10) ORDER BY turn) AS text
+SELECT conv_id AS document_id, 0 AS segment, 0::BIGINT AS start_char, string_agg(text, chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")
 def whole_text(spark, sf_dir):
     return full_text(pages(spark, sf_dir))
@@ -162,7 +162,7 @@ CONFIG = ChunkConfig("fixed_size", chunk_size=64, overlap=16)
 
 @query("chunk_records", f"""
 SELECT sha256(doc_id::VARCHAR || '|{CONFIG.cache_key}|' || chunk_index) AS id, doc_id AS document_id, chunk_index,
-  start_char, end_char, len(text) AS n_chars, 'fixed_size' AS method, '{CONFIG.label}' AS config
+  start_char, end_char, len(text)::INT AS n_chars, 'fixed_size' AS method, '{CONFIG.label}' AS config
 FROM ({windows_sql(words_sql('documents'), 64, 16)})""")
 def chunk_records(spark, sf_dir):
     chunks = chunking.create_chunks(documents(spark, sf_dir), CONFIG, "doc_id")

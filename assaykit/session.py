@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +37,21 @@ def local_session(cores: str = "*", memory: str = "16g", partitions: int = 8) ->
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the application, once. Spark hands the archive to every executor."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    parent, name = os.path.split(here)
+    base = os.path.join(tempfile.mkdtemp(prefix="assaykit-zip-"), name)
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", parent, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
