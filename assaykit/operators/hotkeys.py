@@ -56,7 +56,7 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
 
 
 def running_total(
-    df: DataFrame, group: str, position: str, value: Column, out: str, block: int = 1024
+    df: DataFrame, group: str, position: str, value: Column, out: str, block: int = 65_536
 ) -> DataFrame:
     """Sum of ``value`` over all earlier positions of the group (0 for the first one).
 
