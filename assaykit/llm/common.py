@@ -20,13 +20,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back._stored_path = path
+    return back
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the shared folder, for small tables of a loop. Spark removes it when it is no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def prepare(spark: SparkSession) -> None:

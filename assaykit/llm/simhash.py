@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import ascii_words, cut, prepare, stored, text_bytes
+from assaykit.llm.common import ascii_words, prepare, stored, text_bytes
 from assaykit.llm.components import components
 
 # Odd multipliers that derive further 64-bit hashes of a shingle from its first one.
@@ -114,7 +114,7 @@ def close_links(prints: DataFrame, max_distance: int = 2, blocks: int | None = N
                      for i, c in enumerate(choices)])
     rows = prints.select("f", F.explode(keys).alias("key")).select("f", "key.t", "key.k")
     crowd = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(rows.join(crowd, ["t", "k"]))
+    shared = stored(rows.join(crowd, ["t", "k"]), "shared-blocks")
 
     near = shared.where(F.col("n") <= BUCKET).groupBy("t", "k").agg(F.sort_array(F.collect_list("f")).alias("fs"))
     pairs = F.filter(
