@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import elias_fano, pfair, simhash
+from assaykit.llm import decontam, elias_fano, licenses, pfair, simhash, winnow
 from assaykit.llm.common import ORACLES, PLANS
 from assaykit.session import fresh_path
 
@@ -51,3 +51,59 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+')"
+
+
+@query("op4_benchmark_leaks", rf"""
+WITH d AS (SELECT doc_id, {WORDS} w FROM documents),
+i AS (SELECT item_id, {WORDS} w FROM benchmark),
+cut AS (SELECT item_id, w, least(5, len(w)) k FROM i WHERE len(w) > 0),
+grams AS (SELECT item_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2),
+    lambda x: array_to_string(w[x:x + k - 1], ' ')))) s FROM cut),
+sizes AS (SELECT item_id, count(*) n FROM grams GROUP BY 1),
+places AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') s
+    FROM d, (SELECT DISTINCT k FROM cut) ks, unnest(range(1, len(w) - k + 2)) t(p)),
+hits AS (SELECT doc_id, item_id, count(DISTINCT s) n_shared, min(p) - 1 first_word
+    FROM places JOIN grams USING (k, s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_shingles, n_shared, n_shared / n AS containment, first_word
+FROM hits JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n
+""")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_line_dedup", r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents),
+w AS (SELECT doc_id, i, ls[i:i + 1] c FROM l, unnest(range(1, len(ls))) t(i)
+    WHERE trim(ls[i], ' ') <> '' OR trim(ls[i + 1], ' ') <> ''),
+again AS (SELECT doc_id, i, row_number() OVER (PARTITION BY c ORDER BY doc_id, i) r FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) n FROM again WHERE r > 1),
+island AS (SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) g FROM gone),
+runs AS (SELECT doc_id, min(n) a, max(n) b, count(*) m FROM island GROUP BY doc_id, g),
+per AS (SELECT doc_id, sum(m)::BIGINT n_removed, string_agg((a - 1) || '-' || (b - 1), ',' ORDER BY a) removed_runs
+    FROM runs GROUP BY 1),
+lines AS (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) n FROM l),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) t FROM lines ANTI JOIN gone USING (doc_id, n) GROUP BY 1)
+SELECT l.doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_runs, '') AS removed_runs,
+    md5(coalesce(t, '')) AS kept_md5
+FROM l LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return winnow.without_repeats(docs).select("doc_id", "n_lines", "n_removed", "removed_runs",
+                                               F.md5("kept_text").alias("kept_md5"))
+
+
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.array_distinct(F.transform("places", lambda p: p.label))
+    words = F.transform("places", lambda p: p.word)
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, "found")), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.col("coverage")).alias("score"))
