@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontam, elias_fano, licenses, pfair, simhash, winnow
+from assaykit.llm import decontam, elias_fano, licenses, pfair, secrets, simhash, winnow
 from assaykit.llm.common import ORACLES, PLANS
 from assaykit.session import fresh_path
 
@@ -107,3 +107,16 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(words).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, "found")), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.col("coverage")).alias("score"))
+
+
+@query("op10_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.filter("spans", lambda s: s.kind != "model")
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+                        secrets.listed("spans").alias("spans"))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("spans", lambda s: s.kind == kind)
