@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontam, elias_fano, licenses, pfair, secrets, simhash, winnow
+from assaykit.llm import decontam, elias_fano, licenses, pfair, secrets, simhash, suffix_tree, winnow
 from assaykit.llm.common import ORACLES, PLANS
 from assaykit.session import fresh_path
 
@@ -120,3 +120,8 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _of_kind(kind: str) -> Column:
     return F.filter("spans", lambda s: s.kind == kind)
+
+
+@query("op2_suffix_tree")
+def suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
