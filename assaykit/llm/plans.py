@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontam, elias_fano, licenses, pfair, secrets, simhash, suffix_tree, winnow
+from assaykit.llm import decontam, elias_fano, graph_search, licenses, pfair, secrets, simhash, suffix_tree, winnow
 from assaykit.llm.common import ORACLES, PLANS
 from assaykit.session import fresh_path
 
@@ -125,3 +125,8 @@ def _of_kind(kind: str) -> Column:
 @query("op2_suffix_tree")
 def suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_graph_search")
+def graph_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
