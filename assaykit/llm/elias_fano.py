@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.llm.common import prepare
+from assaykit.operators.hotkeys import fits_broadcast
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 512
-CACHED = 300_000
+CACHED = 350_000
+SLICE = 512
 HEAD = struct.Struct("<4sBQQ")
 MAGIC = b"EFB1"
 
@@ -106,46 +109,58 @@ class ChunkEncoder:
 
     Byte-level BPE splits a text before it merges, and always in front of a single space between two other characters. A text
     is therefore cut at these spaces and its ids are those of its chunks. Texts with other runs of white space around a
-    space are encoded whole. The first ``CACHED`` chunks stay for the life of the worker, further ones for one batch.
+    space are encoded whole. The first ``CACHED`` chunks stay for the life of the worker, and about as many recent ones.
+    A chunk is keyed by what follows its space; the first chunk of a text has none and is keyed by a tuple.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.id_bytes = np.zeros(max(pieces.values()) + 1, np.int64)
+        # in the byte-level alphabet a character stands for a byte; special strings stand for themselves
+        self.id_bytes[list(pieces.values())] = [len(p) for p in pieces]
+        self.kept: dict[str | tuple[str], bytes] = {}
+        self.recent: dict[str | tuple[str], bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that follow a space: many in one call, told apart by the bytes that each id stands for."""
+        out: list[bytes] = []
+        runs = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
+        found = self.tokenizer.encode_batch_fast(["".join([" " + c for c in run]) for run in runs], add_special_tokens=False)
+        for run, encoding in zip(runs, found, strict=True):
+            ids = np.array(encoding.ids, dtype=self.dtype)
+            sizes = np.array([len(c.encode()) + 1 for c in run])
+            last = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes)) + 1
+            data, ends = ids.tobytes(), (last * self.dtype.itemsize).tolist()
+            out += [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _RUNS.search(t) else t.split(" ") for t in texts]
+        cut: list[list | None] = [None if _RUNS.search(t) else t.split(" ") for t in texts]
+        kept, wanted = self.kept, set()
         for pieces in cut:
-            if pieces:
-                pieces[1:] = [" " + p for p in pieces[1:]]
-        wanted = {p for pieces in cut if pieces for p in pieces if p not in self.kept}
-        known = self.kept
-        if wanted:
-            new = list(wanted)
-            fresh = dict(zip(new, self._ids(new), strict=True))
-            if len(self.kept) < CACHED:
-                self.kept.update(list(fresh.items())[: CACHED - len(self.kept)])
-            known = _Both(self.kept, fresh)
-        whole = iter(self._ids([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-class _Both(dict):
-    """The kept chunks, with those of one batch behind them."""
-
-    def __init__(self, kept: dict, fresh: dict):
-        super().__init__(fresh)
-        self.kept = kept
-
-    def __missing__(self, key: str) -> bytes:
-        return self.kept[key]
+            if pieces is not None:
+                pieces[0] = (pieces[0],)
+                wanted.update(set(pieces).difference(kept))
+        if len(self.recent) > CACHED:
+            self.recent = {}
+        recent = self.recent
+        new = list(wanted.difference(recent))
+        spaced, first = [p for p in new if isinstance(p, str)], [p for p in new if isinstance(p, tuple)]
+        fresh = dict(zip(spaced, self._spaced(spaced), strict=True))
+        fresh.update(zip(first, self._whole([p[0] for p in first]), strict=True))
+        (kept if len(kept) < CACHED else recent).update(fresh)
+        whole = iter(self._whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
+        return [next(whole) if pieces is None else b"".join([kept[p] if p in kept else recent[p] for p in pieces])
+                for pieces in cut]
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -205,8 +220,8 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, id_col: str
                 names=SEGMENT.names)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                some = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, SLICE):
+                some = batch.slice(lo, SLICE)
                 ids = some.column("_id").to_pylist()
                 for doc_id, blob in zip(ids, encoder.encode(some.column("_text").to_pylist()), strict=True):
                     doc_ids.append(doc_id)
@@ -232,7 +247,8 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
         "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     bases = sizes.join(parts, "part").select(
         "part", "seq", (F.col("_before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("base"))
-    return segments.join(bases, ["part", "seq"])
+    # one small row per segment of about a million ids
+    return segments.join(F.broadcast(bases) if fits_broadcast(sizes) else bases, ["part", "seq"])
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
