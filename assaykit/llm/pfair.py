@@ -83,6 +83,8 @@ def numbered(docs: DataFrame, id_col: str, source: str) -> DataFrame:
     starts = rows.groupBy("_source", "_b").agg(F.count("*").alias("_c")).select(
         "_source", "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_source", "_b").orderBy("_o", id_col)
+    # at most 4096 rows per source
+    starts = F.broadcast(starts) if fits_broadcast(starts) else starts
     return (rows.withColumn("_r", F.row_number().over(inside) - 1).join(starts, ["_source", "_b"])
             .withColumn("_n", F.col("_before") + F.col("_r")).drop("_o", "_b", "_r", "_before"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontam, elias_fano, graph_search, licenses, pfair, secrets, simhash, suffix_tree, winnow
+from assaykit.llm import decontam, elias_fano, graph_search, langid, licenses, pfair, secrets, simhash, suffix_tree, winnow
 from assaykit.llm.common import ORACLES, PLANS
 from assaykit.session import fresh_path
 
@@ -130,3 +130,10 @@ def suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_graph_search")
 def graph_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op1_page_language")
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = langid.learn_profiles(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), profiles, ["page_id"], F.col("html"), langid.host_of(F.col("url")),
+                           langid.declared_in(F.col("html")), markup=True)
