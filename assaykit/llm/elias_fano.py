@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,6 +238,15 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, id_col: str
     ranged.select("_id", "_text").mapInArrow(kernel, SEGMENT).write.parquet(path)
 
 
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that give the order of its rows in the files it is read from; none if it is not read from files."""
+    place = {"_file": "_metadata.file_name", "_place": "_metadata.row_index"}
+    try:
+        return docs.withColumns({c: F.col(source) for c, source in place.items()}), list(place)
+    except AnalysisException:
+        return docs, []
+
+
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
     """Segments with ``base``, the ids before each: totals per part first, so that one task sees one row per part only."""
     segments = spark.read.parquet(path)

@@ -216,3 +216,18 @@ def identify(rows: DataFrame, profiles: Profiles, keep: list[str], text: Column,
         F.col("_declared").alias("declared"), F.when(letters, best("p")).otherwise(UNKNOWN).alias("text_language"),
         F.when(sure, best("posterior")).otherwise(UNKNOWN).alias("language"),
         F.when(letters, F.array_max("posterior")).otherwise(0.0).alias("confidence"))
+
+
+def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
+                    min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+    """``docs`` without rows whose language stays 'und', all columns as they were.
+
+    The likelihoods are learned from the labels in ``lang``; the same label is each row's declared language and ``source`` its
+    host. Edge cases as in ``identify``.
+    """
+    columns = docs.columns
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    found = identify(plain, learn_profiles(docs, lang, text), list(at.values()), F.col(at[text]), F.col(at[source]), F.col(at[lang]),
+                     min_posterior=min_posterior)
+    return found.where(F.col("language") != UNKNOWN).select(*[F.col(at[c]).alias(c) for c in columns])

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import ascii_words, prepare, stored, text_bytes
+from assaykit.llm.common import ascii_words, prepare, row_key, stored, text_bytes
 from assaykit.llm.components import components
+from assaykit.operators.hotkeys import fits_broadcast
 
 # Odd multipliers that derive further 64-bit hashes of a shingle from its first one.
 MIXERS = np.array([2 * ((0x9E3779B97F4A7C15 * i) % 2**63) + 1 for i in range(1, 16)], dtype=np.uint64)
@@ -159,3 +160,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest = rooted.groupBy("root").agg(F.min("_low").alias("component_id"))
     labels = rooted.join(smallest, "root").select(F.col("f").alias("f0"), "component_id")
     return prints.join(labels, "f0").select(F.col("_id").alias(id_col), "f0", "component_id")
+
+
+LANES, BLOCKS, ROUNDS, WIDE_DISTANCE = 4, 11, 12, 40
+
+
+def block_masks(lanes: int = LANES, blocks: int = BLOCKS, rounds: int = ROUNDS, seed: int = 3) -> list[list[int]]:
+    """Masks over ``lanes`` words: each round deals all bits out to ``blocks`` blocks in another fixed random way."""
+    masks = []
+    for order in (np.random.default_rng(seed + r).permutation(64 * lanes) for r in range(rounds)):
+        for block in np.array_split(order, blocks):
+            words = [0] * lanes
+            for bit in block.tolist():
+                words[bit // 64] |= 1 << bit % 64
+            masks.append([w - (1 << 64) if w >> 63 else w for w in words])
+    return masks
+
+
+def wide_links(nodes: DataFrame, node: str = "node", max_distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
+    """Links ``(a, b)`` between distinct 256-bit fingerprints ``f0 .. f3`` that differ in at most ``max_distance`` bits.
+
+    For copies that share four fifths of their shingles a 64-bit fingerprint is too coarse and 2 bits too few. Each round cuts
+    the 256 bits into 11 blocks of about 23; a close pair shares a whole block in some of the 12 rounds with a chance that grows
+    with its closeness, and always if it differs in 10 bits or fewer. Rows that share a block are compared with the smallest and
+    the largest node of it only: links grow with the rows and a crowded block makes no pairs.
+    """
+    prints = [f"f{i}" for i in range(LANES)]
+    masks = F.array(*[F.struct(*[F.lit(w).cast("long").alias(f"m{i}") for i, w in enumerate(m)], F.lit(n).alias("t"))
+                      for n, m in enumerate(block_masks(LANES, BLOCKS, rounds))])
+    keys = F.transform(masks, lambda m: F.xxhash64(m.t, *[F.col(f).bitwiseAND(m[f"m{i}"]) for i, f in enumerate(prints)]))
+    rows = nodes.select(node, F.explode(keys).alias("k"))
+    blocks = rows.groupBy("k").agg(F.min(node).alias("low"), F.max(node).alias("high"), F.count("*").alias("n")).where("n > 1")
+    blocks = stored(blocks, "wide-blocks")
+    two = blocks.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    more = rows.join(blocks.where("n > 2"), "k").select(
+        F.explode(F.array(F.struct(F.col("low").alias("a"), F.col(node).alias("b")),
+                          F.struct(F.col(node).alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b")
+    pairs = two.union(more.where("a < b")).distinct()
+    left = nodes.select(F.col(node).alias("a"), *[F.col(f).alias(f"a{f}") for f in prints])
+    right = nodes.select(F.col(node).alias("b"), *[F.col(f).alias(f"b{f}") for f in prints])
+    both = pairs.join(left, "a").join(right, "b")
+    near = distance([F.col(f"a{f}") for f in prints], [F.col(f"b{f}") for f in prints]) <= max_distance
+    return both.where(near).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5,
+                     max_distance: int = WIDE_DISTANCE) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest id (null last), all columns as they were.
+
+    Groups are the components of ``wide_links`` over fingerprints of ``shingle`` words; 40 of 256 bits stand for a similarity
+    of about 0.8 (measured). Equal texts and repeated rows have equal fingerprints and are one node; texts without words are
+    copies of each other, null counts as empty. An empty table gives an empty table.
+    """
+    prepare(docs.sparkSession)
+    columns, prints = docs.columns, [f"f{i}" for i in range(LANES)]
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    held = stored(with_fingerprints(plain, list(at.values()), at[text], shingle, LANES).withColumn("row", row_key()), "wide-simhash")
+    nodes = stored(held.groupBy(*prints).agg(F.min("row").alias("node")), "wide-nodes")
+    roots = components(wide_links(nodes, "node", max_distance))
+    rooted = nodes.join(roots, "node", "left").select(*prints, F.coalesce("root", "node").alias("root"))
+    rows = held.select("row", F.col(at[id_col]).alias("_id"), *prints).join(rooted, prints).select("row", "_id", "root")
+    rows = stored(rows, "wide-groups")
+    # smallest id, then smallest row: two plain minima, each combined before the shuffle
+    ids = rows.groupBy("root").agg(F.min("_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    first = rows.join(ids, "root").where(F.col("_id").eqNullSafe(F.col("low"))).groupBy("root").agg(F.min("row").alias("keep"))
+    gone = rows.join(first, "root").where("row <> keep").select("row")
+    gone = F.broadcast(gone) if fits_broadcast(gone) else gone
+    left = held.join(gone, "row", "left_anti")
+    return left.select(*[F.col(at[c]).alias(c) for c in columns])
