@@ -51,3 +51,9 @@ def row_key() -> Column:
 def ascii_words(text: bytes) -> list[bytes]:
     """Runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased and nothing else changed."""
     return text.lower().split()
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, .. and the new name of each: whatever names it has, none meets a helper column."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import ascii_words, prepare, text_bytes
+from assaykit.llm.common import ascii_words, plain_names, prepare, text_bytes
 from assaykit.llm.simhash import shingle_hashes
 
 SHINGLE = 5
@@ -162,15 +162,17 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
     """``docs`` without the rows that contain an item, all columns as they were. Edge cases as in ``contained_items``."""
     prepare(docs.sparkSession)
     columns = docs.columns
+    left, at = plain_names(docs)
+    kept = left.columns
     for index in item_blocks(items, item_id, item_text, shingle):
-        source = docs.withColumn("_text", text_bytes(text))
+        source = left.withColumn("_text", text_bytes(at[text]))
 
         def kernel(batches: Iterable[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for first, texts in _chunks(batch):
                     keep[[first + r[0] for r in index.search(texts, threshold)]] = False
-                yield batch.select(columns).filter(pa.array(keep))
+                yield batch.select(kept).filter(pa.array(keep))
 
-        docs = source.mapInArrow(kernel, docs.schema)
-    return docs
+        left = source.mapInArrow(kernel, left.schema)
+    return left.toDF(*columns)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import prepare, row_key, stored, text_bytes
+from assaykit.llm.common import plain_names, prepare, row_key, stored, text_bytes
 from assaykit.operators.hotkeys import fits_broadcast, spread_join
 
 CODES = 1 << 16
@@ -225,9 +225,7 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     The likelihoods are learned from the labels in ``lang``; the same label is each row's declared language and ``source`` its
     host. Edge cases as in ``identify``.
     """
-    columns = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
-    found = identify(plain, learn_profiles(docs, lang, text), list(at.values()), F.col(at[text]), F.col(at[source]), F.col(at[lang]),
-                     min_posterior=min_posterior)
-    return found.where(F.col("language") != UNKNOWN).select(*[F.col(at[c]).alias(c) for c in columns])
+    plain, at = plain_names(docs)
+    found = identify(plain, learn_profiles(plain, at[lang], at[text]), plain.columns, F.col(at[text]), F.col(at[source]),
+                     F.col(at[lang]), min_posterior=min_posterior)
+    return found.where(F.col("language") != UNKNOWN).select(*plain.columns).toDF(*docs.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from assaykit.llm.common import plain_names
 from assaykit.operators.hotkeys import fits_broadcast
 
 BLOCK_DOCS = 32
@@ -103,7 +104,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights
     spark = docs.sparkSession
     names = ["mix_block", "mix_slot", "mix_place", "mix_release", "mix_deadline"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    counts = base.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).agg(F.count("*").alias("n"))
+    plain, at = plain_names(base)
+    counts = plain.groupBy(F.coalesce(F.col(at[source]).cast("string"), F.lit("")).alias("s")).agg(F.count("*").alias("n"))
     counted = {r.s: r.n for r in counts.limit(MAX_SOURCES + 1).collect()}
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights
     phase_table = spark.createDataFrame(
         phases, "_source string, _phase int, _first long, _blocks long, _start long, _weight long, _whole long")
     turn_table = spark.createDataFrame(turns, "_source string, _phase int, _turn long, _slot long")
-    rows = numbered(base, id_col, source).withColumn("mix_block", F.floor(F.col("_n") / block_docs).cast("long"))
+    rows = numbered(plain, at[id_col], at[source]).withColumn("mix_block", F.floor(F.col("_n") / block_docs).cast("long"))
     # one row per source and phase, one per slot of a period: bounded by the weights, not by the documents
     placed = rows.join(F.broadcast(phase_table), "_source").where(
         (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_first") + F.col("_blocks")))
@@ -124,12 +126,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights
               else placed.join(turn_table, ["_source", "_phase", "_turn"]))
     whole, weight, start = F.col("_whole"), F.col("_weight"), F.col("_start")
     return placed.select(
-        *base.columns, "mix_block",
-        (start + F.floor(i / weight) * whole + F.col("_slot")).cast("long").alias("mix_slot"),
-        F.pmod("_n", F.lit(block_docs)).cast("long").alias("mix_place"),
-        (start + F.floor(i * whole / weight)).cast("long").alias("mix_release"),
-        (start + F.ceil((i + 1) * whole / weight)).cast("long").alias("mix_deadline"),
-    )
+        *plain.columns, "mix_block",
+        (start + F.floor(i / weight) * whole + F.col("_slot")).cast("long"),
+        F.pmod("_n", F.lit(block_docs)).cast("long"),
+        (start + F.floor(i * whole / weight)).cast("long"),
+        (start + F.ceil((i + 1) * whole / weight)).cast("long"),
+    ).toDF(*base.columns, *names)
 
 
 def in_mix_order(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import ascii_words, prepare, row_key, stored, text_bytes
+from assaykit.llm.common import ascii_words, plain_names, prepare, row_key, stored, text_bytes
 from assaykit.llm.components import components
 from assaykit.operators.hotkeys import fits_broadcast
 
@@ -213,10 +213,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     copies of each other, null counts as empty. An empty table gives an empty table.
     """
     prepare(docs.sparkSession)
-    columns, prints = docs.columns, [f"f{i}" for i in range(LANES)]
-    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
-    held = stored(with_fingerprints(plain, list(at.values()), at[text], shingle, LANES).withColumn("row", row_key()), "wide-simhash")
+    prints = [f"f{i}" for i in range(LANES)]
+    plain, at = plain_names(docs)
+    held = stored(with_fingerprints(plain, plain.columns, at[text], shingle, LANES).withColumn("row", row_key()), "wide-simhash")
     nodes = stored(held.groupBy(*prints).agg(F.min("row").alias("node")), "wide-nodes")
     roots = components(wide_links(nodes, "node", max_distance))
     rooted = nodes.join(roots, "node", "left").select(*prints, F.coalesce("root", "node").alias("root"))
@@ -227,5 +226,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     first = rows.join(ids, "root").where(F.col("_id").eqNullSafe(F.col("low"))).groupBy("root").agg(F.min("row").alias("keep"))
     gone = rows.join(first, "root").where("row <> keep").select("row")
     gone = F.broadcast(gone) if fits_broadcast(gone) else gone
-    left = held.join(gone, "row", "left_anti")
-    return left.select(*[F.col(at[c]).alias(c) for c in columns])
+    return held.join(gone, "row", "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import stored
+from assaykit.llm.common import plain_names, stored
 
 WINDOW = 2
 
@@ -69,20 +69,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeat each other and get the same result. Null ids come first in the order. A document whose lines all go has an empty
     ``kept_text``. Existing columns of these names are replaced. An empty table gives an empty table.
     """
-    names = {"kept_text", "n_lines", "n_removed", "removed_runs", "_id", "_h", "removed"}
-    base = docs.drop(*[c for c in docs.columns if c in names])
-    gone = repeated_lines(docs, id_col, text, window).withColumnRenamed("_id", "_gone_id").withColumnRenamed("_h", "_gone_h")
-    keyed = base.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    rows = keyed.join(gone.hint("shuffle_hash"),
-                      keyed[id_col].eqNullSafe(F.col("_gone_id")) & (F.col("_h") == F.col("_gone_h")), "left")
-    none = F.array().cast("array<int>")
-    rows = rows.withColumn("removed", F.coalesce("removed", none)).withColumn("_lines", _lines(F.col(text)))
+    added = ["kept_text", "n_lines", "n_removed", "removed_runs"]
+    base = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    plain, at = plain_names(base)
+    body = F.coalesce(at[text], F.lit(""))
+    gone = repeated_lines(docs, id_col, text, window)
+    rows = plain.withColumn("_t", F.xxhash64(body)).join(
+        gone.hint("shuffle_hash"), F.col(at[id_col]).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left")
+    rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn(
+        "_lines", _lines(F.col(at[text])))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
     text_left = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
     first = F.array_except("removed", F.transform("removed", lambda i: i + 1))
     last = F.array_except("removed", F.transform("removed", lambda i: i - 1))
     runs = F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: F.concat_ws("-", r.a, r.b))
     return rows.select(
-        *base.columns, F.when(F.size("removed") == 0, F.coalesce(text, F.lit(""))).otherwise(text_left).alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
-        F.array_join(runs, ",").alias("removed_runs"))
+        *plain.columns, F.when(F.size("removed") == 0, body).otherwise(text_left), F.size("_lines").cast("long"),
+        F.size("removed").cast("long"), F.array_join(runs, ",")).toDF(*base.columns, *added)
