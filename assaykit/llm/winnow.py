@@ -19,7 +19,8 @@ def _windows(window: int) -> Column:
 
     Windows of blank lines only are left out: they are not a repeat of anything.
     """
-    numbers = F.when(F.size("h") >= window, F.sequence(F.lit(0), F.size("h") - window)).otherwise(
+    # both arrays are also used outside the lambda: Catalyst would otherwise work them out again for every window
+    numbers = F.when((F.size("b") >= window) & (F.size("h") >= window), F.sequence(F.lit(0), F.size("h") - window)).otherwise(
         F.array().cast("array<int>"))
 
     def one(i: Column) -> Column:
@@ -48,7 +49,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.transform(_lines(F.col(text)), lambda x: F.trim(x) == "").alias("b"),
     )
     windows = hashed.select("_id", "_h", _windows(window).alias("w"))
-    windows = stored(windows.where(F.size("w") > 0).distinct(), "line-windows")
+    windows = stored(windows.distinct(), "line-windows")
     marks = windows.select(F.explode(F.array_distinct(F.transform("w", lambda x: F.struct(x.p, x.f)))).alias("m"))
     common = marks.groupBy(F.col("m.f").alias("f")).agg(F.count("*").alias("n")).where("n > 1").select("f")
     places = windows.select("_id", "_h", F.explode("w").alias("w")).select("_id", "_h", "w.i", "w.content", "w.f")
