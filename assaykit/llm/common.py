@@ -32,10 +32,16 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Rows of documents are large: batches of this size keep a worker's and the JVM's copies of a batch to some megabytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in the Python workers and name the shared folder."""
+    """Make the package importable in the Python workers, name the shared folder and size the batches of texts."""
     ship_package(spark)
     shared_dir(spark)
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def text_bytes(column: str = "text") -> Column:
