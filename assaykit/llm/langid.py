@@ -85,7 +85,7 @@ def learn_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text")
                     total += np.bincount(np.concatenate(found[i : i + 256]), minlength=CODES)
         for name, total in totals.items():
             seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen)), pa.array(seen), pa.array(total[seen])],
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(total[seen])],
                                              names=["lang", "code", "n"])
 
     counts = np.zeros((len(languages), CODES), np.int64)
