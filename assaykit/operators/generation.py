@@ -75,54 +75,43 @@ def numbered_lines(items: Column) -> Column:
         F.transform(items, lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), s)), "\n")
 
 
-def item_text(item: str = "item") -> Column:
-    """What the judge reads about one question/answer item."""
+def item_text(template: str, item: str = "item") -> Column:
+    """What the judge reads about one question/answer item: the caller's template, with slots named after the item's fields.
+
+    Lists are comma-joined, the steps are numbered lines.
+    """
     c = lambda f: F.col(f"{item}.{f}")
-    return F.concat(
-        F.lit("Question: "), c("question"),
-        F.lit("\nAnswer: "), c("answer"),
-        F.lit("\nEquipment/Problem: "), c("equipment_problem"),
-        F.lit("\nTools Required: "), F.array_join(c("tools_required"), ", "),
-        F.lit("\nSteps:\n"), numbered_lines(c("steps")),
-        F.lit("\nSafety Info: "), c("safety_info"),
-        F.lit("\nTips: "), F.array_join(c("tips"), ", "),
-    )
+    plain = {f: c(f) for f in ("question", "answer", "equipment_problem", "safety_info")}
+    joined = {f: F.array_join(c(f), ", ") for f in ("tools_required", "tips")}
+    return render(F.lit(template), {**plain, **joined, "steps": numbered_lines(c("steps"))})
 
 
-def pair_text() -> Column:
-    """What the judge reads about one resume/job pair (the instructions around it are the caller's template)."""
+def pair_text(template: str) -> Column:
+    """What the judge reads about one resume/job pair: the caller's template with the slots title, skills_wanted, years, level,
+    summary, skills and positions."""
     req = "job.requirements"
-    return F.concat(
-        F.lit("JOB TITLE: "), F.col("job.title"),
-        F.lit("\nREQUIRED SKILLS: "), F.array_join(f"{req}.required_skills", ", "),
-        F.lit("\nEXPERIENCE REQUIRED: "), F.col(f"{req}.experience_years").cast("string"),
-        F.lit(" years ("), F.col(f"{req}.experience_level"),
-        F.lit(")\n\nRESUME SUMMARY: "), F.col("resume.summary"),
-        F.lit("\n\nRESUME SKILLS: "), F.array_join("resume.skills.name", ", "),
-        F.lit("\n\nEXPERIENCE ENTRIES: "), F.size("resume.experience").cast("string"), F.lit(" positions"),
-    )
+    return render(F.lit(template), {
+        "title": F.col("job.title"), "skills_wanted": F.array_join(f"{req}.required_skills", ", "),
+        "years": F.col(f"{req}.experience_years").cast("string"), "level": F.col(f"{req}.experience_level"),
+        "summary": F.col("resume.summary"), "skills": F.array_join("resume.skills.name", ", "),
+        "positions": F.size("resume.experience").cast("string"),
+    })
 
 
-def error_block(e: Column) -> Column:
-    """Lines about one error; value and format lines only where they exist."""
-    optional = lambda c, label: F.when(
-        c.isNotNull() & (c != ""), F.concat(F.lit(f"\n    {label}: "), c)).otherwise("")
-    return F.concat(
-        F.lit("  - Field: "), e["field_path"], F.lit("\n    Category: "), e["category"],
-        F.lit("\n    Message: "), e["message"],
-        optional(e["invalid_value"], "Invalid value"), optional(e["expected_format"], "Expected format"),
-    )
+def error_block(e: Column, labels: dict[str, str]) -> Column:
+    """Lines about one error, one for each field named in ``labels`` that has a value."""
+    lines = [F.when(e[f] != "", F.concat(F.lit(f"{label}: "), e[f])) for f, label in labels.items()]
+    return F.array_join(F.array(*lines), "\n")
 
 
-def error_text(errors: Column) -> Column:
-    return F.array_join(F.transform(errors, error_block), "\n")
+def error_text(errors: Column, labels: dict[str, str]) -> Column:
+    return F.array_join(F.transform(errors, lambda e: error_block(e, labels)), "\n\n")
 
 
-def correction_prompt(intro: str, resume: Column, errors: Column, outro: str) -> Column:
-    """Repair request: intro, the record as JSON, one block per error, outro (both texts come from the caller)."""
-    return F.concat(
-        F.lit(intro), F.lit("\n\nORIGINAL RESUME:\n"), F.to_json(resume, {"ignoreNullFields": "false"}),
-        F.lit("\n\nVALIDATION ERRORS TO FIX:\n"), error_text(errors), F.lit("\n\n"), F.lit(outro))
+def correction_prompt(template: str, resume: Column, errors: Column, labels: dict[str, str]) -> Column:
+    """Repair request: the caller's template with the slots record (as JSON) and errors."""
+    return render(F.lit(template), {
+        "record": F.to_json(resume, {"ignoreNullFields": "false"}), "errors": error_text(errors, labels)})
 
 
 def with_suffix(prompts: DataFrame, suffix: str, prompt: str = "prompt") -> DataFrame:

@@ -99,6 +99,7 @@ def complete(prompt: Column, completer: Completer, max_attempts: int = 3, batch_
     asked again; each failure is kept as "attempt N: message". After the last attempt the item is NULL, and the job
     goes on.
     """
+    prepare_workers()
 
     @F.pandas_udf("item string, errors array<string>")
     def run(prompts: pd.Series) -> pd.DataFrame:

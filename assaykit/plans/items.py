@@ -114,15 +114,18 @@ def valid_split_union(spark, sf_dir):
         F.count("*").alias("n_all"))
 
 
+ITEM_TEMPLATE = ("Asked {question}\nabout {equipment_problem}\ntold {answer}\n{steps}\nwith {tools_required}\nminding {safety_info}\n"
+                 "and {tips}")
+
+
 @query("judge_input", ITEMS_SQL + """
-SELECT trace_id, 'Question: ' || question || chr(10) || 'Answer: ' || answer || chr(10) || 'Equipment/Problem: ' || problem
-  || chr(10) || 'Tools Required: ' || array_to_string(tools, ', ') || chr(10) || 'Steps:' || chr(10)
+SELECT trace_id, 'Asked ' || question || chr(10) || 'about ' || problem || chr(10) || 'told ' || answer || chr(10)
   || array_to_string(list_transform(lines, lambda s, i: '  ' || i || '. ' || s), chr(10)) || chr(10)
-  || 'Safety Info: ' || safety || chr(10) || 'Tips: ' || array_to_string(tips, ', ') AS judge_text
+  || 'with ' || array_to_string(tools, ', ') || chr(10) || 'minding ' || safety || chr(10) || 'and ' || array_to_string(tips, ', ') AS judge_text
 FROM items WHERE passed""")
 def judge_input(spark, sf_dir):
     with_item = checked(spark, sf_dir).where(F.col("item").isNotNull())
-    return with_item.select("trace_id", generation.item_text().alias("judge_text"))
+    return with_item.select("trace_id", generation.item_text(ITEM_TEMPLATE).alias("judge_text"))
 
 
 JUDGE_FLAGS_SQL = """

@@ -206,8 +206,8 @@ def judge_scores(spark, sf_dir):
 
 
 def rule_labels(spark, sf_dir):
-    """Rule flags; the contact and length rules are written for English, other documents have no rule label."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    """Rule flags of all documents; those without a judge's score stay unmatched."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.col("text").rlike(EMAIL_SHAPE).cast("int").alias("contact"),
                        (F.col("n_chars") < 300).cast("int").alias("is_short"))
 
@@ -215,7 +215,7 @@ def rule_labels(spark, sf_dir):
 SCORES_SQL = f"""
 WITH judge AS (SELECT doc_id, toxic * 4 + 1 AS toxicity_score, (1 - quality) * 3 + 1 AS defect_score FROM labels),
 rules AS (SELECT doc_id, regexp_matches(text, '{EMAIL_SHAPE}') AS contact, n_chars < 300 AS is_short
-  FROM documents WHERE lang = 'en')
+  FROM documents)
 """
 
 
@@ -238,19 +238,21 @@ CRITERIA = ["relevance", "accuracy", "completeness", "citation_quality"]
 
 
 @query("answer_scores", RECORDS_SQL + """
-, a AS (SELECT 5 - 3 * low_quality AS relevance, 5 - 2 * toxic - 2 * is_long AS accuracy, 5 - 4 * is_short AS completeness,
-    5 - 2 * duplicated - 2 * contact AS citation_quality FROM judged)
+, scored AS (SELECT 5 - 3 * low_quality AS relevance, 5 - 3 * toxic - 2 * is_long AS accuracy, 5 - 4 * is_short AS completeness,
+    5 - 2 * duplicated - 3 * contact AS citation_quality FROM judged),
+a AS (SELECT * FROM scored WHERE relevance BETWEEN 1 AND 5 AND accuracy BETWEEN 1 AND 5 AND completeness BETWEEN 1 AND 5
+  AND citation_quality BETWEEN 1 AND 5)
 SELECT avg(relevance) AS avg_relevance, avg(accuracy) AS avg_accuracy, avg(completeness) AS avg_completeness,
   avg(citation_quality) AS avg_citation_quality,
   sum(relevance + accuracy + completeness + citation_quality)::DOUBLE / (count(*) * 4) AS avg_overall,
-  count(*) AS n_answers,
+  count(*) AS n_answers, (SELECT count(*) FROM scored) - count(*) AS n_rejected,
   sum(relevance + accuracy + completeness + citation_quality)::DOUBLE / (count(*) * 4) > 4.0 AS meets_target FROM a""")
 def answer_scores(spark, sf_dir):
     from assaykit.operators.experiments import answer_scores as averages
 
     scores = judged(spark, sf_dir).select(
         (5 - 3 * F.col("low_quality")).alias("relevance"),
-        (5 - 2 * F.col("toxic") - 2 * F.col("is_long")).alias("accuracy"),
+        (5 - 3 * F.col("toxic") - 2 * F.col("is_long")).alias("accuracy"),
         (5 - 4 * F.col("is_short")).alias("completeness"),
-        (5 - 2 * F.col("duplicated") - 2 * F.col("contact")).alias("citation_quality"))
+        (5 - 2 * F.col("duplicated") - 3 * F.col("contact")).alias("citation_quality"))
     return averages(scores, CRITERIA)

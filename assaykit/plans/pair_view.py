@@ -180,7 +180,7 @@ BUZZ = "(?i)\\b(" + "|".join(BUZZWORDS) + ")\\b"
 REQUIRED_SQL = "[" + ", ".join(sql_list(r) for r in REQUIRED) + "]"
 
 PAIRS_SQL = f"""
-WITH base AS (
+WITH base AS MATERIALIZED (
   SELECT o_orderkey AS k, o_custkey AS c, (o_orderdate::DATE + INTERVAL 240 MONTH)::DATE AS d, o_orderstatus AS status,
     substr(o_orderpriority, 1, 1)::INT AS prio,
     substr(sha256(o_custkey::VARCHAR || '|res_' || o_orderkey), 1, 32) AS pair_id,
@@ -205,7 +205,7 @@ ex1 AS (
     CASE WHEN k % 61 = 0 THEN {_later(-6)} WHEN i = 0 AND status = 'O' THEN 'Present'
       WHEN i = 0 AND status = 'P' THEN NULL WHEN i = 0 THEN {_later(10)} ELSE {_later(20)} END AS end_date
   FROM ex0),
-ex AS (
+ex AS MATERIALIZED (
   SELECT *, {_parse('start_date')} AS sd,
     CASE WHEN end_date IS NULL OR lower(end_date) = 'present' THEN DATE '{AS_OF}' ELSE {_parse('end_date')} END AS ed
   FROM ex1),
@@ -261,7 +261,7 @@ lab AS (
     experience_mismatch::INT + seniority_mismatch::INT + missing_core_skills::INT + hallucinated_skills::INT
       + awkward_language::INT AS failure_count
   FROM labels_sql),
-err AS (
+err AS MATERIALIZED (
   SELECT k, 1 AS rule, i AS pos, 'resume.experience[' || i || '].start_date' AS field_path,
     CASE WHEN sd IS NULL THEN 'format_violation' ELSE 'logical_inconsistency' END AS category, start_date AS invalid_value,
     CASE WHEN sd IS NULL THEN 'start_date could not be parsed' ELSE 'start_date is in the future' END AS message

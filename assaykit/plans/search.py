@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from assaykit.functions import vectors
 from assaykit.operators import experiments, hooks, irmetrics, retrieval
 from assaykit.operators.chunking import ChunkConfig
-from assaykit.operators.hotkeys import top_k
 from assaykit.plans.registry import query, spread_table, table
 from assaykit.plans.texts import hashed_sql, sentences_sql, windows_sql, words_sql
 from assaykit.session import shared_dir
@@ -413,10 +412,11 @@ def answer_prompt(spark, sf_dir):
 
 CITED_SQL = """
 WITH ctx AS (SELECT conv_id, turn + 1 AS citation, conv_id || ':' || turn AS chunk_id FROM conversations),
-ans AS (SELECT conv_id, turn, text || ' See [' || turn || '], [' || (turn + 3) || '] and [' || turn || '].' AS answer
+ans AS (SELECT conv_id, turn, text || ' See [' || turn || '], [' || (turn + 3) || '] and [' || turn || '], but not [98765432101].' AS answer
   FROM conversations WHERE role = 'assistant'),
-c AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(answer, '\\[(\\d{1,9})\\]', 1))::INT AS citation FROM ans)
-SELECT c.conv_id, c.turn, c.citation, chunk_id, chunk_id IS NOT NULL AS in_range
+t AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) AS cited FROM ans),
+c AS (SELECT *, TRY_CAST(cited AS INT) AS citation FROM t)
+SELECT c.conv_id, c.turn, c.citation, c.cited, chunk_id, chunk_id IS NOT NULL AS in_range
 FROM c LEFT JOIN ctx ON c.conv_id = ctx.conv_id AND c.citation = ctx.citation
 """
 
@@ -429,7 +429,7 @@ def citations(spark, sf_dir):
     n = F.col("turn").cast("string")
     later = (F.col("turn") + 3).cast("string")
     answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(
-        "text", F.lit(" See ["), n, F.lit("], ["), later, F.lit("] and ["), n, F.lit("].")).alias("answer"))
+        "text", F.lit(" See ["), n, F.lit("], ["), later, F.lit("] and ["), n, F.lit("], but not [98765432101].")).alias("answer"))
     return experiments.citations(answers, contexts, "conv_id", "turn")
 
 
@@ -448,8 +448,8 @@ def example_check(spark, sf_dir):
     """Benchmark texts as retrieval examples: one without a relevant document is rejected."""
     from assaykit.operators.validation import example_errors
 
-    # first few ids are enough to be a valid example; the list is bounded
-    first = top_k(relevant(spark, sf_dir), ["query_id"], [F.col("doc_id")], 20).groupBy("query_id").agg(
-        F.collect_list(F.col("doc_id").cast("string")).alias("relevant_chunk_ids"))
+    # the check asks whether there is any, so one of them stands for all
+    first = relevant(spark, sf_dir).groupBy("query_id").agg(
+        F.array(F.min("doc_id").cast("string")).alias("relevant_chunk_ids"))
     examples = items(spark, sf_dir).join(first, "query_id", "left")
     return examples.select("query_id", (F.size(example_errors()) > 0).alias("rejected"))

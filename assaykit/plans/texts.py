@@ -42,7 +42,7 @@ def offsets(spark, sf_dir):
 
 
 @query("full_text", """
-SELECT conv_id AS document_id, 0 AS segment, 0::BIGINT AS start_char, string_agg(text, chr(10) ORDER BY turn) AS text
+SELECT conv_id AS document_id, string_agg(text, chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")
 def whole_text(spark, sf_dir):
     return full_text(pages(spark, sf_dir))
@@ -136,8 +136,8 @@ FROM (SELECT {keys}, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS bucket, c
 """
 
 
-@query("semantic_groups", f"""
-WITH s AS (SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS no, unnest(pieces) AS text FROM ({sentences_sql('documents')})),
+SIM_SQL = f"""
+s AS (SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS no, unnest(pieces) AS text FROM ({sentences_sql('documents')})),
 v AS ({hashed_sql('s', 'doc_id, no')}),
 l AS (SELECT doc_id, no, sum(v * v) AS l FROM v GROUP BY ALL),
 d AS (SELECT b.doc_id, b.no, sum(a.v * b.v) AS d FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.no = a.no + 1 AND a.bucket = b.bucket
@@ -145,15 +145,32 @@ d AS (SELECT b.doc_id, b.no, sum(a.v * b.v) AS d FROM v a JOIN v b ON a.doc_id =
 sim AS (SELECT s.doc_id, s.no, CASE WHEN s.no > 0 THEN round(CASE WHEN lb.l * la.l > 0 THEN coalesce(d, 0.0) / sqrt(lb.l * la.l) ELSE 0.0 END, 6) END AS similarity
   FROM s LEFT JOIN d ON s.doc_id = d.doc_id AND s.no = d.no LEFT JOIN l lb ON s.doc_id = lb.doc_id AND s.no = lb.no
     LEFT JOIN l la ON s.doc_id = la.doc_id AND s.no - 1 = la.no)
+"""
+
+
+@query("semantic_groups", f"""WITH {SIM_SQL}
 SELECT doc_id, no::INT AS sentence_no, similarity, sum(coalesce((similarity < {THRESHOLD})::INT, 0)) OVER (PARTITION BY doc_id ORDER BY no)::INT AS group_no
 FROM sim""")
 def semantic_groups(spark, sf_dir):
     return chunking.semantic_groups(documents(spark, sf_dir), "doc_id", threshold=THRESHOLD)
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", f"""WITH RECURSIVE {SIM_SQL},
+n AS MATERIALIZED (SELECT s.doc_id, s.no, s.text, len(regexp_extract_all(s.text, '\\S+\\s*')) AS words,
+    coalesce(similarity < {THRESHOLD}, false) AS cut
+  FROM s JOIN sim ON s.doc_id = sim.doc_id AND s.no = sim.no),
+p AS (SELECT doc_id, no, words AS used, 0 AS chunk FROM n WHERE no = 0
+  UNION ALL SELECT n.doc_id, n.no, CASE WHEN n.cut OR p.used + n.words > 60 THEN n.words ELSE p.used + n.words END,
+    p.chunk + (n.cut OR p.used + n.words > 60)::INT
+  FROM p JOIN n ON n.doc_id = p.doc_id AND n.no = p.no + 1),
+c AS (SELECT p.doc_id, chunk, string_agg(n.text, '' ORDER BY p.no) AS piece
+  FROM p JOIN n ON n.doc_id = p.doc_id AND n.no = p.no GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY chunk
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c)
+SELECT doc_id, chunk::INT AS chunk_index, (pos + len(piece) - len(regexp_replace(piece, '^\\s+', '')))::BIGINT AS start_char,
+  (pos + len(regexp_replace(piece, '\\s+$', '')))::BIGINT AS end_char, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS text
+FROM o""")
 def chunk_semantic(spark, sf_dir):
-    """Greedy packing depends on the chunk before it, which plain SQL does not express; checked by brute force in tests."""
     return chunking.chunk_semantic(documents(spark, sf_dir), "doc_id", max_tokens=60, threshold=THRESHOLD)
 
 
@@ -179,13 +196,7 @@ SELECT c.doc_id AS document_id, chunk_index, c.start_char, c.end_char, page_numb
 FROM c LEFT JOIN pages p ON p.document_id = c.doc_id AND c.start_char >= p.start_char AND c.start_char < p.start_char + len(p.text)""")
 def chunk_pages(spark, sf_dir):
     turns = pages(spark, sf_dir)
-    # a dialogue beyond one text segment would be cut per segment; offsets are shifted by the segment's start
-    texts = full_text(turns).withColumn("part", F.struct("document_id", "segment", F.col("start_char").alias("base")))
-    number = F.col("part.segment") * 10_000_000 + F.col("chunk_index")
-    rows = chunking.chunk_fixed(texts, "part", size=40, overlap=8).select(
-        F.col("part.document_id").alias("document_id"), number.cast("int").alias("chunk_index"),
-        (F.col("start_char") + F.col("part.base")).alias("start_char"),
-        (F.col("end_char") + F.col("part.base")).alias("end_char"))
+    rows = chunking.chunk_fixed(full_text(turns), "document_id", size=40, overlap=8).drop("text")
     return sections.with_page_numbers(rows, page_offsets(turns))
 
 

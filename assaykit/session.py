@@ -27,6 +27,8 @@ def local_session(cores: str = "*", memory: str = "16g", partitions: int = 8) ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # checkpoints go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # call-site capture costs driver round trips per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -55,10 +57,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local folder is made and recorded in it.
+    Only where that setting is absent and one machine does all the work, a local folder is made and recorded in it. On a
+    cluster each executor would write to its own disk, so the setting is asked for.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="assaykit-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from assaykit.operators.hotkeys import running_total
 
-SEGMENT_CHARS = 16 << 20
+# A row's value holds up to 2 GiB of bytes, and a character can take four.
+MAX_CHARS = 1 << 29
 
 
 def page_offsets(pages: DataFrame, doc: str = "document_id", page: str = "page_number", text: str = "text",
@@ -21,17 +22,13 @@ def page_offsets(pages: DataFrame, doc: str = "document_id", page: str = "page_n
     return placed.withColumn("end_char", F.col("start_char") + F.col("_len")).drop("_len")
 
 
-def full_text(pages: DataFrame, doc: str = "document_id", page: str = "page_number", text: str = "text",
-              segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """Text of all pages in page order, one newline between them: rows (doc, segment, start_char, text).
+def full_text(pages: DataFrame, doc: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
+    """One row per document: (doc, text), its pages in order with one newline between them.
 
-    Documents up to ``segment_chars`` characters are one row (segment 0, start 0), which is their full text. A larger
-    document continues in further rows, each at most one page longer than the limit, so no task ever holds a group
-    without bound; joining its segments with newlines in order gives the full text.
+    A document is one value and has to fit a row; beyond ``MAX_CHARS`` characters the query fails with a message that says so.
     """
-    offsets = page_offsets(pages, doc, page, text).withColumn(
-        "segment", F.floor(F.col("start_char") / segment_chars).cast("int"))
-    parts = pages.select(doc, page, text).join(offsets.select(doc, page, "segment", "start_char"), [doc, page])
+    whole = F.sum(F.length(text).cast("long") + 1)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
-    return parts.groupBy(doc, "segment").agg(F.min("start_char").alias("start_char"), ordered.alias("_p")).select(
-        doc, "segment", "start_char", F.array_join("_p.t", "\n").alias("text"))
+    fits = F.assert_true(F.col("_n") <= MAX_CHARS, F.lit(f"a document has more than {MAX_CHARS} characters"))
+    return pages.groupBy(doc).agg(ordered.alias("_p"), whole.alias("_n")).select(
+        doc, F.when(fits.isNull(), F.array_join("_p.t", "\n")).alias("text"))

@@ -176,7 +176,15 @@ def test_hooks(spark):
 
 
 def test_citations(spark):
-    answers = spark.createDataFrame([(1, 1, "see [1] and [3], [1], [x], [99]")], "q int, a int, answer string")
+    answers = spark.createDataFrame([(1, 1, "see [1] and [3], [1], [01], [x], [99], [1234567890123]")], "q int, a int, answer string")
     ctx = spark.createDataFrame([(1, 1, "c1"), (1, 2, "c2"), (1, 3, "c3")], "q int, rank int, chunk_id string")
-    got = {(r.citation, r.chunk_id, r.in_range) for r in experiments.citations(answers, ctx, "q", "a").collect()}
-    assert got == {(1, "c1", True), (3, "c3", True), (99, None, False)}
+    got = {(r.citation, r.cited, r.chunk_id, r.in_range) for r in experiments.citations(answers, ctx, "q", "a").collect()}
+    assert got == {(1, "1", "c1", True), (3, "3", "c3", True), (99, "99", None, False), (None, "1234567890123", None, False)}
+
+
+def test_answer_scores_reports_rejected(spark):
+    rows = spark.createDataFrame([(5, 4), (1, 6), (None, 3), (3, 4)], "a int, b int")
+    got = experiments.answer_scores(rows, ["a", "b"], target=3.9).first()
+    assert (got.avg_a, got.avg_b, got.avg_overall, got.n_answers, got.n_rejected, got.meets_target) == (4.0, 4.0, 4.0, 2, 2, True)
+    none = experiments.answer_scores(rows.where("b = 6"), ["a", "b"]).first()
+    assert (none.avg_overall, none.n_answers, none.n_rejected) == (None, 0, 1)

@@ -62,7 +62,7 @@ def test_items(spark):
     assert validation.pass_rate(checked.where("false")).first().pass_rate == 0.0
 
 
-def test_page_offsets_and_segments(spark):
+def test_page_offsets_and_text(spark):
     rows = [(d, p, "x" * (d + p)) for d in (1, 2) for p in range(9)]
     df = spark.createDataFrame(rows, "document_id int, page_number int, text string")
     whole = {d: "\n".join(t for i, _, t in rows if i == d) for d in (1, 2)}
@@ -70,10 +70,14 @@ def test_page_offsets_and_segments(spark):
         assert whole[r.document_id][r.start_char : r.end_char] == r.text
     one = {r.document_id: r.text for r in pages.full_text(df).collect()}
     assert one == whole
-    cut = pages.full_text(df, segment_chars=20).orderBy("document_id", "segment").collect()
-    assert len(cut) > 4
-    for d in (1, 2):
-        assert "\n".join(r.text for r in cut if r.document_id == d) == whole[d]
+
+
+def test_full_text_of_a_large_document(spark, monkeypatch):
+    df = spark.createDataFrame([(1, p, str(p % 10) * 1_000_000) for p in range(24)], "document_id int, page_number int, text string")
+    assert pages.full_text(df).first().text == "\n".join(str(p % 10) * 1_000_000 for p in range(24))
+    monkeypatch.setattr(pages, "MAX_CHARS", 1000)
+    with pytest.raises(Exception, match="more than 1000 characters"):
+        pages.full_text(df).collect()
 
 
 def test_qrels(spark, tmp_path):
