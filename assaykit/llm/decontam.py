@@ -50,10 +50,17 @@ class ItemIndex:
             for number in range(HASHES):
                 minima = np.array([permuted(self.sets[m], number).min() for m in members], dtype=np.uint64)
                 order = np.argsort(minima, kind="stable")
-                screen = np.zeros(1 << 16, bool)
-                screen[(minima & np.uint64(0xFFFF)).astype(np.int64)] = True
-                self.postings[(*group, number)] = (minima[order], np.array(members)[order], screen)
+                self.postings[(*group, number)] = (minima[order], np.array(members)[order])
         self.groups = sorted(groups)
+        self.screens: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def _screen(self, key: tuple[int, int, int]) -> np.ndarray:
+        """Which last 16 bits a posting has: made where it is used, so that it is not sent along."""
+        if key not in self.screens:
+            screen = np.zeros(1 << 16, bool)
+            screen[(self.postings[key][0] & np.uint64(0xFFFF)).astype(np.int64)] = True
+            self.screens[key] = screen
+        return self.screens[key]
 
     def search(self, texts: list[bytes], threshold: float = CONTAINMENT) -> list[tuple[int, int, int, int]]:
         """Rows (text number, item number, shared shingles, first word of a shared one) of all verified items."""
@@ -87,8 +94,8 @@ class ItemIndex:
             minima = np.minimum.reduceat(permuted(flat, number), starts)
             following = np.append(minima[1:], np.uint64(0))
             minima = np.where(joined, np.minimum(minima, following), minima)
-            keys, members, screen = self.postings[(length, level, number)]
-            maybe = np.flatnonzero(screen[(minima & np.uint64(0xFFFF)).astype(np.int64)])
+            keys, members = self.postings[(length, level, number)]
+            maybe = np.flatnonzero(self._screen((length, level, number))[(minima & np.uint64(0xFFFF)).astype(np.int64)])
             low, high = (np.searchsorted(keys, minima[maybe], side=s) for s in ("left", "right"))
             for cell, i, j in zip(maybe, low, high, strict=True):
                 found.update((int(owner[cell]), int(m)) for m in members[i:j])
