@@ -119,7 +119,8 @@ def quality_report(flat: DataFrame, validated: DataFrame, repaired: DataFrame |
     if repaired is not None:
         from assaykit.operators.repair import repair_stats
 
-        parts.append(repair_stats(repaired).withColumn("section", F.lit("correction")).select("section", "name", "value"))
+        value = F.when(F.col("name") == "correction_rate", F.round("value", 3)).otherwise(F.col("value"))
+        parts.append(metric_rows(repair_stats(repaired), "correction", F.col("name"), value))
     if judge is not None:
         row = judge_averages(judge, ["quality_score", "hallucination_score", "awkward_language_score"])
         long = row.select(F.inline(F.array(*[

@@ -72,7 +72,10 @@ def embed(text: Column, embedder: Embedder, batch_size: int = BATCH) -> Column:
 
 
 def score(text: Column, scorer: Scorer, batch_size: int = BATCH) -> Column:
-    """Score column (double). A batch whose scorer raises is retried row by row; a row that raises gets NULL."""
+    """Score column (double). The scorer returns one number or one exception per text; an exception gives NULL.
+
+    A batch whose scorer raises is retried row by row; a row that raises gets NULL.
+    """
     prepare_workers()
 
     @F.pandas_udf(T.DoubleType())
@@ -87,7 +90,7 @@ def score(text: Column, scorer: Scorer, batch_size: int = BATCH) -> Column:
                         out.extend(scorer([one]))
                     except Exception:
                         out.append(None)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([None if isinstance(x, Exception) else x for x in out], dtype="float64")
 
     return run(text)
 

@@ -351,7 +351,7 @@ SELECT section, name, round(value, 9) AS value FROM (
   UNION ALL {' UNION ALL '.join(f"SELECT '{s}', g || '/' || mode, rate FROM ({_rates_sql(g, 'g')})" for s, g in _GROUPS)}
   UNION ALL SELECT 'schema_field_failures', field_path, count(*)::DOUBLE FROM err GROUP BY field_path
   UNION ALL SELECT 'correction', 'total_pairs', n FROM t UNION ALL SELECT 'correction', 'corrected', ok FROM t
-  UNION ALL SELECT 'correction', 'permanently_failed', n - ok FROM t UNION ALL SELECT 'correction', 'correction_rate', ok / n FROM t
+  UNION ALL SELECT 'correction', 'permanently_failed', n - ok FROM t UNION ALL SELECT 'correction', 'correction_rate', round(ok / n, 3) FROM t
   UNION ALL SELECT 'correction', 'attempts_' || attempts, count(*)::DOUBLE FROM fixed WHERE attempts > 0 GROUP BY attempts
   UNION ALL SELECT 'llm_judge', 'avg_quality_score', round(avg(quality_score), 2) FROM judge
   UNION ALL SELECT 'llm_judge', 'avg_hallucination_score', round(avg(hallucination_score), 2) FROM judge

@@ -387,14 +387,12 @@ def rerank(spark, sf_dir):
     return retrieval.rerank(scored, F.col("second"), 5).select("query_id", "doc_id", "score", "rank")
 
 
-def distinct_share(texts: list[str]) -> list[float]:
+def distinct_share(texts: list[str]) -> list[float | Exception]:
     """Stand-in for a scoring model that refuses some inputs."""
-    out = []
+    out: list[float | Exception] = []
     for text in texts:
         found = hooks._WORD.findall(text.lower())
-        if len(found) % 7 == 0:
-            raise ValueError("text refused")
-        out.append(len(set(found)) / len(found))
+        out.append(len(set(found)) / len(found) if len(found) % 7 else ValueError("text refused"))
     return out
 
 
