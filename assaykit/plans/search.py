@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import vectors
 from assaykit.operators import experiments, hooks, irmetrics, retrieval
-from assaykit.operators.chunking import ChunkConfig
+from assaykit.operators.chunking import DEFAULT_CONFIGS, ChunkConfig
 from assaykit.plans.registry import query, spread_table, table
-from assaykit.plans.texts import hashed_sql, sentences_sql, windows_sql, words_sql
+from assaykit.plans.texts import hashed_sql, semantic_sql, sentences_sql, windows_sql, words_sql
 from assaykit.session import shared_dir
 
 K = 10
@@ -333,13 +333,16 @@ def experiment_deltas(spark, sf_dir):
         "experiment_id", "base_value", "other_value", F.round("delta", 6).alias("delta"))
 
 
-GRID_CONFIGS = [ChunkConfig("fixed_size", chunk_size=256, overlap=50), ChunkConfig("sentence")]
+GRID_CONFIGS = DEFAULT_CONFIGS
 GRID_MODELS = {"hash-64": 64, "hash-128": 128}
 
 
 def chunks_sql(config: ChunkConfig) -> str:
-    cut = windows_sql(words_sql("documents"), config.chunk_size, config.overlap) if config.method == "fixed_size" else (
-        windows_sql(sentences_sql("documents"), config.sentences_per_chunk, config.overlap_sentences))
+    cut = {
+        "fixed_size": windows_sql(words_sql("documents"), config.chunk_size, config.overlap),
+        "sentence": windows_sql(sentences_sql("documents"), config.sentences_per_chunk, config.overlap_sentences),
+        "semantic": semantic_sql(config.max_tokens, 0.15),
+    }[config.method]
     return f"SELECT sha256(doc_id::VARCHAR || '|{config.cache_key}|' || chunk_index) AS doc_id, text FROM ({cut})"
 
 

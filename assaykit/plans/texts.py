@@ -155,13 +155,15 @@ def semantic_groups(spark, sf_dir):
     return chunking.semantic_groups(documents(spark, sf_dir), "doc_id", threshold=THRESHOLD)
 
 
-@query("chunk_semantic", f"""WITH RECURSIVE {SIM_SQL},
+def semantic_sql(limit: int, threshold: float) -> str:
+    """Greedy packing as a recursion over the sentences of all documents."""
+    return f"""WITH RECURSIVE {SIM_SQL},
 n AS MATERIALIZED (SELECT s.doc_id, s.no, s.text, len(regexp_extract_all(s.text, '\\S+\\s*')) AS words,
-    coalesce(similarity < {THRESHOLD}, false) AS cut
+    coalesce(similarity < {threshold}, false) AS cut
   FROM s JOIN sim ON s.doc_id = sim.doc_id AND s.no = sim.no),
 p AS (SELECT doc_id, no, words AS used, 0 AS chunk FROM n WHERE no = 0
-  UNION ALL SELECT n.doc_id, n.no, CASE WHEN n.cut OR p.used + n.words > 60 THEN n.words ELSE p.used + n.words END,
-    p.chunk + (n.cut OR p.used + n.words > 60)::INT
+  UNION ALL SELECT n.doc_id, n.no, CASE WHEN n.cut OR p.used + n.words > {limit} THEN n.words ELSE p.used + n.words END,
+    p.chunk + (n.cut OR p.used + n.words > {limit})::INT
   FROM p JOIN n ON n.doc_id = p.doc_id AND n.no = p.no + 1),
 c AS (SELECT p.doc_id, chunk, string_agg(n.text, '' ORDER BY p.no) AS piece
   FROM p JOIN n ON n.doc_id = p.doc_id AND n.no = p.no GROUP BY ALL),
@@ -169,7 +171,10 @@ o AS (SELECT *, coalesce(sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY chun
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c)
 SELECT doc_id, chunk::INT AS chunk_index, (pos + len(piece) - len(regexp_replace(piece, '^\\s+', '')))::BIGINT AS start_char,
   (pos + len(regexp_replace(piece, '\\s+$', '')))::BIGINT AS end_char, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS text
-FROM o""")
+FROM o"""
+
+
+@query("chunk_semantic", semantic_sql(60, THRESHOLD))
 def chunk_semantic(spark, sf_dir):
     return chunking.chunk_semantic(documents(spark, sf_dir), "doc_id", max_tokens=60, threshold=THRESHOLD)
 
