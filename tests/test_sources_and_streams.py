@@ -4,6 +4,7 @@ import pytest
 from conftest import AS_OF
 from pyspark.sql import functions as F
 
+from assaykit import session
 from assaykit.operators import validation
 from assaykit.operators.hooks import embed, hashed_terms
 from assaykit.schemas import PAIR, QA_RECORD
@@ -143,3 +144,16 @@ def test_summary_document(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "z", 3.0)], "section string, name string, value double")
     doc = json.loads(records.summary_document(rows).select(F.col("document")).first().document)
     assert {k: json.loads(v) for k, v in doc.items()} == {"a": {"x": 1.0, "y": 2.0}, "b": {"z": 3.0}}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster())
