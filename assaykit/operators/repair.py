@@ -42,10 +42,12 @@ def repair_loop(
 ) -> DataFrame:
     """Repair the invalid rows of ``validated`` at most ``max_attempts`` times.
 
-    ``repair(df, attempt)`` gets the rows still invalid (record columns plus ``errors``) and returns the same columns,
-    with the resume replaced where the attempt worked; a row whose repair failed is returned unchanged and still uses
-    up the attempt. ``validate`` re-checks. The job part is never touched. Rows valid from the start pass through with
-    0 attempts. Result columns: those of ``validated`` plus ``attempts`` (the attempt that succeeded, or the maximum).
+    ``repair(df, attempt)`` gets the rows still invalid (record columns plus ``errors``) and returns them, further columns
+    included, with the resume replaced where the attempt worked; a row whose repair failed is returned unchanged and
+    still uses up the attempt. ``validate`` re-checks. Whatever the repair returns, the loop keeps the job as it was,
+    stamps the attempt and gives a changed resume its first template, fit level and style and a new trace id. Rows valid
+    from the start pass through with 0 attempts. Result columns: those of ``validated`` plus ``attempts`` (the attempt that
+    succeeded, or the maximum).
 
     Each round works on the remaining invalid rows only. With ``cut_lineage`` its state is checkpointed, so a lost
     executor never re-runs earlier rounds and an outside repair model is asked once per row and attempt.
@@ -58,7 +60,8 @@ def repair_loop(
     pending = validated.where("NOT is_valid")
     done = [validated.where("is_valid").withColumn("attempts", F.lit(0))]
     for attempt in range(1, max_attempts + 1):
-        state = validate(repair(pending, attempt).select(*records)).select(*columns)
+        held = pending.withColumns({"_job": F.col("job"), "_resume": F.col("resume")})
+        state = validate(stamped(repair(held, attempt), attempt).select(*records)).select(*columns)
         if cut_lineage:
             state = state.checkpoint()
         last = attempt == max_attempts
@@ -67,6 +70,15 @@ def repair_loop(
     return reduce(DataFrame.unionByName, done)
 
 
+def stamped(df: DataFrame, attempt: int) -> DataFrame:
+    """Rows after a repair, with the job of before (``_job``), the attempt in the metadata and a changed resume restamped."""
+    changed = ~F.col("resume").eqNullSafe(F.col("_resume"))
+    return df.withColumns({
+        "job": F.col("_job"), "metadata": F.col("metadata").withField("correction_attempts", F.lit(attempt)),
+        "resume": F.when(changed, restamp_resume("_resume", F.col("resume"))).otherwise(F.col("resume")),
+    })
+
+
 def deterministic_fix(df: DataFrame, attempt: int, as_of: str) -> DataFrame:
     """A repair without a model: attempt 1 pads the phone, attempt 2 drops future entries, attempt 3 drops blank skills."""
     today = F.lit(as_of).cast("date")
@@ -82,21 +94,27 @@ def deterministic_fix(df: DataFrame, attempt: int, as_of: str) -> DataFrame:
         fixed = resume.withField("experience", keep).withField("education", study)
     else:
         fixed = resume.withField("skills", F.filter(resume["skills"], lambda s: F.trim(s["name"]) != ""))
-    stamped = F.col("metadata").withField("correction_attempts", F.lit(attempt))
-    return df.withColumn("resume", restamp_resume("resume", fixed)).withColumn("metadata", stamped)
+    return df.withColumn("resume", fixed)
 
 
-def corrected_and_failed(result: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that needed repair, split by the outcome."""
+def corrected_and_failed(result: DataFrame, given_up: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that needed repair, split by the outcome; pairs without a first validation (``given_up``) have failed."""
     tried = result.where("attempts > 0")
-    return tried.where("is_valid"), tried.where("NOT is_valid")
+    failed = tried.where("NOT is_valid")
+    return tried.where("is_valid"), failed if given_up is None else failed.unionByName(given_up, allowMissingColumns=True)
 
 
-def repair_stats(result: DataFrame) -> DataFrame:
-    """Rows (name, value): total, corrected, permanently_failed, correction_rate and the attempts histogram."""
+def repair_stats(result: DataFrame, given_up: DataFrame | None = None) -> DataFrame:
+    """Rows (name, value): total, corrected, permanently_failed, correction_rate and the attempts histogram.
+
+    ``given_up`` are invalid pairs without a first validation: they count as permanently failed, with no attempt.
+    """
     per_attempt = result.where("attempts > 0").groupBy("attempts").agg(
         F.count("*").alias("n"), F.count_if("is_valid").alias("ok"))
-    totals = per_attempt.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"))
+    counted = per_attempt.select("n", "ok")
+    if given_up is not None:
+        counted = counted.unionByName(given_up.agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("ok")))
+    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"))
     rows = [("total_pairs", F.col("n")), ("corrected", F.col("ok")), ("permanently_failed", F.col("n") - F.col("ok")),
             ("correction_rate", rate(F.col("ok"), F.col("n")))]
     head = totals.select(F.inline(F.array(*[

@@ -304,9 +304,9 @@ fixed AS (
 """
 
 
-def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repaired(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None) -> DataFrame:
     return repair.repair_loop(
-        validated(spark, sf_dir),
+        validated(spark, sf_dir) if checked is None else checked,
         lambda df, attempt: repair.deterministic_fix(df, attempt, AS_OF),
         lambda df: validation.validate_pairs(df, AS_OF))
 
@@ -318,13 +318,20 @@ def repair_loop(spark, sf_dir):
 
 
 @query("repair_stats", REPAIR_SQL + """
-, t AS (SELECT count(*) FILTER (attempts > 0)::DOUBLE AS n, count(*) FILTER (attempts > 0 AND is_valid)::DOUBLE AS ok FROM fixed)
+, lost AS (SELECT k FROM err GROUP BY k HAVING count(*) = count(*) FILTER (rule = 6)),
+known AS (SELECT * FROM fixed ANTI JOIN lost USING (k)),
+t AS (SELECT count(*) FILTER (attempts > 0)::DOUBLE + (SELECT count(*) FROM lost) AS n,
+    count(*) FILTER (attempts > 0 AND is_valid)::DOUBLE AS ok FROM known)
 SELECT 'total_pairs' AS name, n AS value FROM t UNION ALL SELECT 'corrected', ok FROM t
 UNION ALL SELECT 'permanently_failed', n - ok FROM t
 UNION ALL SELECT 'correction_rate', CASE WHEN n = 0 THEN 0.0 ELSE ok / n END FROM t
-UNION ALL SELECT 'attempts_' || attempts, count(*)::DOUBLE FROM fixed WHERE attempts > 0 GROUP BY attempts""")
+UNION ALL SELECT 'attempts_' || attempts, count(*)::DOUBLE FROM known WHERE attempts > 0 GROUP BY attempts""")
 def repair_stats(spark, sf_dir):
-    return repair.repair_stats(repaired(spark, sf_dir))
+    """Pairs whose only error is the phone have no stored validation here, so they are given up without an attempt."""
+    checked = validated(spark, sf_dir)
+    known = F.exists("errors", lambda e: e["field_path"] != "resume.contact.phone")
+    matched = F.col("is_valid") | known
+    return repair.repair_stats(repaired(spark, sf_dir, checked.where(matched)), checked.where(~matched).select(pid()))
 
 
 @query("failure_reasons", REPAIR_SQL + """

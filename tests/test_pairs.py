@@ -177,3 +177,31 @@ def test_empty_repair_rate_is_zero(spark, pair):
     out = repair.repair_loop(check(table(spark, [pair])), lambda df, n: df, check)
     stats = {r.name: r.value for r in repair.repair_stats(out).collect()}
     assert stats["correction_rate"] == 0.0 and stats["total_pairs"] == 0
+
+
+def test_loop_protects_the_job_and_stamps(spark, pair):
+    pair["resume"]["contact"]["phone"] = "123"
+    check = lambda df: validation.validate_pairs(df, AS_OF)
+
+    def careless(df, attempt):
+        resume = F.col("resume").withField("contact.phone", F.lit("4155551234"))
+        job = F.col("job").withField("title", F.lit("another post"))
+        return df.withColumn("resume", resume.withField("metadata.fit_level", F.lit("Poor"))).withColumn("job", job)
+
+    row = repair.repair_loop(check(table(spark, [pair])), careless, check).first()
+    assert row.is_valid and row.attempts == 1 and row.metadata.correction_attempts == 1
+    assert row.job.title == pair["job"]["title"] and row.resume.metadata.fit_level == "Excellent"
+    assert row.resume.metadata.trace_id != pair["resume"]["metadata"]["trace_id"]
+
+
+def test_given_up_pairs_count_as_failed(spark, pair):
+    other = copy.deepcopy(pair)
+    other["resume"]["contact"]["phone"] = "123"
+    other["metadata"]["pair_id"] = "lost"
+    check = lambda df: validation.validate_pairs(df, AS_OF)
+    out = repair.repair_loop(check(table(spark, [pair])), lambda df, n: df, check)
+    lost = table(spark, [other])
+    stats = {r.name: r.value for r in repair.repair_stats(out, lost).collect()}
+    assert stats == {"total_pairs": 1, "corrected": 0, "permanently_failed": 1, "correction_rate": 0}
+    corrected, failed = repair.corrected_and_failed(out, lost)
+    assert corrected.count() == 0 and [r.metadata.pair_id for r in failed.collect()] == ["lost"]
