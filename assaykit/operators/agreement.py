@@ -59,12 +59,12 @@ def judge_averages(judged: DataFrame, scores: list[str]) -> DataFrame:
 
 
 def gap_analysis(judged: DataFrame, labels: DataFrame, topics: dict[str, tuple[str, str]], key: str = "pair_id",
-                 threshold: int = 3) -> DataFrame:
+                 threshold: int = 3, order: str | None = None) -> DataFrame:
     """Rows (topic, rule_flags, judge_flags, both_flags) over judged rows that have a label.
 
-    ``topics`` maps a topic to (rule flag column, judge score column). No judged rows give no result rows.
+    With ``order`` the last label of a repeated key counts, as in :func:`labelled_pairs`. ``topics`` maps a topic to (rule flag column, judge score column). No judged rows give no result rows.
     """
-    joined = judged.join(labels, key)
+    joined = judged.join(last_per_key(labels, [key], order) if order else labels, key)
     counts = []
     for topic, (flag, score) in topics.items():
         rule, judge = F.col(flag).cast("boolean"), F.col(score) >= threshold
