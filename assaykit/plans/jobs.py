@@ -194,17 +194,18 @@ def cache_missing(spark, sf_dir):
     return truth.missing_from_cache(table(spark, sf_dir, "documents").select("doc_id"), stored, "doc_id")
 
 
-@query("embedding_cache", "SELECT doc_id, n_chars, TRUE AS same FROM documents")
+@query("embedding_cache", f"""
+SELECT doc_id, bucket::INT AS bucket, round(v, 5) AS v FROM ({hashed_sql('documents', 'doc_id', 16)})""")
 def embedding_cache(spark, sf_dir):
-    """Fill the store in two runs (labelled documents first, then all) and read it: every document has its vector once."""
+    """Fill the store in two runs (labelled documents first, then all) and read it: every document has its vector once, value by value."""
     path = fresh_path(spark, "embedding-cache")
     docs = corpus(spark, sf_dir)
     first = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     embedder = lambda text: hooks.embed(text, hooks.hashed_terms(16))
     for chunk in (first, docs):
         stored = truth.cached_embeddings(spark, chunk, path, "whole", "hash-16", embedder, key="doc_id")
-    sizes = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return sizes.join(stored, "doc_id").select("doc_id", "n_chars", (F.size("embedding") == 16).alias("same"))
+    values = stored.select("doc_id", F.posexplode("embedding").alias("bucket", "v")).where("v <> 0")
+    return values.select("doc_id", "bucket", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 # ---------------------------------------------------------------- files
