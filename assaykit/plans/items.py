@@ -146,3 +146,19 @@ def judge_range_check(spark, sf_dir):
         (F.col("l_quantity") % 13).cast("int").alias("quality_score"))
     errors = scores.select(F.explode(validation.pair_judgement_errors()).alias("e"))
     return errors.groupBy("e.field_path", "e.category").agg(F.count("*").alias("n"))
+
+
+@query("judge_flag_check", """
+SELECT field_path, category, count(*) AS n FROM (
+  SELECT 'incomplete_answer' AS field_path, CASE WHEN l_linenumber <> 7 THEN l_linenumber - 1 END AS v FROM lineitem
+  UNION ALL SELECT 'poor_quality_tips', (l_quantity % 3)::INT FROM lineitem
+), LATERAL (SELECT CASE WHEN v IS NULL THEN 'missing_field' ELSE 'format_violation' END AS category)
+WHERE v IS NULL OR v NOT BETWEEN 0 AND 1 GROUP BY ALL""")
+def judge_flag_check(spark, sf_dir):
+    """Flags of the item judge are 0 or 1; anything else, or none, is an error."""
+    flags = ["incomplete_answer", "poor_quality_tips"]
+    scores = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") - 1).alias(flags[0]),
+        (F.col("l_quantity") % 3).cast("int").alias(flags[1]))
+    errors = scores.select(F.explode(validation.judgement_errors("", flags)).alias("e"))
+    return errors.groupBy("e.field_path", "e.category").agg(F.count("*").alias("n"))

@@ -100,6 +100,20 @@ def corrected_prompts(spark, sf_dir):
     return generation.with_suffix(baseline, SUFFIX)
 
 
+JOB_TEMPLATE, NICHE_NOTE = "Invent a post at a company in {industry}.{note}", " Only specialists fit it."
+
+
+@query("job_prompt", PLAN_SQL + f"""
+SELECT p_partkey, 'Invent a post at a company in ' || industry || '.' || CASE WHEN is_niche THEN '{NICHE_NOTE}' ELSE '' END AS prompt
+FROM j""")
+def job_prompt(spark, sf_dir):
+    """One prompt per planned job; niche jobs get a note of their own."""
+    planned = generation.plan_jobs(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", INDUSTRIES, NICHE_INDUSTRIES)
+    note = F.when(F.col("is_niche"), F.lit(NICHE_NOTE)).otherwise("")
+    return planned.select("p_partkey", generation.render(F.lit(JOB_TEMPLATE), {
+        "industry": F.col("industry"), "note": note}).alias("prompt"))
+
+
 FIT_TEXTS = {level: f"Aim for a {level.lower()} match." for level in FIT_LEVELS}
 TEMPLATE = "Job: {title} in {industry}. Skills: {skills}. Level: {level}. {fit}"
 
