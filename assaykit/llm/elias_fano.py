@@ -22,7 +22,7 @@ from assaykit.operators.hotkeys import fits_broadcast
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 512
-CACHED = 350_000
+CACHED = 250_000
 SLICE = 512
 HEAD = struct.Struct("<4sBQQ")
 MAGIC = b"EFB1"
