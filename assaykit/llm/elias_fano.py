@@ -7,7 +7,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from assaykit.operators.hotkeys import fits_broadcast
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 512
-CACHED = 250_000
+CACHED = 350_000
 SLICE = 512
 HEAD = struct.Struct("<4sBQQ")
 MAGIC = b"EFB1"
@@ -111,7 +110,7 @@ class ChunkEncoder:
 
     Byte-level BPE splits a text before it merges, and always in front of a single space between two other characters. A text
     is therefore cut at these spaces and its ids are those of its chunks. Texts with other runs of white space around a
-    space are encoded whole. The first ``CACHED`` chunks stay for a task (some of them for the life of the worker), and about as many recent ones.
+    space are encoded whole. The first ``CACHED`` chunks stay for the life of the worker, and about as many recent ones for a task.
     A chunk is keyed by what follows its space; the first chunk of a text has none and is keyed by a tuple.
     """
 
@@ -165,11 +164,9 @@ class ChunkEncoder:
                 for pieces in cut]
 
 
-    def trim(self, size: int = 50_000) -> None:
-        """Let go of all chunks but the first ``size``: a worker that goes on to other work keeps little of this one."""
+    def trim(self) -> None:
+        """Let go of the recent chunks: a worker that goes on to other work keeps the first ones only."""
         self.recent = {}
-        if len(self.kept) > size:
-            self.kept = dict(islice(self.kept.items(), size))
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}

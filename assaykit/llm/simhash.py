@@ -189,7 +189,9 @@ def wide_links(nodes: DataFrame, node: str = "node", max_distance: int = WIDE_DI
     masks = F.array(*[F.struct(*[F.lit(w).cast("long").alias(f"m{i}") for i, w in enumerate(m)], F.lit(n).alias("t"))
                       for n, m in enumerate(block_masks(LANES, BLOCKS, rounds))])
     keys = F.transform(masks, lambda m: F.xxhash64(m.t, *[F.col(f).bitwiseAND(m[f"m{i}"]) for i, f in enumerate(prints)]))
-    rows = nodes.select(node, F.explode(keys).alias("k"))
+    # about a million keys a task, so that the counts of a task stay small
+    tasks = max(1, -(-nodes.count() * BLOCKS * rounds // (1 << 20)))
+    rows = nodes.repartition(tasks, node).select(node, F.explode(keys).alias("k"))
     blocks = rows.groupBy("k").agg(F.min(node).alias("low"), F.max(node).alias("high"), F.count("*").alias("n")).where("n > 1")
     blocks = stored(blocks, "wide-blocks")
     two = blocks.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
