@@ -126,6 +126,40 @@ def test_near_copies(docs, empty, corpus):
     assert set(ids) == kept and max(ids.values()) == 1
 
 
+def jaccard_groups(texts):
+    sets = {i: set(shingles(t, 5)) for i, t in texts.items()}
+    close = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(texts, 2)}
+    root = classes(set(texts), [p for p, s in close.items() if s >= 0.8])
+    low = {}
+    for i in texts:
+        low[root[i]] = min(low.get(root[i], i), i)
+    return set(low.values()), [s for s in close.values() if 0.8 <= s < 1]
+
+
+def near_copies_left(spark, texts):
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {r.doc_id for r in simhash.drop_near_copies(table).collect()}
+
+
+@pytest.mark.parametrize("split", [0, 8])
+def test_near_copies_in_crowded_keys(spark, monkeypatch, split):
+    """Most of every text is one of two common passages, so that strangers stand with each pair wherever it meets."""
+    monkeypatch.setattr(simhash, "SPLIT", split, raising=False)
+    draw, texts = random.Random(8), {}
+    passages = [words(240, 31, 5000), words(240, 32, 5000)]
+    own = {}
+    for i in range(160):
+        own[i] = [f"own{i}x{j}" for j in range(70 + i % 9)]
+        texts[i] = " ".join([*passages[i % 2], *own[i]])
+    for i in range(60):
+        mine = own[100 + i].copy()
+        for _ in range(2 + i % 7):
+            mine[draw.randrange(len(mine))] = f"new{draw.randrange(10**9)}"
+        texts[200 + i] = " ".join([*passages[i % 2], *mine])
+    expected, close = jaccard_groups(texts)
+    assert near_copies_left(spark, texts) == expected and len(close) >= 30
+
+
 # --- decontamination
 
 
