@@ -160,6 +160,20 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch, split):
     assert near_copies_left(spark, texts) == expected and len(close) >= 30
 
 
+def test_near_copies_by_bands(spark):
+    """Pairs just above and just below 0.8, from 5 to 300 words, and texts that only a much repeated line makes alike."""
+    draw, texts = random.Random(4), {}
+    for i in range(240):
+        text = words(draw.choice([9, 40, 64, 200, 300]), 1000 + i, 10**6)
+        changed = text[: len(text) - max(1, round(len(text) * draw.uniform(0.02, 0.26)))]
+        texts[2 * i], texts[2 * i + 1] = " ".join(text), " ".join(changed + words(draw.randrange(3), 2000 + i, 10**6))
+    texts |= {1000 + i: "the same line again " * 300 + " ".join(words(60, 3000 + i, 10**6)) for i in range(6)}
+    texts |= {1100 + i: " ".join(words(5, 4000 + i % 2, 10**6)) for i in range(4)}
+    expected, close = jaccard_groups(texts)
+    assert near_copies_left(spark, texts) == expected
+    assert all(sum(lo <= s < lo + 0.05 for s in close) >= 15 for lo in (0.8, 0.85, 0.9))
+
+
 # --- decontamination
 
 
