@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from assaykit.llm.common import ascii_words, plain_names, prepare, row_key, stored, text_bytes
+from assaykit.llm.common import ascii_words, discard, plain_names, prepare, row_key, stored, text_bytes
 from assaykit.llm.components import components
 from assaykit.operators.hotkeys import fits_broadcast
 
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 # Near copies share at least 4 of 5 distinct shingles (Jaccard), compared exactly.
-LEVELS, SAMPLE, HOT, SPLIT = 3, 20_000, 500_000, 8
+LEVELS, SAMPLE, HOT, SPLIT = 3, 4_000, 500_000, 8
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -237,7 +237,11 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int) -> Data
     sets = stored(source.mapInArrow(kernel, "row long, s array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("row").alias("b"), F.col("s").alias("t")), "b").join(
         sets.select(F.col("row").alias("a"), "s"), "a")
-    return stored(both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b"), "near-links")
+    both = both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t")))
+    links = stored(both.select("a", "b"), "near-links")
+    discard(sets)
+    discard(pairs)
+    return links
 
 
 def _possible(seen: int) -> Column:
@@ -257,17 +261,18 @@ def set_links(prefixes: DataFrame, docs: DataFrame, text: str, shingle: int) ->
     """
     to = F.expr("n - (4 * n + 4) div 5")  # last position of the prefix, from 0
     total = prefixes.agg(F.coalesce(F.sum(to + 1), F.lit(0))).first()[0]
-    # about a million keys a task, so that the counts of a task stay small
-    tasks = max(1, -(-total // (1 << 20)))
-    keys = prefixes.repartition(tasks, "node").select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), (to + 1).cast("int"))).alias("i", "k"))
-    common = keys.groupBy("k").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = stored(keys.join(common, "k"), "near-keys")
-
-    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    # about a million keys a task; the counts and the join read the same shuffle, so both take the whole struct
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (1 << 20)))
+    keys = prefixes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), (to + 1).cast("int"))).alias("i", "k"))
+    keys = keys.select("k", F.struct("node", F.col("n").cast("int").alias("n"), "i").alias("v")).repartition(tasks, "k")
+    common = keys.groupBy("k").agg(F.min("v").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = stored(keys.join(common.hint("merge"), "k").select("k", "v.*", "low"), "near-keys")
+
+    def side(rows: DataFrame, name: str, *more: str | Column) -> DataFrame:
         return rows.select("k", *more, F.col("node").alias(name), F.col("n").alias(f"{name}n"), F.col("i").alias(f"{name}i"))
 
-    lows = side(shared.where("node = low"), "a")
-    first = lows.join(side(shared.where("node <> low"), "b"), "k").where(_possible(1)).select("a", "b")
+    low = [F.col("low.node").alias("a"), F.col("low.n").alias("an"), F.col("low.i").alias("ai")]
+    first = side(shared.where("node <> low.node").select("*", *low), "b", "a", "an", "ai").where(_possible(1)).select("a", "b")
     links = verified(first, docs, text, shingle)
     roots = components(links)
     level = shared.drop("low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -278,6 +283,8 @@ def set_links(prefixes: DataFrame, docs: DataFrame, text: str, shingle: int) ->
                                        F.max("root").alias("hi")).where("lo < hi")
         split = (SPLIT * F.col("e") < F.col("c") * F.col("c")) if seen < LEVELS else F.lit(False)
         level = stored(level.join(mixed.select("k", split.alias("split")), "k"), "near-mixed")
+        if seen == 1:
+            discard(shared)
         few = level.where(~F.col("split"))
         left, right = (side(few, x, F.col("root").alias(f"{x}r")) for x in "ab")
         found = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _possible(seen))
@@ -309,6 +316,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     prefixes = held.select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node", "left_semi")
     prefixes = stored(prefixes, "near-prefixes")
     roots = components(set_links(prefixes, held.select("row", at[text]), at[text], shingle))
+    discard(prefixes)
     rooted = nodes.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
     rows = held.select("row", F.col(at[id_col]).alias("_id"), "s0", "s1").join(rooted, ["s0", "s1"]).select("row", "_id", "root")
     rows = stored(rows, "near-groups")
