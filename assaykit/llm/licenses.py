@@ -35,9 +35,7 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("epl-2", "made available under the terms of the eclipse public license v 2 0", ["eclipse public license v 2 0"]),
 ]
-RARE_SHARE = 0.05
-TOP_WORDS = 8
-MIN_VOTES = 2
+ANCHORS = 2
 MIN_COVERAGE = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,25 +89,26 @@ def read_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 def notice_labels(read: DataFrame) -> DataFrame:
     """Per ``row``: labels of the templates found through rare words, and the best coverage.
 
-    Document frequencies of the licence words come from all documents. A row's rarest ones (in at most ``RARE_SHARE`` of the
-    documents; the ``TOP_WORDS`` highest by IDF, ties by word) are looked up in the postings; a template and offset with two
-    votes is a candidate. All licence words of the candidate rows are then matched at that offset: a template is found if each
-    of its key words stands in its place and at least ``MIN_COVERAGE`` of all its words do.
+    Document frequencies of the licence words come from all documents. Of each template's key words, all of which must match,
+    the ``ANCHORS`` rarest (highest by IDF, ties by word) are looked up in every row, however frequent they are and whatever else
+    stands there; an offset at which all of them stand is a candidate. All licence words of the candidate rows are then matched
+    at that offset: a template is found if each of its key words stands in its place and at least ``MIN_COVERAGE`` of all its
+    words do.
     """
     spark = read.sparkSession
-    total = read.count()
-    kinds = read.select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w"))
+    kinds = read.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w"))
     # one row per word of the fixed lexicon
-    rare = kinds.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") <= max(1, RARE_SHARE * total))
-    best = (kinds.join(F.broadcast(rare), "w").groupBy("row")
-            .agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "w"))), 1, TOP_WORDS).alias("top"))
-            .select("row", F.explode("top").alias("t")).select("row", "t.w"))
-    postings = F.broadcast(spark.createDataFrame(
-        _postings(TEMPLATES), "w string, template int, at int, length int, is_key int, keys int"))
+    df = {r.w: r.df for r in kinds.groupBy("w").agg(F.count("*").alias("df")).collect()}
+    names = "w string, template int, at int, length int, is_key int, keys int"
+    rows, anchors = _postings(TEMPLATES), []
+    for number in range(len(TEMPLATES)):
+        key = sorted((df.get(w, 0), w, at) for w, template, at, _, is_key, _ in rows if template == number and is_key)
+        anchors += [(w, number, at) for _, w, at in key[:ANCHORS]]
+    postings = F.broadcast(spark.createDataFrame(rows, names))
+    anchored = F.broadcast(spark.createDataFrame(anchors, "w string, template int, at int"))
     hits = read.select("row", F.explode("hits").alias("h")).select("row", "h.i", "h.w")
-    votes = hits.join(F.broadcast(rare.select("w")), "w").join(best, ["row", "w"]).join(postings, "w")
-    candidates = votes.groupBy("row", "template", (F.col("i") - F.col("at")).alias("offset")).agg(
-        F.count("*").alias("n")).where(F.col("n") >= MIN_VOTES).drop("n")
+    candidates = hits.join(anchored, "w").groupBy("row", "template", (F.col("i") - F.col("at")).alias("offset")).agg(
+        F.count("*").alias("n")).where(F.col("n") == ANCHORS).drop("n")
     candidates = stored(candidates, "licence-candidates")
     rows = candidates.select("row").distinct()
     matched = (

@@ -427,6 +427,18 @@ def test_license_scan(spark, docs, empty, corpus):
     assert licenses.scan(docs).count() == len(corpus) and licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("size, share", [(30, 2), (200, 100)])
+def test_licences_in_many_files(spark, size, share):
+    """Notices in a large share of the files, and a file of several notices among other licence words."""
+    notice = {label: text for label, text, _ in licenses.TEMPLATES}
+    rows = [(i, " ".join(words(40, i)) + " " + (notice["gpl-3"] if i < share else "")) for i in range(size)]
+    many = ["bsd", "isc", "lgpl-3", "mpl-2", "cc0", "unlicense", "epl-2", "gpl-3"]
+    stray = "dedication mozilla eclipse domain affero unencumbered universal documentation conditions redistribution "
+    rows += [(1000, stray.join(notice[x] + " " for x in many)), (1001, stray * 3 + notice["agpl-3"] + " " + stray)]
+    found = {r.doc_id: sorted(r.found) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: ["gpl-3"] if i < share else [] for i in range(size)} | {1000: sorted(many), 1001: ["agpl-3"]}
+
+
 # --- secrets
 
 
