@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontam, elias_fano, graph_search, langid, licenses, pfair, secrets, simhash, suffix_tree, winnow
+from assaykit.llm import (
+    centroids, chat, decontam, elias_fano, graph_search, langid, licenses, pfair, secrets, simhash, suffix_tree, whiten, winnow,
+)
 from assaykit.llm.common import ORACLES, PLANS
 from assaykit.session import fresh_path
 
@@ -137,3 +139,59 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.learn_profiles(table(spark, sf_dir, "documents"))
     return langid.identify(table(spark, sf_dir, "pages"), profiles, ["page_id"], F.col("html"), langid.host_of(F.col("url")),
                            langid.declared_in(F.col("html")), markup=True)
+
+
+@query("op11_whiten_embeddings")
+def whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """The rounds one after the other: distances of all vectors to all centroids, then the floor of each mean."""
+    steps = [f"""
+WITH v AS (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) q
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 k, q c FROM v ORDER BY k LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (SELECT r, vec_id, any_value(q) q, min(struct_pack(d := list_sum(list_transform(list_zip(q, c),
+    lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k := k)) m FROM v, c{i} GROUP BY r, vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT m.k k, p, sum(q[p])::BIGINT s, count(*) n FROM a{i}, range(1, 65) t(p) GROUP BY 1, 2),
+m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p) c FROM s{i} GROUP BY 1),
+c{i + 1} AS (SELECT k, coalesce(m.c, o.c) c FROM c{i} o LEFT JOIN m{i} m USING (k))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, m.k::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.k)::BIGINT AS cluster_inertia,
+    sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = m.k"""
+
+
+@query("op12_cluster_embeddings", _clusters_sql())
+def cluster_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_format_chats", r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') learned,
+    sum(23 + length(regexp_replace(role, '<\|(\**)(turn|text|end)\|>', '<|*\1\2|>', 'g'))
+        + length(regexp_replace(text, '<\|(\**)(turn|text|end)\|>', '<|*\1\2|>', 'g')))::BIGINT formatted_chars
+    FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+    formatted_chars FROM g
+""")
+def format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(planted.columns).unionAll(planted)
+    chats = chat.format_chats(chat.canonical_turns(chat.gather(rows)))
+    read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"),
+                        chat.read_turns(F.col("formatted")).alias("turns"),
+                        F.array_join(chat.learned_texts(F.col("formatted"), F.col("loss_mask")), "").alias("learned"))
+    said_all = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_all, 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       "formatted_chars")
