@@ -1,4 +1,4 @@
-"""Near-duplicate documents: by SimHash fingerprints through shared blocks of bits, and by exact similarity of shingle sets."""
+"""Near-duplicate documents by SimHash fingerprints that share blocks of bits."""
 
 from __future__ import annotations
 
@@ -10,11 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from assaykit.llm.common import ascii_words, discard, plain_names, prepare, row_key, stored, text_bytes
+from assaykit.llm.common import ascii_words, prepare, stored, text_bytes
 from assaykit.llm.components import components
-from assaykit.operators.hotkeys import fits_broadcast
 
 # Odd multipliers that derive further 64-bit hashes of a shingle from its first one.
 MIXERS = np.array([2 * ((0x9E3779B97F4A7C15 * i) % 2**63) + 1 for i in range(1, 16)], dtype=np.uint64)
@@ -161,168 +159,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest = rooted.groupBy("root").agg(F.min("_low").alias("component_id"))
     labels = rooted.join(smallest, "root").select(F.col("f").alias("f0"), "component_id")
     return prints.join(labels, "f0").select(F.col("_id").alias(id_col), "f0", "component_id")
-
-
-# Near copies share at least 4 of 5 distinct shingles (Jaccard), compared exactly.
-LEVELS, SAMPLE, HOT, SPLIT = 3, 4_000, 500_000, 8
-
-
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The distinct shingles of a text, in the order of their hashes."""
-    return np.unique(shingle_hashes(text, size)).view(np.int64)
-
-
-def frequent_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that occur in two or more of about ``SAMPLE`` distinct texts, with how many; the ``HOT`` most frequent.
-
-    They only order the shingles of a text, so that what many documents share comes last: any order finds the same pairs.
-    """
-    body = docs.select(text_bytes(text).alias("_text"))
-    some = body.where(F.pmod(F.xxhash64("_text"), F.lit(max(1, body.count() // SAMPLE))) == 0).distinct()
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("_text")]
-            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["h", "n"])
-
-    counts = some.mapInArrow(kernel, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    table = counts.orderBy(F.desc("n"), "h").limit(HOT).toPandas().sort_values("h")
-    return table["h"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
-
-
-def _rare_first(shingles: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return shingles
-    at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-    return shingles[np.lexsort((shingles, np.where(hot[at] == shingles, counts[at], 0)))]
-
-
-def with_prefixes(docs: DataFrame, text: str, shingle: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """All columns of ``docs`` with ``s0``, ``s1`` (hash of the set of shingles), ``n`` (its size) and ``prefix``, its rarest ones.
-
-    Of two sets with a similarity of 0.8 the first ``n - ceil(0.8 n) + 1`` of each share one; ``LEVELS - 1`` more are kept.
-    """
-    source = docs.withColumn("_text", text_bytes(text))
-    schema = source.drop("_text").schema.add("s0", "long").add("s1", "long").add("n", "long").add("prefix", ArrayType(LongType()))
-    names = schema.names
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("_text")]
-            print_ = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets],
-                              dtype=np.int64).reshape(-1, 2)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            first = [_rare_first(s, *hot)[: len(s) - (4 * len(s) + 4) // 5 + LEVELS] for s in sets]
-            ends = np.cumsum([0, *map(len, first)])
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            columns = [*batch.columns[:-1], pa.array(print_[:, 0]), pa.array(print_[:, 1]), pa.array(sizes), prefix]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return source.mapInArrow(kernel, schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rows whose sets of shingles have a Jaccard similarity of 0.8 or more, computed exactly."""
-    pairs = stored(pairs.distinct(), "near-pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-wanted")
-    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
-    source = docs.join(wanted, "row", "left_semi").select("row", text_bytes(text).alias("_text"))
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingle_set(t.as_py(), shingle) for t in batch.column("_text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), sets], names=["row", "s"])
-
-    sets = stored(source.mapInArrow(kernel, "row long, s array<long>"), "near-sets")
-    both = pairs.join(sets.select(F.col("row").alias("b"), F.col("s").alias("t")), "b").join(
-        sets.select(F.col("row").alias("a"), "s"), "a")
-    both = both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t")))
-    links = stored(both.select("a", "b"), "near-links")
-    discard(sets)
-    discard(pairs)
-    return links
-
-
-def _possible(seen: int) -> Column:
-    """Can a pair reach 0.8, if these are the ``seen`` first shingles that it shares, the last of them at ``ai`` and ``bi``?"""
-    return (5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & (
-        9 * (seen - 1 + F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi"))) >= 4 * (F.col("an") + F.col("bn")))
-
-
-def set_links(prefixes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Links ``(a, b)`` among nodes, all of 0.8 and more, whose components are those of all such pairs.
-
-    Nodes are keyed by each shingle of their prefix. First every node is compared with the smallest one of each key, which joins
-    most of a group of copies without making pairs of it. Keys that still hold several components are then compared in full but
-    for pairs of one component. Where that makes more pairs than rows, rows are keyed again by each further shingle of their
-    prefix, which a close pair must share too: what only has one common passage falls apart, and no pair is lost. Keys of the last
-    level are compared in full, whatever their number.
-    """
-    to = F.expr("n - (4 * n + 4) div 5")  # last position of the prefix, from 0
-    total = prefixes.agg(F.coalesce(F.sum(to + 1), F.lit(0))).first()[0]
-    # about a million keys a task; the counts and the join read the same shuffle, so both take the whole struct
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (1 << 20)))
-    keys = prefixes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), (to + 1).cast("int"))).alias("i", "k"))
-    keys = keys.select("k", F.struct("node", F.col("n").cast("int").alias("n"), "i").alias("v")).repartition(tasks, "k")
-    common = keys.groupBy("k").agg(F.min("v").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = stored(keys.join(common.hint("merge"), "k").select("k", "v.*", "low"), "near-keys")
-
-    def side(rows: DataFrame, name: str, *more: str | Column) -> DataFrame:
-        return rows.select("k", *more, F.col("node").alias(name), F.col("n").alias(f"{name}n"), F.col("i").alias(f"{name}i"))
-
-    low = [F.col("low.node").alias("a"), F.col("low.n").alias("an"), F.col("low.i").alias("ai")]
-    first = side(shared.where("node <> low.node").select("*", *low), "b", "a", "an", "ai").where(_possible(1)).select("a", "b")
-    links = verified(first, docs, text, shingle)
-    roots = components(links)
-    level = shared.drop("low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = None
-    for seen in range(1, LEVELS + 1):
-        further = F.least(to + seen, F.col("n") - 1) - F.col("i")
-        mixed = level.groupBy("k").agg(F.count("*").alias("c"), F.sum(further).alias("e"), F.min("root").alias("lo"),
-                                       F.max("root").alias("hi")).where("lo < hi")
-        split = (SPLIT * F.col("e") < F.col("c") * F.col("c")) if seen < LEVELS else F.lit(False)
-        level = stored(level.join(mixed.select("k", split.alias("split")), "k"), "near-mixed")
-        if seen == 1:
-            discard(shared)
-        few = level.where(~F.col("split"))
-        left, right = (side(few, x, F.col("root").alias(f"{x}r")) for x in "ab")
-        found = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _possible(seen))
-        pairs = found.select("a", "b") if pairs is None else pairs.union(found.select("a", "b"))
-        many = level.where("split")
-        if many.isEmpty():
-            break
-        level = (
-            many.join(prefixes.select("node", "prefix"), "node")
-            .select("node", "n", "root", "k", "i", F.posexplode(F.slice("prefix", F.col("i") + 2, further.cast("int"))).alias("j", "next"))
-            .select("node", "n", "root", (F.col("i") + 1 + F.col("j")).alias("i"), F.xxhash64("k", "next").alias("k"))
-        )
-    return links.union(verified(pairs, docs, text, shingle))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest id (null last), all columns as they were.
-
-    Near copies have a Jaccard similarity of 0.8 or more over their distinct runs of ``shingle`` words; a group is what is
-    reachable over such pairs. All of them are found, and each link is verified on the whole texts. Texts with equal sets and
-    repeated rows are one node; texts without words are copies of each other, null counts as empty. An empty table gives an
-    empty table.
-    """
-    prepare(docs.sparkSession)
-    plain, at = plain_names(docs)
-    hot = frequent_shingles(plain, at[text], shingle)
-    held = stored(with_prefixes(plain, at[text], shingle, hot).withColumn("row", row_key()), "near-held")
-    nodes = stored(held.groupBy("s0", "s1").agg(F.min("row").alias("node")), "near-nodes")
-    prefixes = held.select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node", "left_semi")
-    prefixes = stored(prefixes, "near-prefixes")
-    roots = components(set_links(prefixes, held.select("row", at[text]), at[text], shingle))
-    discard(prefixes)
-    rooted = nodes.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
-    rows = held.select("row", F.col(at[id_col]).alias("_id"), "s0", "s1").join(rooted, ["s0", "s1"]).select("row", "_id", "root")
-    rows = stored(rows, "near-groups")
-    # smallest id, then smallest row: two plain minima, each combined before the shuffle
-    ids = rows.groupBy("root").agg(F.min("_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    first = rows.join(ids, "root").where(F.col("_id").eqNullSafe(F.col("low"))).groupBy("root").agg(F.min("row").alias("keep"))
-    gone = rows.join(first, "root").where("row <> keep").select("row")
-    gone = F.broadcast(gone) if fits_broadcast(gone) else gone
-    return held.join(gone, "row", "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from assaykit.llm import (
-    components, decontam, elias_fano, graph_search, langid, licenses, pfair, secrets, simhash, suffix_tree, winnow,
+    components, decontam, elias_fano, graph_search, langid, licenses, near_copies, pfair, secrets, simhash, suffix_tree, winnow,
 )
 
 bpe = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -119,8 +119,8 @@ def test_close_links_lose_no_component(spark, monkeypatch, bucket):
 
 
 def test_near_copies(docs, empty, corpus):
-    left = simhash.drop_near_copies(docs)
-    assert left.columns == docs.columns and simhash.drop_near_copies(empty).count() == 0
+    left = near_copies.drop_near_copies(docs)
+    assert left.columns == docs.columns and near_copies.drop_near_copies(empty).count() == 0
     ids = collections.Counter(r.doc_id for r in left.select("doc_id").collect())
     kept = set(range(2, 30)) | {40, 50, 60, 63, 64, None}  # 51 holds 50 and five more words
     assert set(ids) == kept and max(ids.values()) == 1
@@ -138,13 +138,13 @@ def jaccard_groups(texts):
 
 def near_copies_left(spark, texts):
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    return {r.doc_id for r in simhash.drop_near_copies(table).collect()}
+    return {r.doc_id for r in near_copies.drop_near_copies(table).collect()}
 
 
-@pytest.mark.parametrize("split", [0, 8])
-def test_near_copies_in_crowded_keys(spark, monkeypatch, split):
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_near_copies_in_crowded_keys(spark, monkeypatch, crowd):
     """Most of every text is one of two common passages, so that strangers stand with each pair wherever it meets."""
-    monkeypatch.setattr(simhash, "SPLIT", split, raising=False)
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     draw, texts = random.Random(8), {}
     passages = [words(240, 31, 5000), words(240, 32, 5000)]
     own = {}
