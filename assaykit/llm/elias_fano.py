@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +22,8 @@ from assaykit.operators.hotkeys import fits_broadcast
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 512
-CACHED = 350_000
-SLICE = 512
+CACHED = 500_000
+SLICE = 1000
 HEAD = struct.Struct("<4sBQQ")
 MAGIC = b"EFB1"
 
@@ -77,24 +78,26 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """Value i, read from the sample before it."""
-        if not 0 <= i < self.count:
-            raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        need, byte = i - i // SAMPLE * SAMPLE + 1, at // 8
-        skipped = at % 8
-        while True:
-            bits = np.unpackbits(self.high[byte : byte + 128], bitorder="little")
-            bits[:skipped] = 0
-            ones = np.flatnonzero(bits)
-            if len(ones) >= need:
-                place = byte * 8 + int(ones[need - 1])
-                return ((place - i) << self.width) | int(self._low(i, i + 1)[0])
-            need, byte, skipped = need - len(ones), byte + 128, 0
+        return int(self.select_range(i, i + 1)[0])
+
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` to ``last - 1``: the high bits are read from the sample before the first of them to the last one."""
+        if not 0 <= first <= last <= self.count:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        at = int(self.samples[first // SAMPLE])
+        base, byte = first // SAMPLE * SAMPLE, at // 8
+        # the sample after the range bounds it, if there is one
+        end = int(self.samples[(last - 1) // SAMPLE + 1]) // 8 + 1 if (last - 1) // SAMPLE + 1 < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[byte:end], bitorder="little")
+        bits[: at % 8] = 0
+        places = np.flatnonzero(bits)[first - base : last - base] + byte * 8
+        return ((places - np.arange(first, last)) << self.width) | self._low(first, last)
 
     def values(self) -> np.ndarray:
         """All values at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        return ((places - np.arange(self.count)) << self.width) | self._low(0, self.count)
+        return self.select_range(0, self.count)
 
 
 def low_width(count: int, universe: int) -> int:
@@ -102,71 +105,139 @@ def low_width(count: int, universe: int) -> int:
 
 
 # A space next to other white space, or at an end, may belong to a longer run of white space.
-_RUNS = re.compile(r"\s | \s|^ | $")
+_SPACE = r"[\t\n\v\f\r\x1c-\x1f\x{85}\p{Z}]"
+_RUNS = rf"{_SPACE} | {_SPACE}|\A | \z"
+_STOPS = ".,;:!?"
 
 
-class ChunkEncoder:
-    """Ids of whole texts from the tokenizers library, with each distinct chunk encoded once.
+def _byte_alphabet() -> dict[int, str]:
+    """Character of each byte in the byte-level alphabet: printable Latin-1 ones stand for themselves, others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _is_word(part: str) -> bool:
+    """Letters only, of scripts whose letters have long been settled: one piece for the splitting rule, whatever its version."""
+    return part.isalpha() and (part.isascii() or max(part) < "\u0600")
+
 
-    Byte-level BPE splits a text before it merges, and always in front of a single space between two other characters. A text
-    is therefore cut at these spaces and its ids are those of its chunks. Texts with other runs of white space around a
-    space are encoded whole. The first ``CACHED`` chunks stay for the life of the worker, and about as many recent ones for a task.
-    A chunk is keyed by what follows its space; the first chunk of a text has none and is keyed by a tuple.
+class ChunkEncoder:
+    """Ids of whole texts from the tokenizers library, with each distinct chunk of a batch encoded once.
+
+    The byte-level rule splits a text before it merges, and always in front of a single space between two other characters. A
+    text is therefore cut at these spaces, and its ids are those of its chunks. Chunks of letters, stops and single line breaks go
+    to the library's merge model at once, others through the whole library. Texts with other runs of white space around a space are
+    encoded whole, and so is every text if the tokenizer splits by another rule. Cutting, telling distinct chunks apart and
+    putting ids together are array operations; only distinct chunks are Python objects. The first ``CACHED`` chunks stay
+    for the life of the worker.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.id_bytes = np.zeros(max(pieces.values()) + 1, np.int64)
-        # in the byte-level alphabet a character stands for a byte; special strings stand for themselves
-        self.id_bytes[list(pieces.values())] = [len(p) for p in pieces]
-        self.kept: dict[str | tuple[str], bytes] = {}
-        self.recent: dict[str | tuple[str], bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def _spaced(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that follow a space: many in one call, told apart by the bytes that each id stands for."""
-        out: list[bytes] = []
-        runs = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
-        found = self.tokenizer.encode_batch_fast(["".join([" " + c for c in run]) for run in runs], add_special_tokens=False)
-        for run, encoding in zip(runs, found, strict=True):
-            ids = np.array(encoding.ids, dtype=self.dtype)
-            sizes = np.array([len(c.encode()) + 1 for c in run])
-            last = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes)) + 1
-            data, ends = ids.tobytes(), (last * self.dtype.itemsize).tolist()
-            out += [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list | None] = [None if _RUNS.search(t) else t.split(" ") for t in texts]
-        kept, wanted = self.kept, set()
-        for pieces in cut:
-            if pieces is not None:
-                pieces[0] = (pieces[0],)
-                wanted.update(set(pieces).difference(kept))
-        if len(self.recent) > CACHED:
-            self.recent = {}
-        recent = self.recent
-        new = list(wanted.difference(recent))
-        spaced, first = [p for p in new if isinstance(p, str)], [p for p in new if isinstance(p, tuple)]
-        fresh = dict(zip(spaced, self._spaced(spaced), strict=True))
-        fresh.update(zip(first, self._whole([p[0] for p in first]), strict=True))
-        (kept if len(kept) < CACHED else recent).update(fresh)
-        whole = iter(self._whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join([kept[p] if p in kept else recent[p] for p in pieces])
-                for pieces in cut]
-
-
-    def trim(self) -> None:
-        """Let go of the recent chunks: a worker that goes on to other work keeps the first ones only."""
-        self.recent = {}
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        rule = json.loads(tokenizer_json)
+        split = rule.get("pre_tokenizer") or {}
+        self.by_space = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                         and not rule.get("normalizer") and not rule.get("truncation")
+                         and (rule.get("post_processor") or split).get("type") == "ByteLevel"
+                         and rule["model"]["type"] == "BPE" and not any(" " in t["content"] for t in rule.get("added_tokens", [])))
+        self.model = self.tokenizer.model
+        self.alphabet = _byte_alphabet()
+        self.space = self.alphabet[ord(" ")]
+        self.stops: dict[str, list[int]] = {}
+        self.numbers: dict[str, int] = {}
+        self.count = self.used = 0
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, self.dtype)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, text: str) -> list[int]:
+        mapped = (text if text.isascii() else text.encode().decode("latin-1")).translate(self.alphabet)
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def _simple(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk that follows a space, if it is words with stops behind them, parted by single line breaks."""
+        ids: list[int] = []
+        for i, part in enumerate(chunk.split("\n") if "\n" in chunk else (chunk,)):
+            word = part.rstrip(_STOPS)
+            if not _is_word(word):
+                return None
+            if i:
+                ids += self._piece("\n") + self._piece(word)
+            else:
+                ids = [t.id for t in self.model.tokenize(self.space + word)] if word.isascii() else self._piece(" " + word)
+            if len(word) < len(part):
+                stops = part[len(word):]
+                if stops not in self.stops:
+                    self.stops[stops] = self._piece(stops)
+                ids += self.stops[stops]
+        return ids
+
+    def _add(self, found: list[list[int]]) -> np.ndarray:
+        """Put ids at the end of the pool; the numbers they got."""
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total, count = int(sizes.sum()), len(found)
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * total, self.dtype)])
+        if self.count + count > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(self.count + 2 * count, np.int64)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(self.count + 2 * count, np.int32)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
+        new = np.arange(self.count, self.count + count)
+        self.starts[new] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[new] = sizes
+        self.count, self.used = self.count + count, self.used + total
+        return new
+
+    def _spaced(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks that follow a space; those not met before are encoded, and kept while there is room."""
+        numbers = np.fromiter((self.numbers.get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(numbers < 0)
+        fresh = [chunks[i] for i in new.tolist()]
+        found = [self._simple(c) for c in fresh]
+        odd = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(odd, self._whole([" " + fresh[i] for i in odd]), strict=True):
+            found[i] = ids
+        numbers[new] = self._add(found)
+        room = max(0, CACHED - len(self.numbers))
+        self.numbers.update(zip(fresh[:room], numbers[new[:room]].tolist(), strict=True))
+        return numbers
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text, in order."""
+        odd = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False) if self.by_space else np.ones(len(texts), bool)
+        whole = iter(self._whole(texts.filter(pa.array(odd)).to_pylist()))
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        chunks, ends = lists.flatten(), np.diff(lists.offsets.to_numpy()).cumsum()
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        head = np.zeros(len(chunks), bool)
+        head[starts] = True
+        if len(chunks):
+            rest = chunks.filter(pa.array(~head)).dictionary_encode()
+            spaced = self._spaced(rest.dictionary.to_pylist())
+            numbers = np.zeros(len(chunks), np.int64)
+            numbers[~head] = spaced[rest.indices.to_numpy()] if len(rest) else 0
+            numbers[head] = self._add(self._whole(chunks.filter(pa.array(head)).to_pylist()))
+        i = 0
+        for is_odd in odd.tolist():
+            if is_odd:
+                yield np.array(next(whole), self.dtype)
+                continue
+            some = numbers[starts[i] : ends[i]]
+            sizes = self.sizes[some].astype(np.int64)
+            shift = np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes)
+            yield self.pool[shift + np.arange(len(shift))]
+            i += 1
+        # kept chunks come first; forget what no later batch asks for
+        if self.count > len(self.numbers):
+            self.count = len(self.numbers)
+            self.used = int(self.starts[self.count])
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -210,16 +281,16 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, id_col: str
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(tokenizer_json), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], encoder.dtype)
         width = encoder.dtype.itemsize
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        blobs: list[bytes] = []
+        blobs: list[np.ndarray] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
             ends = EliasFano.encode(np.cumsum(lengths)).to_bytes()
-            values = [[part], [seq], [len(doc_ids)], [size], [width], [doc_ids], [ends], [b"".join(blobs)]]
+            values = [[part], [seq], [len(doc_ids)], [size], [width], [doc_ids], [ends], [np.concatenate(blobs).tobytes()]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(),
                                                          pa.list_(pa.int64()), pa.binary(), pa.binary()], strict=True)],
@@ -228,18 +299,16 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, id_col: str
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 some = batch.slice(lo, SLICE)
-                ids = some.column("_id").to_pylist()
-                for doc_id, blob in zip(ids, encoder.encode(some.column("_text").to_pylist()), strict=True):
+                for doc_id, found in zip(some.column("_id").to_pylist(), encoder.encode(some.column("_text")), strict=True):
                     doc_ids.append(doc_id)
-                    blobs += (blob, end)
-                    lengths.append(len(blob) // width + 1)
+                    blobs += (found, end)
+                    lengths.append(len(found) + 1)
                     size += lengths[-1]
                     if size >= segment_ids:
                         yield segment()
                         doc_ids, lengths, blobs, size, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield segment()
-        encoder.trim()
 
     ranged.select("_id", "_text").mapInArrow(kernel, SEGMENT).write.parquet(path)
 
@@ -267,6 +336,31 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(F.broadcast(bases) if fits_broadcast(sizes) else bases, ["part", "seq"])
 
 
+def read_ids(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """``doc_id``, ``start`` among all ids and ``ids`` of some documents: two selects find each, nothing else is decoded.
+
+    A document that is not there gives no row, one that was written twice gives two; null ids cannot be asked for.
+    """
+    asked = F.array(*[F.lit(i).cast("long") for i in sorted(set(wanted))]) if wanted else F.array().cast("array<long>")
+    some = segment_starts(spark, path).where(F.arrays_overlap("doc_ids", asked))
+    numbers = set(wanted)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_ids, block, ids, base, width = (batch.column(c)[row] for c in ("doc_ids", "ends", "ids", "base", "id_bytes"))
+                ends = EliasFano.from_bytes(block.as_py())
+                flat = np.frombuffer(ids.as_buffer(), "<u2" if width.as_py() == 2 else "<u4")
+                found = [i for i, d in enumerate(doc_ids.as_py()) if d in numbers]
+                spans = [(ends.select(i - 1) if i else 0, ends.select(i)) for i in found]
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.values.take(pa.array(found, pa.int64())), pa.array([base.as_py() + lo for lo, _ in spans], pa.int64()),
+                     pa.array([flat[lo:hi].astype(np.int64) for lo, hi in spans], pa.list_(pa.int64()))],
+                    names=["doc_id", "start", "ids"])
+
+    return some.select("doc_ids", "ends", "ids", "base", "id_bytes").mapInArrow(kernel, "doc_id long, start long, ids array<long>")
+
+
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 

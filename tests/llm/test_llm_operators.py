@@ -2,12 +2,14 @@
 
 import collections
 import itertools
+import json
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -250,6 +252,8 @@ def test_elias_fano_round_trip():
         code = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.encode(np.array(values, dtype=np.int64)).to_bytes())
         assert code.values().tolist() == list(values)
         assert [code.select(i) for i in range(0, len(values), 97)] == list(values)[::97]
+        for i in range(0, len(values), 301):
+            assert code.select_range(i, min(len(values), i + 700)).tolist() == list(values)[i : i + 700]
         if len(values) > 1000:
             assert len(code.to_bytes()) * 8 / len(values) < 3.5 + math.log2(max(2, values[-1] / len(values)))
     with pytest.raises(ValueError):
@@ -274,17 +278,36 @@ def test_token_files(spark, docs, empty, corpus, tmp_path):
         assert begin == start and by_id[i][n, crc] > 0
         by_id[i][n, crc] -= 1
         start += n
+    some = elias_fano.read_ids(spark, path, [5, 42, 61, 63, 12345]).collect()
+    assert sorted(r.doc_id for r in some) == [5, 42, 42, 61, 63]
+    starts = {(r[0], r[1]) for r in got}
+    for r in some:
+        assert (r.doc_id, r.start) in starts
+        assert r.ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t, *_ in corpus if i == r.doc_id]
+    assert elias_fano.read_ids(spark, path, []).count() == 0
     elias_fano.write_segments(empty, str(tmp_path / "e"), bpe)
     assert elias_fano.read_documents(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_chunks_encode_like_whole_texts():
-    encoder = elias_fano.ChunkEncoder(open(bpe, encoding="utf-8").read())
+def test_chunks_encode_like_whole_texts(monkeypatch):
+    monkeypatch.setattr(elias_fano, "CACHED", 300)
+    rule = open(bpe, encoding="utf-8").read()
+    encoder = elias_fano.ChunkEncoder(rule)
+    assert encoder.by_space
     draw = random.Random(1)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "1", ".", "<|endoftext|>", "\xa0", "日", "\0", "ing", "\r\n", " the"]
-    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(3000)]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    parts = ["a", "B", " ", " word", " others,", " two.\nLines", "  ", "\n", "\t", "é", " été", " слово.", " e\u0301", "'s", "1", ".", "...",
+             "<|endoftext|>", "\xa0", "\u2003", "\x85", "\x1c", "日", "\0", "ing", "\r\n", " the"]
+    for _ in range(5):
+        texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(1500)]
+        for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(encoder.numbers) == encoder.count == 300 and list(encoder.encode(pa.array([], pa.string()))) == []
+    other = json.loads(rule)
+    other["pre_tokenizer"]["add_prefix_space"] = True  # another splitting rule: whole texts
+    encoder = elias_fano.ChunkEncoder(json.dumps(other))
+    assert not encoder.by_space
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # --- suffix tree
