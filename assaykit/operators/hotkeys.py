@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.session import store
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
@@ -27,6 +32,21 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
+def driver_blocks(df: DataFrame, size: Column, limit: int) -> Iterator[pa.Table]:
+    """The rows of a side that is small, or goes through the driver block by block: each block has about ``limit`` of ``size``.
+
+    The side is stored once and measured there, so a block is read and not worked out again; only one is held at a time.
+    """
+    rows = store(df.withColumn("_size", size.cast("long")), "driver-blocks")
+    count, total = rows.agg(F.count("*"), F.sum("_size")).first()
+    blocks = max(1, -(-(total or 0) // limit))
+    for i in range(blocks if count else 0):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(*df.columns), F.lit(blocks)) == i)
+        found = part.drop("_size").toArrow()
+        if found.num_rows:
+            yield found
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit.functions.text import words
-from assaykit.operators.hotkeys import fits_broadcast, spread_join, top_k
+from assaykit.operators.containment import contains_text  # noqa: F401  relevance of what was retrieved
+from assaykit.operators.hotkeys import driver_blocks, fits_broadcast, spread_join, top_k
+from assaykit.operators.lexical import DIGITS, K1, B, build_index, search_index
 from assaykit.session import ship_package
 
-K1, B = 1.5, 0.75
-DIGITS = 6
-BLOCK_ROWS = 4096
-CELL_ROWS = 65_536
+TILE = 1024
+BLOCK_BYTES = 32 << 20
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -88,96 +93,137 @@ def ranked(scores: DataFrame, k: int, query: str = "query_id", doc: str = "doc_i
 
 def retrieve_bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id",
                   text: str = "text") -> DataFrame:
-    return ranked(bm25_scores(queries, docs, query, doc, text), k, query, doc)
+    """k best per query from a block-max index of ``docs``: few documents are scored, and only candidates are shuffled."""
+    index = build_index(docs, doc, text)
+    return ranked(search_index(queries, index, k, query, doc, text), k, query, doc)
 
 
 # ---------------------------------------------------------------- vectors
 
+class RunningBest:
+    """The k best rows for each of some queries, kept while tiles of the corpus go by.
+
+    Scores exist for one tile of ``TILE`` queries and rows at a time. The lengths of a tile's vectors bound what it can hold: it is
+    scored for those queries only whose k-th best score so far the bound can still reach. Ties go to the smaller id.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, digits: int, id_type: np.dtype):
+        self.queries = _unit_rows(queries) if metric == "cosine" else queries
+        self.lengths = np.sqrt((self.queries * self.queries).sum(1))
+        self.k, self.metric, self.digits = k, metric, digits
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.zeros((len(queries), k), id_type)
+        self.tiles = self.skipped = 0
+
+    def _bound(self, low: float, high: float) -> np.ndarray:
+        """What a row whose length is within these limits can score at best, per query."""
+        if self.metric == "cosine":
+            return np.ones(len(self.lengths))
+        if self.metric == "ip":
+            return self.lengths * high
+        return -np.maximum(0, np.maximum(low - self.lengths, self.lengths - high))
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        if self.metric == "cosine":
+            matrix = _unit_rows(matrix)
+        lengths = np.sqrt((matrix * matrix).sum(1))
+        order = np.argsort(-lengths, kind="stable")  # tiles of like lengths, the longest first
+        for lo in range(0, len(order), TILE):
+            rows = order[lo : lo + TILE]
+            bound = self._bound(lengths[rows[-1]], lengths[rows[0]])
+            reach = np.flatnonzero(bound + 10.0**-self.digits >= self.scores[:, -1])
+            for some in np.split(reach, range(TILE, len(reach), TILE)):
+                self.tiles += 1
+                if len(some):
+                    self._tile(some, ids[rows], matrix[rows], lengths[rows])
+                else:
+                    self.skipped += 1
+
+    def _tile(self, some: np.ndarray, ids: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> None:
+        scores = self.queries[some] @ matrix.T
+        if self.metric == "l2":
+            scores *= -2
+            scores += self.lengths[some, None] ** 2
+            scores += lengths[None, :] ** 2
+            np.sqrt(np.maximum(scores, 0, out=scores), out=scores)
+            np.negative(scores, out=scores)
+        np.round(scores, self.digits, out=scores)
+        limit = self.scores[some, -1]
+        if scores.shape[1] > self.k:  # nothing below the tile's own k-th best
+            limit = np.maximum(limit, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        q, c = np.nonzero(scores >= limit[:, None])
+        hit = np.unique(q)
+        old = np.repeat(hit, self.k), self.scores[some[hit]].ravel(), self.ids[some[hit]].ravel()
+        q, values, found = (np.concatenate(x) for x in zip(old, (q, scores[q, c], ids[c]), strict=True))
+        order = np.lexsort((_ranks(found), -values, q))
+        q, values, found = q[order], values[order], found[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        keep = place < self.k
+        self.scores[some[q[keep]], place[keep]] = values[keep]
+        self.ids[some[q[keep]], place[keep]] = found[keep]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query numbers, ids, scores) of all that was found."""
+        q, place = np.nonzero(self.scores > -np.inf)
+        return q, self.ids[q, place], self.scores[q, place]
+
+
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    return ids if ids.dtype != object else np.unique(ids.astype(str), return_inverse=True)[1]
+
+
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, q_ids: np.ndarray, q_matrix: np.ndarray, k: int, metric: str,
-          digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k best rows of one batch per query: (query ids, row ids, scores). Ties by id. Never more than k per query."""
-    if metric == "l2":
-        scores = -np.sqrt(np.maximum(
-            (q_matrix**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :] - 2 * q_matrix @ matrix.T, 0))
-    else:
-        if metric == "cosine":
-            matrix, q_matrix = _unit_rows(matrix), _unit_rows(q_matrix)
-        scores = q_matrix @ matrix.T
-    scores = np.round(scores, digits)
-    if scores.shape[1] > k:  # everything at or above the k-th best, ties included
-        limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(scores >= limit[:, None])
-    else:
-        rows, cols = np.indices(scores.shape).reshape(2, -1)
-    id_order = np.empty(len(ids), dtype=np.int64)
-    id_order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    order = np.lexsort((id_order[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    rows, cols = rows[keep], cols[keep]
-    return q_ids[rows], ids[cols], scores[rows, cols]
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id",
                   vector: str = "embedding", metric: str = "cosine", digits: int = DIGITS,
-                  block_rows: int = BLOCK_ROWS, corpus_cells: int | None = None) -> DataFrame:
-    """Exact search: candidate rows (query, doc, score), holding at least the k best of each query.
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact search: candidate rows (query, doc, score), at most k per query and task, which hold the k best of each query.
 
-    ``metric`` is cosine, ip (inner product) or l2 (negative distance, so larger is better). A matrix product per
-    Arrow batch keeps only k rows per query, so the full score table never exists. Queries that fit one measured block
-    are sent to every task, and the corpus is not moved. More queries are cut into blocks of about ``block_rows`` and
-    the corpus into cells; each (cell, block) pair is one task, and nothing is gathered on the driver.
+    ``metric`` is cosine, ip (inner product) or l2 (negative distance, so larger is better). The corpus is neither moved nor copied:
+    each task goes over its rows once, tile by tile, with the best lists of all queries of a block. A block of queries and its lists
+    are measured to stay below ``block_bytes``; more queries take a further pass over the corpus each block. Vectors are compared with
+    those of equal length only; null vectors, vectors with null components and null ids take no part.
     """
-    ship_package(corpus.sparkSession)
-    q = queries.select(query, F.col(vector).alias("_v"))
-    c = corpus.select(doc, F.col(vector).alias("_v"))
-    q_type, d_type = queries.schema[query].dataType.simpleString(), corpus.schema[doc].dataType.simpleString()
-    schema = f"{query} {q_type}, {doc} {d_type}, score double"
-
-    def frame(q_ids, ids, scores) -> pd.DataFrame:
-        return pd.DataFrame({query: q_ids, doc: ids, "score": scores})
-
-    if fits_broadcast(q, max_rows=block_rows):
-        block = q.toPandas()  # measured above: at most one block of queries
-        if block.empty:
-            return corpus.sparkSession.createDataFrame([], schema)
-        shared = corpus.sparkSession.sparkContext.broadcast((block[query].to_numpy(), _matrix(block["_v"])))
-
-        def search(batches):
-            q_ids, q_matrix = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    yield frame(*_best(pdf[doc].to_numpy(), _matrix(pdf["_v"]), q_ids, q_matrix, k, metric, digits))
-
-        return c.mapInPandas(search, schema)
-
     spark = corpus.sparkSession
-    # the number of cells follows the corpus, so that a task never holds more than about CELL_ROWS of its rows
-    cells = corpus_cells or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CELL_ROWS))
-    blocks = -(-queries.count() // block_rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spot = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = c.withColumn("_cell", spot(doc, cells)).withColumn("_block", every(blocks))
-    right = q.withColumn("_block", spot(query, blocks)).withColumn("_cell", every(cells))
-
-    def search_cell(cell: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if cell.empty or block.empty:
-            return frame([], [], [])
-        return frame(*_best(cell[doc].to_numpy(), _matrix(cell["_v"]), block[query].to_numpy(), _matrix(block["_v"]),
-                            k, metric, digits))
-
-    return left.groupBy("_cell", "_block").cogroup(right.groupBy("_cell", "_block")).applyInPandas(search_cell, schema)
+    ship_package(spark)
+    whole = lambda df, key: df.select(key, F.col(vector).cast("array<double>").alias("_v")).where(
+        F.col(key).isNotNull() & F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull()) & (F.size("_v") > 0))
+    q, c = whole(queries, query), whole(corpus, doc)
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, corpus.schema[doc].dataType),
+                           T.StructField("score", T.DoubleType())])
+    parts = []
+    for block in driver_blocks(q, F.size("_v") * 8 + 16 * k, block_bytes):
+        block = block.combine_chunks()
+        sizes = pc.list_value_length(block.column("_v")).to_numpy()
+        for dim in np.unique(sizes).tolist():
+            some = block.filter(pa.array(sizes == dim)).combine_chunks()
+            shared = spark.sparkContext.broadcast((some.column(query).combine_chunks(), _matrix(some.column("_v").combine_chunks(), dim)))
+            kernel = _search(shared, dim, k, metric, digits, schema.names)
+            parts.append(c.where(F.size("_v") == dim).mapInArrow(kernel, schema))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _search(shared, dim: int, k: int, metric: str, digits: int, names: list[str]):
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, matrix = shared.value
+        best = None
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            best = best or RunningBest(matrix, k, metric, digits, ids.dtype)
+            id_type = batch.column(0).type
+            best.add(ids, _matrix(batch.column(1), dim))
+        if best is not None:
+            q, found, scores = best.rows()
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), pa.array(found, id_type), pa.array(scores)], names=names)
+
+    return kernel
 
 
 def retrieve_vector(queries: DataFrame, corpus: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id",
@@ -233,36 +279,3 @@ def rerank(results: DataFrame, new_score: Column, k: int, query: str = "query_id
     """Order a result list again by another score; rows without one go last."""
     rescored = results.drop("rank", "score").withColumn("score", new_score)
     return top_k(rescored, [query], [F.desc_nulls_last("score"), F.col(doc)], k)
-
-
-def contains_text(items: DataFrame, docs: DataFrame, item: str = "query_id", doc: str = "doc_id", text: str = "text",
-                  anchor: int = 6) -> DataFrame:
-    """Rows (item, doc) where the item's words occur as one run in the document's words.
-
-    An exact test without comparing every item with every document: the first ``anchor`` words of an item (all of a
-    shorter one) must occur in the document, so runs of that length are joined by hash, and only the matches are
-    checked in full. The items' anchors are few; when measured as small they are broadcast and the corpus stays put.
-    """
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hashes_of = F.transform("_w", lambda w: F.xxhash64(w))
-    run_hash = lambda start, n: F.xxhash64(F.slice("_n", start, n))
-    wanted = (
-        items.select(item, words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-        .select(item, "_w", hashes_of.alias("_n"), F.least(F.size("_w"), F.lit(anchor)).alias("_len"))
-        .select(item, run_hash(F.lit(1), F.col("_len")).alias("_h"), spaced("_w").alias("_item"), "_len")
-    )
-    lengths = [r[0] for r in wanted.select("_len").distinct().collect()]  # at most `anchor` numbers
-    tokens = docs.select(doc, words(F.col(text)).alias("_w")).withColumn("_n", hashes_of)
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_n") - n + 1)
-        hashes = F.transform(starts, lambda i: run_hash(i, F.lit(n)))
-        return F.when(F.size("_n") >= n, hashes).otherwise(F.array().cast("array<bigint>"))
-
-    empty = F.array().cast("array<bigint>")
-    hashed = tokens.select(doc, spaced("_w").alias("_doc"), F.array_distinct(F.concat(empty, *[runs(n) for n in lengths])).alias("_hs"))
-    # the text stays out of the explode; only the few candidates get it back
-    exploded = term_rows(hashed, F.col("_hs"), doc, name="_h")
-    candidates = spread_join(exploded, wanted.drop("_len"), ["_h"], small_fits=fits_broadcast(wanted), spread_by=F.col(doc))
-    matched = candidates.join(hashed.select(doc, "_doc"), doc).where(F.col("_doc").contains(F.col("_item")))
-    return matched.select(item, doc)

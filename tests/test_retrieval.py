@@ -1,12 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.operators import experiments, hooks, irmetrics, retrieval, sections
+from assaykit.operators import experiments, hooks, irmetrics, lexical, retrieval, sections
 from assaykit.operators.chunking import DEFAULT_CONFIGS
 from assaykit.operators.hotkeys import running_total, sequential_ids, spread_join
 
@@ -57,14 +59,103 @@ def test_topk_ties_by_id(spark):
         assert mine == sorted(mine, key=lambda r: (-r.score, r.doc_id))
 
 
+def exchanges(df):
+    """Shuffles of the plan (broadcasts of one aggregate row are none)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip(" :+-") for line in plan.splitlines() if re.search(r"\bExchange (hash|range|round|single)", line, re.I)]
+
+
+def test_bm25_by_blocks_equals_all_scores(spark, monkeypatch):
+    """Several segments, blocks and blocks of queries; null and empty texts, ties, text ids, a repeated query term."""
+    monkeypatch.setattr(lexical, "SEGMENT_DOCS", 70)
+    draw = random.Random(11)
+    vocab = [f"w{min(draw.randrange(60), draw.randrange(60))}" for _ in range(400)]
+    docs = [(f"d{i:03d}", " ".join(draw.choices(vocab, k=draw.randint(1, 50)))) for i in range(400)]
+    docs += [(f"e{i}", "w1 w1 w2") for i in range(90)] + [("n", None), ("o", ""), (None, "w3 w3 w3 w3 w3")]
+    queries = [(i, " ".join(draw.choices(vocab, k=draw.randint(1, 30)))) for i in range(25)] + [(99, "w1 w1"), (100, None), (101, "absent"), (102, "")]
+    d = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    index = lexical.build_index(d)
+    assert index.count() >= 6 and index.agg(F.sum("n_docs")).first()[0] == len(docs)
+    for k in (1, 7, 600):
+        every = retrieval.ranked(retrieval.bm25_scores(q, d), k).collect()
+        for words_of_queries in (10**6, 40):
+            found = lexical.search_index(q, index, k, query_words=words_of_queries)
+            got = retrieval.ranked(found, k)
+            assert sorted(map(str, got.collect())) == sorted(map(str, every))
+            assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= k * index.count()
+
+
+def test_bm25_skips_blocks(spark):
+    """Most blocks of a large segment are never scored, and the plan has no shuffle but that of the candidates."""
+    draw = random.Random(5)
+    common, rare = [f"c{i}" for i in range(20)], [f"r{i}" for i in range(3000)]
+    rows = [[*draw.choices(common, k=30), *draw.choices(rare, k=6)] for _ in range(20_000)]
+    found = lexical.segment_columns(pa.array(rows))
+    numbers = {c: found[c].tobytes() for c in lexical.NUMBERS}
+    segment = lexical.Segment(pa.array(range(len(rows))), found["terms"], numbers, 36.0, 1.5, 0.75)
+    place = {t: i for i, t in enumerate(found["terms"].to_pylist())}
+    n = len(rows)
+    for _ in range(30):
+        terms = np.array([place[t] for t in {*draw.choices(common, k=3), *draw.choices(rows[draw.randrange(n)][30:], k=2)}])
+        weights = np.log(1 + (n - segment.dfs[terms] + 0.5) / (segment.dfs[terms] + 0.5))
+        docs, scores = segment.best(terms, weights, 10, 6)
+        every = np.zeros(n)
+        for t, w in zip(terms, weights, strict=True):
+            span = slice(segment.starts[segment.term_starts[t]], segment.starts[segment.term_starts[t + 1]])
+            tf = segment.tf[span]
+            every[segment.doc[span]] += w * tf * 2.5 / (tf + segment.rest[segment.doc[span]])
+        want = sorted(range(n), key=lambda i: (-round(every[i], 6), i))[:10]
+        assert docs.tolist() == want and scores == pytest.approx(every[want], abs=1e-6)
+    skipped = 1 - segment.scored / segment.blocks
+    print(f"skipped {skipped:.2f} of {segment.blocks} blocks")
+    assert skipped > 0.6
+    q, d = tables(spark)
+    plan = exchanges(retrieval.retrieve_bm25(q, d, 5))
+    assert len(plan) == 1 and "hashpartitioning(query_id" in plan[0]
+
+
+def test_vector_search_of_many_queries(spark):
+    """10,000 queries in blocks against brute force; the corpus is scanned in place and the kernel keeps to its memory."""
+    rng = np.random.default_rng(9)
+    c, q = rng.normal(size=(3000, 16)) * rng.exponential(size=(3000, 1)), rng.normal(size=(10_000, 16))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "doc_id long, embedding array<double>").repartition(4)
+    odd = [(90_000, None), (90_001, [1.0]), (90_002, [None] * 16), (None, [1.0] * 16)]
+    corpus = corpus.union(spark.createDataFrame(odd, "doc_id long, embedding array<double>"))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
+    found = retrieval.vector_scores(queries, corpus, 5, metric="ip", block_bytes=1 << 20)
+    assert all("Round" in x for x in exchanges(found)) and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = retrieval.ranked(found, 5).toPandas().sort_values(["query_id", "rank"])
+    scores = np.round(q @ c.T, 6)
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert (got.doc_id.to_numpy().reshape(-1, 5) == want).all()
+    assert np.abs(got.score.to_numpy().reshape(-1, 5) - np.take_along_axis(scores, want, 1)).max() < 2e-6
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2", "cosine"])
+def test_vector_kernel_memory_and_skips(metric):
+    rng = np.random.default_rng(2)
+    queries = rng.normal(size=(10_000, 64))
+    batches = [rng.normal(size=(8192, 64)) * rng.exponential(size=(8192, 1)) ** 2 for _ in range(3)]
+    tracemalloc.start()
+    best = retrieval.RunningBest(queries, 10, metric, 6, np.dtype(np.int64))
+    for i, matrix in enumerate(batches):
+        best.add(np.arange(len(matrix)) + i * 8192, matrix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+    if metric == "ip":  # short vectors cannot reach the lists of long ones
+        assert best.skipped > best.tiles / 3
+
+
 @pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
-@pytest.mark.parametrize("block", [4096, 3])
+@pytest.mark.parametrize("block", [1 << 20, 300])
 def test_vector_search_equals_brute_force(spark, metric, block):
     rng = np.random.default_rng(5)
     c, q = rng.integers(-2, 3, (50, 6)).astype(float), rng.integers(-2, 3, (7, 6)).astype(float)
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "doc_id long, embedding array<float>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
-    scores = retrieval.vector_scores(queries, corpus, 5, metric=metric, block_rows=block, corpus_cells=3)
+    scores = retrieval.vector_scores(queries, corpus, 5, metric=metric, block_bytes=block)
     got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in retrieval.ranked(scores, 5).collect())
     want = []
     for i in range(7):
@@ -87,16 +178,30 @@ def test_fuse(spark):
     assert got == {(1, 1): (1, 0.7), (1, 2): (2, 0.3), (1, 3): (3, 0.0), (2, 1): (1, 0.7)}
 
 
-@pytest.mark.parametrize("fits", [True, False])
-def test_contains_text(spark, monkeypatch, fits):
-    monkeypatch.setattr(retrieval, "fits_broadcast", lambda df, **k: fits)
+@pytest.mark.parametrize("item_words", [1000, 4])
+def test_contains_text(spark, item_words):
     docs = [(1, "A long road, that winds on and on past Hills."), (2, "long road"), (3, "x"), (4, None), (5, "along road that")]
     items = [(1, "long ROAD that winds on, and on past"), (2, "long road"), (3, "x"), (4, "hills"), (5, ""), (6, "road that winds on and ON to")]
     got = retrieval.contains_text(
-        spark.createDataFrame(items, "query_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string"), anchor=4)
+        spark.createDataFrame(items, "query_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string"), anchor=4, item_words=item_words)
     assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (2, 2), (3, 3), (4, 1)}
 
 
+def test_contains_text_equals_brute_force(spark):
+    draw = random.Random(6)
+    docs = [(i, " ".join(draw.choices(["a", "b", "c", "Dd"], k=draw.randint(0, 40)))) for i in range(120)] + [(500, None)]
+    items = [(i, " ".join(draw.choices(["a", "b", "c", "dd", "zz"], k=draw.randint(0, 9)))) for i in range(150)] + [(900, None)]
+    got = retrieval.contains_text(spark.createDataFrame(items, "query_id int, text string"),
+                                  spark.createDataFrame(docs, "doc_id int, text string").repartition(3), anchor=3)
+    line = lambda t: f" {(t or '').lower()} "
+    want = {(i, d) for i, a in items for d, b in docs if (a or "").strip() and line(a) in line(b)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 300
+    # one scan of the documents and no shuffle: what is found is verified where it is read
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(got) == [r for r in exchanges(got) if "round" in r.lower()] and "Join" not in plan
+
+
 def test_known_metrics(spark):
     found = spark.createDataFrame([(1, i, f"d{i}") for i in range(1, 6)], "query_id int, rank int, doc_id string")
     truth = spark.createDataFrame([(1, "d2"), (1, "d5"), (1, "d9")], "query_id int, doc_id string")
