@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.operators.hotkeys import sequential_ids
+from assaykit.operators.hotkeys import hot_join, sequential_ids
 from assaykit.schemas import FIT_LEVELS, WRITING_STYLES
 
 
@@ -53,8 +53,11 @@ def pair_id(*parts: Column) -> Column:
 
 
 def assemble_pairs(resumes: DataFrame, jobs: DataFrame, key: str, created_at: str) -> DataFrame:
-    """Join resumes (key, resume, resume_id, fit_level, writing_style) to their job (key, job) as pair records."""
-    joined = resumes.join(jobs, key)
+    """Join resumes (key, resume, resume_id, fit_level, writing_style) to their job (key, job) as pair records.
+
+    One job may have a third of all resumes: its rows are dealt to many tasks.
+    """
+    joined = hot_join(resumes, jobs, key, F.col("resume_id"))
     meta = F.struct(
         pair_id(F.col(key), F.col("resume_id")).alias("pair_id"),
         F.lit(created_at).alias("created_at"),

@@ -102,33 +102,62 @@ def running_total(
     )
 
 
-def sequential_ids(df: DataFrame, order: str, out: str = "seq", ranges: int = 256) -> DataFrame:
-    """Number all rows 1..n in the order of a numeric, unique column without a single-task window.
+def sequential_ids(df: DataFrame, order: str, out: str = "seq", range_rows: int = 1_000_000) -> DataFrame:
+    """Number all rows 1..n in the order of a unique column without a single-task window.
 
-    Range limits come from an approximate quantile sketch; they only balance the work. A row's range is a plain
-    expression of its value, so a recomputed task after a lost executor numbers its rows the same way.
+    The rows are range partitioned, about ``range_rows`` a range, sorted inside and stored with their place in their range. The counts
+    of the ranges, one small row each, give every range its start, so a row's number is one look-up and one sum: no window over
+    the rows, no second shuffle. As the places are stored, a task repeated after a lost executor numbers its rows the same way.
     """
-    points = [i / ranges for i in range(1, ranges)]
-    limits = df.agg(F.percentile_approx(order, points, 10_000).alias("_limits"))
-    # limits is one row of at most `ranges` numbers
-    placed = df.join(F.broadcast(limits)).withColumn(
-        "_range", F.size(F.filter("_limits", lambda b: b < F.col(order)))
-    ).drop("_limits")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ranges = max(cores, -(-df.select(order).count() // range_rows))
+    ordered = df.repartitionByRange(ranges, order).sortWithinPartitions(order)
+    # the id is the number of the partition in its upper 31 bits and the place in it in the lower 33
+    placed = store(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range, at most `ranges` rows: small by construction
-    counts = (
-        placed.groupBy("_range")
-        .agg(F.count("*").alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy("_range").orderBy(order)
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per range of about a million rows
     return (
-        placed.join(F.broadcast(counts), "_range")
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
-        .drop("_range", "_before")
+        placed.join(F.broadcast(starts), "_range")
+        .withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        .drop("_range", "_before", "_at")
     )
 
 
+def heavy_keys(df: DataFrame, key: str, share: float, tracked: int = 10_000) -> dict[object, int]:
+    """Keys that hold more than ``share`` of the rows, with their counts: a sketch, merged map-side, of one column.
+
+    The sketch tracks ``tracked`` keys, so a share of a few thousandths is always seen; there are at most 1 / share of them.
+    """
+    top = F.expr(f"approx_top_k(`{key}`, {max(1, min(tracked // 4, int(1 / share)))}, {tracked})")
+    row = df.agg(F.count(key).alias("n"), top.alias("top")).first()
+    return {r["item"]: r["count"] for r in row["top"] or [] if r["item"] is not None and r["count"] > share * row["n"]}
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, spread_by: Column, how: str = "inner", tasks: int | None = None) -> DataFrame:
+    """Join on a key of which a few values may hold a large share of ``big``.
+
+    A sketch finds these values. Their rows in ``big`` are dealt to as many tasks as their count asks for, by a hash of
+    ``spread_by``, and their rows in ``small`` are repeated once for each; all other rows take part as they are. Both sides are
+    read once by the join, and without heavy keys it is the plain join. ``how`` is inner, left or left_semi.
+    """
+    tasks = tasks or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(big, key, 1 / (2 * tasks))
+    if not heavy or how not in ("inner", "left", "left_semi"):
+        return big.join(small, key, how)
+    total = sum(heavy.values())
+    share = max(1, total // tasks)  # what a task gets of the heavy rows
+    parts = {k: min(4 * tasks, 4 * -(-n // share)) for k, n in heavy.items()}
+    kind = big.schema[key].dataType
+    counts = F.create_map(*[c for k, n in parts.items() for c in (F.lit(k).cast(kind), F.lit(n))])
+    pieces = F.coalesce(F.try_element_at(counts, F.col(key)), F.lit(1))
+    dealt = big.withColumn("_piece", F.pmod(F.xxhash64(spread_by), pieces).cast("int"))
+    repeated = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(repeated, [key, "_piece"], how).drop("_piece")
+
+
 def last_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Row with the highest position per key. An aggregate, so a hot key is combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

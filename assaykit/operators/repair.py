@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assaykit.functions.dates import parse_date
 from assaykit.functions.stats import rate
 from assaykit.operators.validation import digits
-from assaykit.session import shared_dir
+from assaykit.session import store
 
 MAX_ATTEMPTS = 3
 
@@ -39,6 +39,7 @@ def repair_loop(
     validate: Callable[[DataFrame], DataFrame],
     max_attempts: int = MAX_ATTEMPTS,
     cut_lineage: bool = True,
+    only_invalid: bool = False,
 ) -> DataFrame:
     """Repair the invalid rows of ``validated`` at most ``max_attempts`` times.
 
@@ -49,21 +50,22 @@ def repair_loop(
     from the start pass through with 0 attempts. Result columns: those of ``validated`` plus ``attempts`` (the attempt that
     succeeded, or the maximum).
 
-    Each round works on the remaining invalid rows only. With ``cut_lineage`` its state is checkpointed, so a lost
-    executor never re-runs earlier rounds and an outside repair model is asked once per row and attempt.
+    The invalid rows are stored once, and each round works on those that remain. With ``cut_lineage`` its state is written to
+    the shared folder, so a lost executor never re-runs earlier rounds and an outside repair model is asked once per row and
+    attempt; the rounds end when no invalid row is left. With ``only_invalid`` the rows valid from the start are left out.
     """
-    if cut_lineage:
-        shared_dir(validated.sparkSession)
+    keep = (lambda df: store(df, "repair-round")) if cut_lineage else (lambda df: df)
     columns = validated.columns
     checks = ("errors", "error_count", "is_valid")
     records = [c for c in columns if c not in checks]
-    pending = validated.where("NOT is_valid")
-    done = [validated.where("is_valid").withColumn("attempts", F.lit(0))]
+    pending = keep(validated.where("NOT is_valid"))
+    done = [pending.where("FALSE") if only_invalid else validated.where("is_valid")]
+    done = [done[0].withColumn("attempts", F.lit(0))]
     for attempt in range(1, max_attempts + 1):
+        if cut_lineage and pending.isEmpty():
+            break
         held = pending.withColumns({"_job": F.col("job"), "_resume": F.col("resume")})
-        state = validate(stamped(repair(held, attempt), attempt).select(*records)).select(*columns)
-        if cut_lineage:
-            state = state.checkpoint()
+        state = keep(validate(stamped(repair(held, attempt), attempt).select(*records)).select(*columns))
         last = attempt == max_attempts
         done.append((state if last else state.where("is_valid")).withColumn("attempts", F.lit(attempt)))
         pending = state.where("NOT is_valid")

@@ -17,6 +17,7 @@ from assaykit.plans.texts import SECTIONS_SQL, hashed_sql, judgements
 from assaykit.schemas import FIT_LEVELS, PAIR_FAILURES, WRITING_STYLES
 from assaykit.session import fresh_path
 from assaykit.sources import records, truth
+from assaykit.sources.cache import cached_embeddings
 from assaykit.streaming import review
 
 # What jobs are drawn from here: market segments of the customers, and two of them with a speciality.
@@ -217,7 +218,7 @@ def embedding_cache(spark, sf_dir):
     first = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     embedder = lambda text: hooks.embed(text, hooks.hashed_terms(16))
     for chunk in (first, docs):
-        stored = truth.cached_embeddings(spark, chunk, path, "whole", "hash-16", embedder, key="doc_id")
+        stored = cached_embeddings(spark, chunk, path, "whole", "hash-16", embedder, key="doc_id")
     values = stored.select("doc_id", F.posexplode("embedding").alias("bucket", "v")).where("v <> 0")
     return values.select("doc_id", "bucket", F.round(F.col("v").cast("double"), 5).alias("v"))
 
@@ -290,6 +291,51 @@ def qrels_load(spark, sf_dir):
     return truth.load_qrels(spark, path)
 
 
+@query("queries_load", """
+SELECT item_id::VARCHAR AS query_id, text, CASE WHEN item_id % 3 > 0 THEN 'kind ' || item_id % 2 END AS type, CASE WHEN item_id % 3 > 1 THEN 'benchmark' END AS source
+FROM benchmark""")
+def queries_load(spark, sf_dir):
+    """Queries as nested JSON of three shapes, a text alone or an object with more or fewer fields, read back as rows."""
+    path, i = fresh_path(spark, "queries"), F.col("item_id")
+    kind = F.concat(F.lit("kind "), (i % 2).cast("string"))
+    value = lambda *fields: F.to_json(F.create_map(i.cast("string"), F.struct(*fields)))
+    lines = F.when(i % 3 == 0, F.to_json(F.create_map(i.cast("string"), "text"))).when(
+        i % 3 == 1, value(F.col("text").alias("query"), kind.alias("type"), F.array(F.lit(1)).alias("other"))).otherwise(
+        value(F.col("text").alias("question"), kind.alias("type"), F.lit("benchmark").alias("source")))
+    table(spark, sf_dir, "benchmark").select(lines.alias("value")).write.text(path)
+    return truth.load_queries(spark, path)
+
+
+@query("answers_load", """
+SELECT conv_id || ':' || turn AS query_id, unnest(CASE WHEN turn % 3 = 2 THEN [text, upper(role)] ELSE [text] END) AS answer
+FROM conversations WHERE role = 'assistant'""")
+def answers_load(spark, sf_dir):
+    """Answers as texts, objects and lists in nested JSON, read back as rows."""
+    path, t = fresh_path(spark, "answers"), F.col("turn")
+    key = F.concat_ws(":", "conv_id", "turn")
+    lines = F.when(t % 3 == 0, F.to_json(F.create_map(key, "text"))).when(
+        t % 3 == 1, F.to_json(F.create_map(key, F.struct(F.col("text").alias("answer"), "role")))).otherwise(
+        F.to_json(F.create_map(key, F.array("text", F.upper("role")))))
+    table(spark, sf_dir, "conversations").where("role = 'assistant'").select(lines.alias("value")).write.text(path)
+    return truth.load_answers(spark, path)
+
+
+@query("sections_load", """
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+SELECT doc_id::VARCHAR AS document_id, i::INT AS section_index, CASE WHEN doc_id % 2 = 0 THEN 'line' END AS title, md5(text) AS digest,
+  start_char, start_char + length(text) AS end_char
+FROM (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM s)""")
+def sections_load(spark, sf_dir):
+    """Documents as JSON with a list of sections, here their lines, as texts or as objects; read back with their places."""
+    path = fresh_path(spark, "sections")
+    lines = F.split("text", "\n", -1)
+    rich = F.struct(F.col("doc_id").alias("id"), F.transform(lines, lambda x: F.struct(x.alias("text"), F.lit("line").alias("title"))).alias("sections"))
+    plain = F.struct(F.col("doc_id").cast("string").alias("paper_id"), lines.alias("sections"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs.select(F.when(F.col("doc_id") % 2 == 0, F.to_json(rich)).otherwise(F.to_json(plain)).alias("value")).write.text(path)
+    return truth.load_sections(spark, path).select("document_id", "section_index", "title", F.md5("text").alias("digest"), "start_char", "end_char")
+
+
 @query("subset", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
 def subset(spark, sf_dir):
     return truth.first_documents(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.operators import agreement, failures
+from assaykit.operators.hotkeys import hot_join
 from assaykit.plans.registry import query, spread_table, sql_strings, table
 
 FLAGS = ["low_quality", "toxic", "is_short", "is_long", "duplicated", "contact"]
@@ -27,7 +28,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest")).groupBy("digest").agg(
         F.count("*").alias("n_copies")).where("n_copies > 1")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.col("toxic").alias("toxic_label"))
-    joined = docs.join(labels, "doc_id", "left").join(copies, "digest", "left")
+    joined = hot_join(docs.join(labels, "doc_id", "left"), copies, "digest", F.col("doc_id"), "left")
     flag = lambda c: F.when(F.col("quality").isNotNull(), c.cast("int"))
     return joined.select(
         "doc_id",
@@ -51,9 +52,9 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failures.flatten_judged(nested, FLAGS)
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned() -> Column:
     """The corrected run: copies and texts with contact data are taken out."""
-    return judged(spark, sf_dir).where((F.col("duplicated") == 0) & (F.col("contact") == 0))
+    return (F.col("duplicated") == 0) & (F.col("contact") == 0)
 
 
 RECORDS_SQL = f"""
@@ -180,7 +181,8 @@ SELECT '{f}' AS mode, b AS before_rate, a AS after_rate, CASE WHEN b > 0 THEN (b
 FROM (SELECT (SELECT sum({f})::DOUBLE / count(*) FROM judged) AS b, (SELECT sum({f})::DOUBLE / count(*) FROM cleaned) AS a)
 """))
 def compare_runs(spark, sf_dir):
-    return failures.compare_modes(judged(spark, sf_dir), cleaned(spark, sf_dir), FLAGS)
+    flat = judged(spark, sf_dir)
+    return failures.compare_modes_in_one(flat, FLAGS, F.lit(True), cleaned())
 
 
 _VERDICT_NUMBERS = ["before_overall", "before_low", "before_high", "after_overall", "after_low", "after_high", "improvement"]
@@ -195,7 +197,7 @@ v AS (SELECT b.overall_rate AS before_overall, b.ci_low AS before_low, b.ci_high
 SELECT {', '.join(f'round({c}, 9) AS {c}' for c in _VERDICT_NUMBERS)}, before_n, after_n,
   before_low <= after_high AND after_low <= before_high AS ci_overlap, improvement >= 0.80 AS passed FROM v""")
 def compare_verdict(spark, sf_dir):
-    verdict = failures.compare_verdict(judged(spark, sf_dir), cleaned(spark, sf_dir))
+    verdict = failures.compare_verdict_in_one(judged(spark, sf_dir), F.lit(True), cleaned())
     return verdict.withColumns({c: F.round(c, 9) for c in _VERDICT_NUMBERS})
 
 

@@ -179,6 +179,53 @@ def _later(n: int) -> str:
 BUZZ = "(?i)\\b(" + "|".join(BUZZWORDS) + ")\\b"
 REQUIRED_SQL = "[" + ", ".join(sql_list(r) for r in REQUIRED) + "]"
 
+def label_ctes_sql(p: str = "") -> str:
+    """CTEs from {p}ex and {p}sk (experience and skills) to {p}lab, the labels with their totals."""
+    return f"""{p}yrs AS (
+  SELECT base.k, coalesce(sum(CASE WHEN ed > sd THEN (year(ed) - year(sd)) * 12 + month(ed) - month(sd) ELSE 0 END), 0) / 12.0 AS y
+  FROM base LEFT JOIN {p}ex ON base.k = {p}ex.k GROUP BY base.k),
+{p}latest AS (SELECT k, lower(title) AS title FROM {p}ex WHERE sd IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY sd DESC, i) = 1),
+{p}ranks AS (
+  SELECT {p}yrs.k, y, CASE WHEN y < 2 THEN 0 WHEN y < 5 THEN 1 WHEN y < 10 THEN 2 WHEN y < 15 THEN 3 ELSE 4 END AS years_rank,
+    {_title_rank(p + 'latest.title')} AS title_rank
+  FROM {p}yrs LEFT JOIN {p}latest ON {p}yrs.k = {p}latest.k),
+{p}own AS (SELECT DISTINCT k, nname FROM {p}sk),
+{p}need AS (SELECT DISTINCT k, nreq FROM rq),
+{p}overlap AS (
+  SELECT base.k, coalesce(o.n, 0) AS n_own, coalesce(r.n, 0) AS n_need, coalesce(b.n, 0) AS n_both
+  FROM base LEFT JOIN (SELECT k, count(*) AS n FROM {p}own GROUP BY k) o ON base.k = o.k
+    LEFT JOIN (SELECT k, count(*) AS n FROM {p}need GROUP BY k) r ON base.k = r.k
+    LEFT JOIN (SELECT {p}own.k, count(*) AS n FROM {p}own JOIN {p}need ON {p}own.k = {p}need.k AND nname = nreq GROUP BY {p}own.k) b
+      ON base.k = b.k),
+{p}core AS (SELECT rq.k, count(*) FILTER ({p}own.k IS NULL) AS n_missing
+  FROM rq LEFT JOIN {p}own ON rq.k = {p}own.k AND nreq = nname WHERE pos <= 3 GROUP BY rq.k),
+{p}claims AS (
+  SELECT {p}yrs.k, count({p}sk.k) AS n, count(*) FILTER (prof = 'Expert') AS experts, coalesce(sum(used), 0.0) AS claimed,
+    coalesce(bool_or(used <> 0 AND used > greatest(y, 1.0) + 1), FALSE) AS one_long
+  FROM {p}yrs LEFT JOIN {p}sk ON {p}yrs.k = {p}sk.k GROUP BY {p}yrs.k),
+{p}buzz AS (
+  SELECT base.k, len(regexp_extract_all(summary || coalesce(' ' || a, ''), '{BUZZ}')) AS n_buzz
+  FROM base LEFT JOIN (SELECT k, string_agg(achievement, ' ' ORDER BY i) AS a FROM {p}ex GROUP BY k) e ON base.k = e.k),
+{p}labels_sql AS (
+  SELECT base.k, base.pair_id, fit_level, writing_style, is_niche, y, experts, claimed, {p}claims.n AS n_claims, n_buzz,
+    years_rank, title_rank,
+    CASE WHEN n_own + n_need - n_both = 0 THEN 0.0 ELSE n_both::DOUBLE / (n_own + n_need - n_both) END AS skills_overlap,
+    asked <> 0 AND y < asked * 0.5 AS experience_mismatch,
+    abs(least(title_rank, years_rank) - job_rank) > 1 AS seniority_mismatch,
+    coalesce(n_missing, 0) > 0 AS missing_core_skills,
+    experts / greatest(y, 0.5) > 3.0 OR (claimed / greatest(y, 0.5) > 6.0 AND claimed > 5) OR (y < 2 AND experts >= 5)
+      OR {p}claims.n >= 20 OR one_long AS hallucinated_skills,
+    n_buzz >= 3 AS awkward_language
+  FROM base JOIN {p}ranks ON base.k = {p}ranks.k JOIN {p}overlap ON base.k = {p}overlap.k LEFT JOIN {p}core ON base.k = {p}core.k
+    JOIN {p}claims ON base.k = {p}claims.k JOIN {p}buzz ON base.k = {p}buzz.k),
+{p}lab AS (
+  SELECT *, experience_mismatch OR seniority_mismatch OR missing_core_skills OR hallucinated_skills OR awkward_language AS any_failure,
+    experience_mismatch::INT + seniority_mismatch::INT + missing_core_skills::INT + hallucinated_skills::INT
+      + awkward_language::INT AS failure_count
+  FROM {p}labels_sql)"""
+
+
 PAIRS_SQL = f"""
 WITH base AS MATERIALIZED (
   SELECT o_orderkey AS k, o_custkey AS c, (o_orderdate::DATE + INTERVAL 240 MONTH)::DATE AS d, o_orderstatus AS status,
@@ -218,49 +265,7 @@ sk0 AS (
 sk AS (SELECT *, {_normal('name')} AS nname FROM sk0),
 rq AS (SELECT k, pos, req, {_normal('req')} AS nreq
   FROM (SELECT k, unnest(required) AS req, generate_subscripts(required, 1) AS pos FROM base)),
-yrs AS (
-  SELECT base.k, coalesce(sum(CASE WHEN ed > sd THEN (year(ed) - year(sd)) * 12 + month(ed) - month(sd) ELSE 0 END), 0) / 12.0 AS y
-  FROM base LEFT JOIN ex ON base.k = ex.k GROUP BY base.k),
-latest AS (SELECT k, lower(title) AS title FROM ex WHERE sd IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY sd DESC, i) = 1),
-ranks AS (
-  SELECT yrs.k, y, CASE WHEN y < 2 THEN 0 WHEN y < 5 THEN 1 WHEN y < 10 THEN 2 WHEN y < 15 THEN 3 ELSE 4 END AS years_rank,
-    {_title_rank('latest.title')} AS title_rank
-  FROM yrs LEFT JOIN latest ON yrs.k = latest.k),
-own AS (SELECT DISTINCT k, nname FROM sk),
-need AS (SELECT DISTINCT k, nreq FROM rq),
-overlap AS (
-  SELECT base.k, coalesce(o.n, 0) AS n_own, coalesce(r.n, 0) AS n_need, coalesce(b.n, 0) AS n_both
-  FROM base LEFT JOIN (SELECT k, count(*) AS n FROM own GROUP BY k) o ON base.k = o.k
-    LEFT JOIN (SELECT k, count(*) AS n FROM need GROUP BY k) r ON base.k = r.k
-    LEFT JOIN (SELECT own.k, count(*) AS n FROM own JOIN need ON own.k = need.k AND nname = nreq GROUP BY own.k) b
-      ON base.k = b.k),
-core AS (SELECT rq.k, count(*) FILTER (own.k IS NULL) AS n_missing
-  FROM rq LEFT JOIN own ON rq.k = own.k AND nreq = nname WHERE pos <= 3 GROUP BY rq.k),
-claims AS (
-  SELECT yrs.k, count(sk.k) AS n, count(*) FILTER (prof = 'Expert') AS experts, coalesce(sum(used), 0.0) AS claimed,
-    coalesce(bool_or(used <> 0 AND used > greatest(y, 1.0) + 1), FALSE) AS one_long
-  FROM yrs LEFT JOIN sk ON yrs.k = sk.k GROUP BY yrs.k),
-buzz AS (
-  SELECT base.k, len(regexp_extract_all(summary || coalesce(' ' || a, ''), '{BUZZ}')) AS n_buzz
-  FROM base LEFT JOIN (SELECT k, string_agg(achievement, ' ' ORDER BY i) AS a FROM ex GROUP BY k) e ON base.k = e.k),
-labels_sql AS (
-  SELECT base.k, base.pair_id, fit_level, writing_style, is_niche, y, experts, claimed, claims.n AS n_claims, n_buzz,
-    years_rank, title_rank,
-    CASE WHEN n_own + n_need - n_both = 0 THEN 0.0 ELSE n_both::DOUBLE / (n_own + n_need - n_both) END AS skills_overlap,
-    asked <> 0 AND y < asked * 0.5 AS experience_mismatch,
-    abs(least(title_rank, years_rank) - job_rank) > 1 AS seniority_mismatch,
-    coalesce(n_missing, 0) > 0 AS missing_core_skills,
-    experts / greatest(y, 0.5) > 3.0 OR (claimed / greatest(y, 0.5) > 6.0 AND claimed > 5) OR (y < 2 AND experts >= 5)
-      OR claims.n >= 20 OR one_long AS hallucinated_skills,
-    n_buzz >= 3 AS awkward_language
-  FROM base JOIN ranks ON base.k = ranks.k JOIN overlap ON base.k = overlap.k LEFT JOIN core ON base.k = core.k
-    JOIN claims ON base.k = claims.k JOIN buzz ON base.k = buzz.k),
-lab AS (
-  SELECT *, experience_mismatch OR seniority_mismatch OR missing_core_skills OR hallucinated_skills OR awkward_language AS any_failure,
-    experience_mismatch::INT + seniority_mismatch::INT + missing_core_skills::INT + hallucinated_skills::INT
-      + awkward_language::INT AS failure_count
-  FROM labels_sql),
+{label_ctes_sql()},
 err AS MATERIALIZED (
   SELECT k, 1 AS rule, i AS pos, 'resume.experience[' || i || '].start_date' AS field_path,
     CASE WHEN sd IS NULL THEN 'format_violation' ELSE 'logical_inconsistency' END AS category, start_date AS invalid_value,

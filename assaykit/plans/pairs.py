@@ -10,10 +10,12 @@ from assaykit.operators import agreement, failures, labels, repair, validation
 from assaykit.operators.failures import flag_correlation
 from assaykit.operators.hotkeys import last_per_key
 from assaykit.plans.pair_view import (
-    AS_OF, PAIRS_SQL, PROFICIENCY_LEVELS, SKILLS, _normal, _parse, _pick, pairs,
+    AS_OF, PAIRS_SQL, PROFICIENCY_LEVELS, SKILLS, _normal, _parse, _pick, label_ctes_sql, pairs,
 )
 from assaykit.plans.registry import query, sql_list, sql_strings, table
 from assaykit.schemas import FIT_LEVELS, PAIR_FAILURES, WRITING_STYLES
+from assaykit.session import store
+
 
 def pid() -> Column:
     return F.col("metadata.pair_id").alias("pair_id")
@@ -267,6 +269,8 @@ def unmatched_repairs(spark, sf_dir):
         lost.withColumn("known_errors", F.lit(0)).withColumn("given_up", F.lit(True)))
 
 
+_TOPICS = [("hallucination", "hallucinated_skills", "hallucination_score"),
+           ("awkward_language", "awkward_language", "awkward_language_score")]
 PAIR_JUDGE_SQL = """
 , judge AS (SELECT k, pair_id, (k % 6)::INT AS hallucination_score, (k // 3 % 6)::INT AS awkward_language_score,
     (k % 11)::INT AS quality_score FROM base)
@@ -284,8 +288,7 @@ def pair_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pair_gap_analysis", PAIRS_SQL + PAIR_JUDGE_SQL + " UNION ALL ".join(
     f"SELECT '{t}' AS topic, count(*) FILTER ({f}) AS rule_flags, count(*) FILTER ({s} >= 3) AS judge_flags, "
     f"count(*) FILTER ({f} AND {s} >= 3) AS both_flags FROM judge JOIN lab USING (k)"
-    for t, f, s in [("hallucination", "hallucinated_skills", "hallucination_score"),
-                    ("awkward_language", "awkward_language", "awkward_language_score")]))
+    for t, f, s in _TOPICS))
 def pair_gap_analysis(spark, sf_dir):
     return agreement.gap_analysis(
         pair_judge(spark, sf_dir), labels.label_pairs(pairs(spark, sf_dir), AS_OF),
@@ -296,23 +299,25 @@ def pair_gap_analysis(spark, sf_dir):
 # ---------------------------------------------------------------- repair
 
 REPAIR_SQL = PAIRS_SQL + """
-, state AS (
+, state AS MATERIALIZED (
   SELECT base.k, pair_id, count(err.k) AS n_errors,
     coalesce(bool_or(rule = 6), FALSE) AS phone, coalesce(bool_or(rule = 3), FALSE) AS blank,
     coalesce(bool_or(rule = 2 OR message = 'start_date is in the future'), FALSE) AS future,
     coalesce(bool_or(rule IN (4, 5) OR message = 'start_date could not be parsed'), FALSE) AS stuck
   FROM base LEFT JOIN err ON base.k = err.k GROUP BY base.k, pair_id),
-fixed AS (
+fixed AS MATERIALIZED (
   SELECT *, CASE WHEN n_errors = 0 THEN 0 WHEN stuck OR blank THEN 3 WHEN future THEN 2 ELSE 1 END AS attempts,
     NOT stuck AS is_valid FROM state)
 """
 
 
-def repaired(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None) -> DataFrame:
-    return repair.repair_loop(
-        validated(spark, sf_dir) if checked is None else checked,
-        lambda df, attempt: repair.deterministic_fix(df, attempt, AS_OF),
-        lambda df: validation.validate_pairs(df, AS_OF))
+def fix(df: DataFrame, attempt: int) -> DataFrame:
+    return repair.deterministic_fix(df, attempt, AS_OF)
+
+
+def repaired(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None, only_invalid: bool = False) -> DataFrame:
+    return repair.repair_loop(validated(spark, sf_dir) if checked is None else checked, fix,
+                              lambda df: validation.validate_pairs(df, AS_OF), only_invalid=only_invalid)
 
 
 @query("repair_loop", REPAIR_SQL + "SELECT pair_id, attempts, is_valid, attempts AS stamped FROM fixed")
@@ -332,17 +337,16 @@ UNION ALL SELECT 'correction_rate', CASE WHEN n = 0 THEN 0.0 ELSE ok / n END FRO
 UNION ALL SELECT 'attempts_' || attempts, count(*)::DOUBLE FROM known WHERE attempts > 0 GROUP BY attempts""")
 def repair_stats(spark, sf_dir):
     """Pairs whose only error is the phone have no stored validation here, so they are given up without an attempt."""
-    checked = validated(spark, sf_dir)
+    invalid = store(validated(spark, sf_dir).where("NOT is_valid"), "invalid-pairs")
     known = F.exists("errors", lambda e: e["field_path"] != "resume.contact.phone")
-    matched = F.col("is_valid") | known
-    return repair.repair_stats(repaired(spark, sf_dir, checked.where(matched)), checked.where(~matched).select(pid()))
+    return repair.repair_stats(repaired(spark, sf_dir, invalid.where(known), only_invalid=True), invalid.where(~known).select(pid()))
 
 
 @query("failure_reasons", REPAIR_SQL + """
 SELECT pair_id, field_path || ': ' || message AS reason FROM fixed JOIN err USING (k)
 WHERE NOT fixed.is_valid AND (rule IN (4, 5) OR message = 'start_date could not be parsed')""")
 def failure_reasons(spark, sf_dir):
-    return repair.failure_reasons(repaired(spark, sf_dir))
+    return repair.failure_reasons(repaired(spark, sf_dir, only_invalid=True))
 
 
 # ---------------------------------------------------------------- report
@@ -350,28 +354,40 @@ def failure_reasons(spark, sf_dir):
 _GROUPS = [("by_fit_level", "fit_level"), ("by_template", "writing_style"), ("niche_vs_standard", ROLE)]
 
 
-@query("quality_report", REPAIR_SQL + PAIR_JUDGE_SQL + f"""
+# The labelled population: valid pairs and those that repair made valid, with the labels of their repaired state.
+LABELLED_SQL = REPAIR_SQL + f"""
+, r_ex AS (SELECT * FROM ex WHERE sd IS NULL OR sd <= DATE '{AS_OF}'), r_sk AS (SELECT * FROM sk WHERE trim(name) <> ''),
+{label_ctes_sql('r_')},
+pop AS MATERIALIZED (SELECT r_lab.* FROM r_lab JOIN fixed USING (k) WHERE fixed.is_valid)
+"""
+
+
+@query("quality_report", LABELLED_SQL + PAIR_JUDGE_SQL + f"""
 , t AS (SELECT count(*) FILTER (attempts > 0)::DOUBLE AS n, count(*) FILTER (attempts > 0 AND is_valid)::DOUBLE AS ok,
-    count(*)::DOUBLE AS total FROM fixed)
+    count(*)::DOUBLE AS total FROM fixed),
+seen AS (SELECT * FROM pop JOIN judge USING (k))
 SELECT section, name, round(value, 9) AS value FROM (
   SELECT 'totals' AS section, 'pairs_generated' AS name, total AS value FROM t
-  UNION ALL SELECT 'totals', 'valid_pairs', total - n FROM t UNION ALL SELECT 'totals', 'invalid_pairs', n FROM t
-  UNION ALL SELECT 'overall', 'overall_failure_rate', round(avg(any_failure::INT), 3) FROM lab
-  UNION ALL SELECT 'overall', 'avg_skills_overlap', round(avg(skills_overlap), 3) FROM lab
-  UNION ALL {' UNION ALL '.join(f"SELECT 'failure_rates', '{f}', round(avg({f}::INT), 3) FROM lab" for f in PAIR_FAILURES)}
-  UNION ALL {' UNION ALL '.join(f"SELECT '{s}', g || '/' || mode, rate FROM ({_rates_sql(g, 'g')})" for s, g in _GROUPS)}
+  UNION ALL SELECT 'totals', 'valid_pairs', total - n + ok FROM t UNION ALL SELECT 'totals', 'invalid_pairs', n FROM t
+  UNION ALL SELECT 'overall', 'overall_failure_rate', round(avg(any_failure::INT), 3) FROM pop
+  UNION ALL SELECT 'overall', 'avg_skills_overlap', round(avg(skills_overlap), 3) FROM pop
+  UNION ALL {' UNION ALL '.join(f"SELECT 'failure_rates', '{f}', round(avg({f}::INT), 3) FROM pop" for f in PAIR_FAILURES)}
+  UNION ALL {' UNION ALL '.join(f"SELECT '{s}', g || '/' || mode, rate FROM ({_rates_sql(g, 'g', 'pop')})" for s, g in _GROUPS)}
   UNION ALL SELECT 'schema_field_failures', field_path, count(*)::DOUBLE FROM err GROUP BY field_path
   UNION ALL SELECT 'correction', 'total_pairs', n FROM t UNION ALL SELECT 'correction', 'corrected', ok FROM t
   UNION ALL SELECT 'correction', 'permanently_failed', n - ok FROM t UNION ALL SELECT 'correction', 'correction_rate', round(ok / n, 3) FROM t
   UNION ALL SELECT 'correction', 'attempts_' || attempts, count(*)::DOUBLE FROM fixed WHERE attempts > 0 GROUP BY attempts
-  UNION ALL SELECT 'llm_judge', 'avg_quality_score', round(avg(quality_score), 2) FROM judge
-  UNION ALL SELECT 'llm_judge', 'avg_hallucination_score', round(avg(hallucination_score), 2) FROM judge
-  UNION ALL SELECT 'llm_judge', 'avg_awkward_language_score', round(avg(awkward_language_score), 2) FROM judge
-  UNION ALL SELECT 'llm_judge', 'total_judged', count(*)::DOUBLE FROM judge)""")
+  UNION ALL SELECT 'llm_judge', 'avg_quality_score', round(avg(quality_score), 2) FROM seen
+  UNION ALL SELECT 'llm_judge', 'avg_hallucination_score', round(avg(hallucination_score), 2) FROM seen
+  UNION ALL SELECT 'llm_judge', 'avg_awkward_language_score', round(avg(awkward_language_score), 2) FROM seen
+  UNION ALL SELECT 'llm_judge', 'total_judged', count(*)::DOUBLE FROM seen
+  UNION ALL {' UNION ALL '.join(
+      f"SELECT 'gap_{t}', 'rule_based_flags', count(*) FILTER ({f})::DOUBLE FROM seen UNION ALL "
+      f"SELECT 'gap_{t}', 'judge_flags', count(*) FILTER ({s} >= 3)::DOUBLE FROM seen UNION ALL "
+      f"SELECT 'gap_{t}', 'both_agree', count(*) FILTER ({f} AND {s} >= 3)::DOUBLE FROM seen" for t, f, s in _TOPICS)})""")
 def quality_report(spark, sf_dir):
-    report = agreement.quality_report(
-        labelled(spark, sf_dir), validated(spark, sf_dir), repaired(spark, sf_dir), pair_judge(spark, sf_dir))
-    return report.withColumn("value", F.round("value", 9))
+    run = agreement.labelled_run(pairs(spark, sf_dir), AS_OF, fix)
+    return agreement.quality_report(run, pair_judge(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
 def _pos(values: list[str], c: str) -> str:
@@ -388,7 +404,7 @@ UNION ALL SELECT 'niche_vs_standard', g, mode, {_pos(PAIR_FAILURES, 'mode')}, ra
 UNION ALL SELECT 'claims_by_fit_level', mode, g, {_pos(FIT_LEVELS, 'g')}, rate FROM lv
   WHERE mode IN ('hallucinated_skills', 'seniority_mismatch')""")
 def chart_series(spark, sf_dir):
-    return agreement.chart_series(labelled(spark, sf_dir))
+    return agreement.chart_series(failures.failure_cube(labelled(spark, sf_dir), agreement.GROUPS, PAIR_FAILURES))
 
 
 @query("pair_failure_rates", PAIRS_SQL + " UNION ALL ".join(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assaykit.functions import vectors
 from assaykit.operators import experiments, hooks, irmetrics, retrieval
 from assaykit.operators.chunking import DEFAULT_CONFIGS, ChunkConfig
+from assaykit.operators.hotkeys import hot_join
 from assaykit.plans.registry import query, spread_table, table
 from assaykit.plans.texts import hashed_sql, semantic_sql, sentences_sql, windows_sql, words_sql
 from assaykit.session import shared_dir
@@ -149,10 +150,11 @@ def hybrid_topk(spark, sf_dir):
     return hybrid(spark, sf_dir, 0.5)
 
 
-@query("minmax_scores", f"WITH {QUERIES_SQL}, {bm25_sql()} SELECT query_id, doc_id, round(norm, 6) AS norm FROM ({scaled_sql('bm25')})")
+@query("minmax_scores", f"WITH {QUERIES_SQL}, {bm25_sql()} SELECT query_id, doc_id, round(norm, 6) AS norm FROM ({scaled_sql(f'({top_sql("bm25", 100)})')})")
 def minmax_scores(spark, sf_dir):
-    scores = retrieval.bm25_scores(items(spark, sf_dir), corpus(spark, sf_dir))
-    return retrieval.min_max(scores).select("query_id", "doc_id", F.round("norm", 6).alias("norm"))
+    """Scores of each query's result list, scaled within the list."""
+    found = retrieval.retrieve_bm25(items(spark, sf_dir), corpus(spark, sf_dir), retrieval.candidate_depth(K))
+    return retrieval.min_max(found, bounded=True).select("query_id", "doc_id", F.round("norm", 6).alias("norm"))
 
 
 CENTROIDS_SQL = """
@@ -202,7 +204,7 @@ FROM e JOIN c USING (label, pos) GROUP BY vec_id""")
 def vector_measures(spark, sf_dir):
     """Each vector against the centroid of its label, with array expressions inside the row."""
     v, c = F.col("embedding"), F.col("centroid")
-    return table(spark, sf_dir, "embeddings").join(centroids(spark, sf_dir), "label").select(
+    return hot_join(table(spark, sf_dir, "embeddings"), centroids(spark, sf_dir), "label", F.col("vec_id")).select(
         "vec_id", F.round(vectors.dot(v, c), 6).alias("inner_product"), F.round(vectors.cosine(v, c), 6).alias("cosine"),
         F.round(vectors.l2_distance(v, c), 6).alias("distance"), F.round(vectors.norm(vectors.l2_normalize(v)), 6).alias("length"))
 

@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,36 @@ def test_last_label_wins_and_unlabelled_pairs_drop(spark):
     rows = [("a", 1, 0.1), ("a", 3, 0.3), ("a", 2, 0.2), ("b", 1, 0.5)]
     got = last_per_key(spark.createDataFrame(rows, "pair_id string, pos int, v double"), ["pair_id"], "pos")
     assert {(r.pair_id, r.v) for r in got.collect()} == {("a", 0.3), ("b", 0.5)}
+
+
+def test_cube_gives_what_the_rows_give(spark):
+    draw = random.Random(3)
+    flags = ["f", "g", "h"]
+    rows = [(draw.choice(["a", "b", None]), *[int(draw.random() < 0.3) for _ in flags]) for _ in range(500)]
+    df = failures.with_totals(spark.createDataFrame(rows, "category string, f int, g int, h int"), flags)
+    cube = failures.failure_cube(df, ["category"], flags, calls=F.lit(2))
+    assert cube.count() <= 3 * 8 and cube.agg(F.sum("n"), F.sum("calls")).first()[:] == (500, 1000)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(failures.rates_by(df, ["category"], flags), failures.rates_by(cube, ["category"], flags, weight="n"))
+    assert same(failures.cooccurrence(df, flags), failures.cooccurrence(cube, flags, weight="n"))
+    assert same(failures.flag_correlation(df, flags), failures.flag_correlation(cube, flags, weight="n"))
+    assert failures.category_entropy(df).first()[0] == pytest.approx(failures.category_entropy(cube, weight="n").first()[0])
+    after = (F.col("g") == 0) & (F.col("category") == "a")
+    part = df.where(after)
+    assert same(failures.compare_modes(df, part, flags), failures.compare_modes_in_one(df, flags, F.lit(True), after))
+    assert same(failures.compare_modes(df, part, flags), failures.compare_modes_in_one(cube, flags, F.lit(True), after, weight="n"))
+    one = failures.compare_verdict_in_one(df, F.lit(True), after)
+    assert same(failures.compare_verdict(df, part).select(one.columns), one)
+    none = failures.compare_verdict_in_one(df, F.lit(True), F.lit(False))
+    assert none.count() == 0 and failures.failure_cube(df.where("false"), ["category"], flags).count() == 0
+
+
+def test_run_summary_scans_twice(spark):
+    rows = [(f"t{i}", "c", True, 1, int(i % 2)) for i in range(4)] + [("u", "d", False, None, None)]
+    df = spark.createDataFrame(rows, "trace_id string, category string, passed_validation boolean, f int, g int")
+    got = {(r.section, r.name): r.value for r in failures.run_summary(df, ["f", "g"], "t", 2).collect()}
+    assert got["totals", "total_generated"] == 5 and got["totals", "judged"] == got["totals", "passed_validation"] == 4
+    assert got["per_mode_rates", "g"] == 0.5 and got["category_counts", "c"] == 4 and ("category_counts", "d") not in got
+    assert got["worst_items", "t1"] == got["worst_items", "t3"] == 2 and got["overall", "overall_failure_rate"] == 1
+    empty = {(r.section, r.name): r.value for r in failures.run_summary(df.where("f IS NULL"), ["f", "g"], "t").collect()}
+    assert empty == {("totals", "total_generated"): 1, ("totals", "passed_validation"): 0, ("totals", "judged"): 0, ("error", "No judged records"): 0}

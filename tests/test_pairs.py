@@ -4,7 +4,7 @@ import pytest
 from conftest import AS_OF, base_pair
 from pyspark.sql import functions as F
 
-from assaykit.operators import labels, repair, validation
+from assaykit.operators import agreement, labels, repair, validation
 from assaykit.schemas import PAIR
 
 def table(spark, pairs):
@@ -205,3 +205,36 @@ def test_given_up_pairs_count_as_failed(spark, pair):
     assert stats == {"total_pairs": 1, "corrected": 0, "permanently_failed": 1, "correction_rate": 0}
     corrected, failed = repair.corrected_and_failed(out, lost)
     assert corrected.count() == 0 and [r.metadata.pair_id for r in failed.collect()] == ["lost"]
+
+
+def test_report_population_and_gap(spark, pair):
+    """Valid and corrected pairs are labelled, corrected ones as repaired; others only count as invalid."""
+    future, phone, stuck = copy.deepcopy(pair), copy.deepcopy(pair), copy.deepcopy(pair)
+    for name, p in (("pair-2", future), ("pair-3", phone), ("pair-4", stuck)):
+        p["metadata"]["pair_id"] = name
+    buzz = ["Leverage synergy, a paradigm shift and a deep dive"]
+    future["resume"]["experience"].append({"company": "X", "title": "Chief", "start_date": "2099-01", "end_date": "Present",
+                                           "responsibilities": ["r"], "achievements": buzz})
+    phone["resume"]["contact"]["phone"] = "123"
+    phone["resume"]["experience"][0]["achievements"] = buzz
+    stuck["resume"]["experience"][0]["start_date"] = "some day"
+    run = agreement.labelled_run(table(spark, [pair, future, phone, stuck]), AS_OF, lambda df, n: repair.deterministic_fix(df, n, AS_OF))
+    flat = {r.pair_id: r for r in run.flat.collect()}
+    assert set(flat) == {"pair-001", "pair-2", "pair-3"}
+    assert not flat["pair-2"].awkward_language and flat["pair-3"].awkward_language  # the future entry is gone
+    judge = spark.createDataFrame([("pair-001", 4, 5, 1), ("pair-3", 8, 0, 4), ("pair-4", 10, 5, 5)],
+                                  "pair_id string, quality_score int, hallucination_score int, awkward_language_score int")
+    report = agreement.quality_report(run, judge)
+    got = {(r.section, r.name): r.value for r in report.collect()}
+    assert [got["totals", x] for x in ("pairs_generated", "valid_pairs", "invalid_pairs")] == [4, 3, 3]
+    assert got["correction", "corrected"] == 2 and got["correction", "correction_rate"] == 0.667
+    assert got["llm_judge", "total_judged"] == 2 and got["llm_judge", "avg_quality_score"] == 6
+    assert [got["gap_awkward_language", x] for x in ("rule_based_flags", "judge_flags", "both_agree")] == [1, 1, 1]
+    assert got["gap_hallucination", "judge_flags"] == 1 and got["failure_rates", "awkward_language"] == 0.333
+    assert got["niche_vs_standard", "standard/awkward_language"] == pytest.approx(1 / 3)
+    # the report reads what the run has stored, never the pairs again
+    plan = agreement.quality_report(run)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "Relation" in plan
+    none = agreement.labelled_run(table(spark, [pair]).where("false"), AS_OF, lambda df, n: df)
+    assert agreement.quality_report(none).collect() == []
+    assert [r.value for r in agreement.quality_report(run).where("section = 'llm_judge'").collect()] == []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import experiments, hooks, irmetrics, lexical, retrieval, sections
 from assaykit.operators.chunking import DEFAULT_CONFIGS
-from assaykit.operators.hotkeys import running_total, sequential_ids, spread_join
+from assaykit.operators.hotkeys import heavy_keys, hot_join, running_total, sequential_ids, spread_join
 
 RNG = random.Random(3)
 VOCAB = ["the"] * 12 + [f"w{i}" for i in range(30)]
@@ -240,8 +240,43 @@ def test_running_total_and_ids(spark):
         seen[g] = want[g, p] + v
     assert {(r.g, r.p): r.before for r in got.collect()} == want
     keys = rng.sample(range(10**6), 500)
-    numbered = sequential_ids(spark.createDataFrame([(k,) for k in keys], "k long"), "k", ranges=9).collect()
-    assert {r.k: r.seq for r in numbered} == {k: i + 1 for i, k in enumerate(sorted(keys))}
+    for range_rows in (10**6, 23):  # a few ranges and many
+        df = sequential_ids(spark.createDataFrame([(k, "x") for k in keys], "k long, seq0 string"), "k", range_rows=range_rows)
+        assert {r.k: r.seq for r in df.collect()} == {k: i + 1 for i, k in enumerate(sorted(keys))} and df.columns == ["k", "seq0", "seq"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "row_number" not in plan
+    assert sequential_ids(df.where("false").select("k"), "k").count() == 0
+
+
+def test_ranges_grow_with_the_rows(spark):
+    ranges = lambda n: sequential_ids(spark.range(n), "id", range_rows=100).groupBy(F.spark_partition_id()).count()
+    files = [sequential_ids(spark.range(n), "id", range_rows=100).inputFiles() for n in (400, 4000)]
+    assert len(files[1]) > 5 * len(files[0]) and ranges(400).count() >= 1
+
+
+def test_hot_join_deals_out_heavy_keys(spark):
+    """A third of the rows on one key: the largest task of the join gets less than three times the median."""
+    rows = [(7, i) for i in range(4000)] + [(i % 1000 + 10, 10**6 + i) for i in range(8000)] + [(None, 1)]
+    big = spark.createDataFrame(rows, "k int, v int").repartition(4)
+    small = spark.createDataFrame([(k, f"s{k}") for k in range(1015)] + [(7, "again")], "k int, s string")
+    assert set(heavy_keys(big, "k", 0.05)) == {7}
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = hot_join(big, small, "k", F.col("v"))
+        sizes = sorted(r["count"] for r in joined.where("s <> 'again'").groupBy(F.spark_partition_id()).count().collect())
+        plain = sorted(r["count"] for r in big.join(small, "k").groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2] < plain[-1]
+    for how in ("inner", "left", "left_semi"):
+        got, want = hot_join(big, small, "k", F.col("v"), how), big.join(small, "k", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    none = hot_join(big.where("false"), small, "k", F.col("v"))
+    assert none.count() == 0
 
 
 def test_salted_join_is_whole(spark):

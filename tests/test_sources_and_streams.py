@@ -8,7 +8,7 @@ from assaykit import session
 from assaykit.operators import validation
 from assaykit.operators.hooks import embed, hashed_terms
 from assaykit.schemas import PAIR, QA_RECORD
-from assaykit.sources import pages, records, truth
+from assaykit.sources import cache, pages, records, truth
 from assaykit.streaming import review
 
 
@@ -88,17 +88,108 @@ def test_qrels(spark, tmp_path):
     assert {tuple(r) for r in truth.load_qrels(spark, path).collect()} == {tuple(r) for r in rows.collect()}
 
 
-def test_embedding_cache_embeds_once(spark, tmp_path):
+@pytest.mark.parametrize("pieces", [1, 16])
+def test_qrels_of_a_query_are_many_objects(spark, tmp_path, pieces):
+    rows = spark.createDataFrame([("q1", f"d{i}", i) for i in range(200)], "query_id string, document_id string, section_index int")
+    packed = truth.pack_qrels(rows, pieces)
+    assert packed.count() == pieces
+    packed.write.text(str(tmp_path / "q"))
+    assert truth.load_qrels(spark, str(tmp_path / "q")).count() == 200
+
+
+def test_ground_truth_loaders(spark, tmp_path):
+    """One large object over several lines, objects by line, irregular values."""
+    queries = {"q1": "plain text", "q2": {"query": "asked", "type": "t", "more": [1]}, "q3": {"question": "and", "source": "s"}, "q4": None, "q5": {}}
+    (tmp_path / "one.json").write_text(json.dumps(queries, indent=2))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({k: v}) for k, v in queries.items()) + "\n\n")
+    want = [("q1", "plain text", None, None), ("q2", "asked", "t", None), ("q3", "and", None, "s"), ("q4", None, None, None), ("q5", None, None, None)]
+    for name in ("one.json", "lines.json"):
+        assert sorted(map(tuple, truth.load_queries(spark, str(tmp_path / name)).collect())) == want
+    (tmp_path / "answers.json").write_text(json.dumps({"q1": "a", "q2": ["b", None, "c"], "q3": {"answer": "d"}, "q4": None, "q5": []}))
+    got = truth.load_answers(spark, str(tmp_path / "answers.json")).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(query_id={q!r}, answer={a!r})" for q, a in [
+        ("q1", "a"), ("q2", "b"), ("q2", None), ("q2", "c"), ("q3", "d"), ("q4", None)])
+    papers = [{"id": "p1", "sections": [{"text": "one", "title": "T"}, {"content": "three"}, {}]}, {"paper_id": "p2", "sections": ["x", "yy"]}, {"id": "p3"}]
+    (tmp_path / "corpus").mkdir()
+    for p in papers:
+        (tmp_path / "corpus" / f"{p.get('id', 'p2')}.json").write_text(json.dumps(p))
+    got = sorted(map(tuple, truth.load_sections(spark, str(tmp_path / "corpus")).collect()))
+    assert got == [("p1", 0, "T", "one", 0, 3), ("p1", 1, None, "three", 5, 10), ("p1", 2, None, "", 12, 12), ("p2", 0, None, "x", 0, 1), ("p2", 1, None, "yy", 3, 5)]
+    (tmp_path / "bad.json").write_text('{"q": 1}\n{oops\n')
+    with pytest.raises(Exception, match="MALFORMED|parse"):
+        truth.load_queries(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "none.json").write_text("")
+    assert truth.load_queries(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def counting_embedder(spark):
     seen = spark.sparkContext.accumulator(0)
 
     def counting(texts):
         seen.add(len(texts))
         return hashed_terms(8)(texts)
 
+    return seen, lambda c: embed(c, counting)
+
+
+def test_embedding_cache_embeds_once(spark, tmp_path):
+    seen, embedder = counting_embedder(spark)
     df = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "id int, text string")
-    run = lambda part: truth.cached_embeddings(spark, part, str(tmp_path / "c"), "k", "m", lambda c: embed(c, counting)).count()
+    run = lambda part: cache.cached_embeddings(spark, part, str(tmp_path / "c"), "k", "m", embedder, buckets=4).count()
     assert run(df.where("id < 4")) == 4 and run(df) == 6 and run(df) == 6
     assert seen.value == 6
+    other = cache.EmbeddingCache(spark, str(tmp_path / "c"), "k", "other model", "id", "int", 4)
+    assert other.lookup(df).count() == 0 and other.missing(df).count() == 6
+
+
+def keys_stored(held):
+    return sorted(r[0] for part in held.stored() for r in part.select("id").collect())
+
+
+def test_embedding_cache_holds_each_key_once(spark, tmp_path):
+    """Keys that repeat, runs that overlap, two runs at once, and the merge of many folders."""
+    seen, embedder = counting_embedder(spark)
+    held = lambda: cache.EmbeddingCache(spark, str(tmp_path), "k", "m", "id", "string", 4)
+    rows = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "id string, text string")
+    held().add(rows("a", "a", "b", None), embedder)
+    assert keys_stored(held()) == ["a", "b"] and held().lookup(rows("a", "a", "b", "z")).count() == 3
+    slow = held()
+    commit, raced = slow.manifest.commit, []
+
+    def late(version, folders):
+        if not raced:  # another run stores c and d between this run's look and its commit
+            raced.append(1)
+            held().add(rows("c", "d"), embedder)
+        return commit(version, folders)
+
+    slow.manifest.commit = late
+    slow.add(rows("b", "c", "e"), embedder)
+    assert keys_stored(held()) == ["a", "b", "c", "d", "e"] and len(held().manifest.latest()[1]) == 3
+    slow.add(rows("a", "b", "c"), embedder)
+    assert keys_stored(held()) == ["a", "b", "c", "d", "e"]
+    for i in range(8):
+        held().add(rows(f"n{i}"), embedder)
+    assert len(keys_stored(held())) == 13 and len(held().manifest.latest()[1]) < cache.COMPACT_AT
+    # a version whose writer died before its end is passed over
+    version, folders = held().manifest.latest()
+    (next(p for p in tmp_path.iterdir()) / "manifest" / f"{version + 1:010d}").write_text("half a na")
+    assert held().manifest.latest() == (version, folders)
+
+
+def test_embedding_cache_is_joined_without_a_shuffle_of_it(spark, tmp_path):
+    seen, embedder = counting_embedder(spark)
+    held = cache.EmbeddingCache(spark, str(tmp_path), "k", "m", "id", "string", 4)
+    df = spark.createDataFrame([(f"{i}", f"text {i}") for i in range(50)], "id string, text string")
+    held.add(df.limit(30), embedder)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        missing = held.missing(df)
+        assert missing.count() == 20
+        plan = missing._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_stream_equals_batch(spark, pair, tmp_path):
