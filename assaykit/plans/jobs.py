@@ -354,17 +354,35 @@ def stream_review(spark, sf_dir):
     return review.run_to_files(stream, fresh_path(spark, "reviews"), fresh_path(spark, "review-state"))
 
 
-@query("rolling_rates", """
+ROLLING_SQL = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, sum((event_type = 'error')::INT)::DOUBLE / count(*) AS rate_error,
   sum((value > 50)::INT)::DOUBLE / count(*) AS rate_large
 FROM events GROUP BY date_trunc('day', ts)
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
-def rolling_rates(spark, sf_dir):
-    """Closed one-day windows of the event stream; windows the watermark has not passed are still open."""
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream in one-day windows with their rates."""
     schema = table(spark, sf_dir, "events").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
     flagged = arriving.select(
         F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("error"), (F.col("value") > 50).alias("large"))
-    rates = review.window_rates(flagged, "ts", ["error", "large"], window="1 day")
-    done = review.run_to_files(rates, fresh_path(spark, "rates"), fresh_path(spark, "rates-state"))
-    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "rate_error", "rate_large")
+    return review.window_rates(flagged, "ts", ["error", "large"], window="1 day")
+
+
+def by_day(rates: DataFrame) -> DataFrame:
+    return rates.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "rate_error", "rate_large")
+
+
+@query("rolling_rates", ROLLING_SQL)
+def rolling_rates(spark, sf_dir):
+    """Closed one-day windows of the event stream; windows the watermark has not passed are still open."""
+    return by_day(review.run_to_files(event_windows(spark, sf_dir), fresh_path(spark, "rates"), fresh_path(spark, "rates-state")))
+
+
+@query("live_rates", ROLLING_SQL)
+def live_rates(spark, sf_dir):
+    """The same windows merged batch by batch into the table of the latest rates, which is then read."""
+    latest = review.LatestRates(spark, fresh_path(spark, "latest-rates"))
+    latest.run(event_windows(spark, sf_dir), fresh_path(spark, "latest-state")).awaitTermination()
+    return by_day(latest.read())

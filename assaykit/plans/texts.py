@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from assaykit.operators import chunking, sections
 from assaykit.operators.chunking import ChunkConfig
 from assaykit.operators.hotkeys import sequential_ids
 from assaykit.operators.retrieval import contains_text
-from assaykit.plans.registry import query, spread_table, table
+from assaykit.plans.registry import ORACLES, query, spread_table, table
 from assaykit.sources.pages import full_text, page_offsets
 
 THRESHOLD = 0.15
@@ -192,6 +194,36 @@ def chunk_records(spark, sf_dir):
                          "method", F.col("metadata")["config"].alias("config"))
 
 
+MARKED = {
+    "fixed_size": (ChunkConfig("fixed_size", chunk_size=64, overlap=16), windows_sql(words_sql("documents"), 64, 16)),
+    "sliding": (ChunkConfig("sliding", chunk_size=128, overlap=64), ORACLES["chunk_sliding"]),
+    "sentence": (ChunkConfig("sentence"), ORACLES["chunk_sentence"]),
+    "recursive": (ChunkConfig("recursive", max_tokens=40), ORACLES["chunk_recursive"]),
+    "semantic": (ChunkConfig("semantic", max_tokens=60), ORACLES["chunk_semantic"]),
+}
+
+
+@query("chunk_marks", f"""
+WITH c AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{m}' AS method, doc_id, chunk_index, start_char, end_char FROM ({sql})" for m, (_, sql) in MARKED.items())}),
+n AS (SELECT doc_id, length(text) AS n FROM documents),
+p AS (SELECT doc_id, i + 1 AS page_number, i * 1500 AS p0, least((i + 1) * 1500, n) AS p1 FROM n, unnest(range(0, ceil(n / 1500.0)::BIGINT)) t(i)),
+s AS (SELECT doc_id, i AS section_index, i * 1000 AS s0, least((i + 1) * 1000, n) AS s1 FROM n, unnest(range(0, ceil(n / 1000.0)::BIGINT)) t(i))
+SELECT method, doc_id AS document_id, chunk_index, any_value(page_number)::INT AS page_number,
+  coalesce(string_agg(section_index, ',' ORDER BY section_index), '') AS sections
+FROM c LEFT JOIN p ON p.doc_id = c.doc_id AND start_char >= p0 AND start_char < p1
+  LEFT JOIN s ON s.doc_id = c.doc_id AND start_char < s1 AND s0 < end_char
+GROUP BY method, c.doc_id, chunk_index""".replace("SELECT method, doc_id AS", "SELECT method, c.doc_id AS"))
+def chunk_marks(spark, sf_dir):
+    """Chunks of all five methods with their page (of 1,500 characters) and sections (of 1,000)."""
+    docs = documents(spark, sf_dir)
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.length("text").alias("n"))
+    parts = sections.fixed_sections(sizes, "document_id", F.col("n"))
+    leaves = sections.fixed_sections(sizes, "document_id", F.col("n"), 1500).withColumn("page_number", F.col("section_index") + 1).drop("section_index")
+    rows = [chunking.create_chunks(docs, config, "doc_id", pages=leaves, sections=parts) for config, _ in MARKED.values()]
+    return reduce(DataFrame.unionByName, rows).select(
+        "method", "document_id", "chunk_index", "page_number", F.array_join("section_indices", ",").alias("sections"))
+
+
 # ---------------------------------------------------------------- ranges
 
 @query("chunk_pages", PAGES_SQL + f"""

@@ -1,4 +1,6 @@
+import copy
 import json
+from datetime import datetime
 
 import pytest
 from conftest import AS_OF
@@ -226,9 +228,68 @@ def test_default_metadata(spark, pair):
     assert (row.metadata.fit_level, row.metadata.writing_style) == ("Partial", "formal")
 
 
-def test_missing_summary():
+def test_latest_report(spark, tmp_path):
     with pytest.raises(LookupError):
         review.latest_rates(None)
+    with pytest.raises(LookupError):
+        review.latest_rates(str(tmp_path / "none"), spark)
+    rows = [("totals", "n", 3.0), ("overall", "overall_failure_rate", 0.5), ("failure_rates", "x", 0.25)]
+    spark.createDataFrame(rows, "section string, name string, value double").write.parquet(str(tmp_path / "report"))
+    assert sorted(r.value for r in review.latest_rates(str(tmp_path / "report"), spark).collect()) == [0.25, 0.5]
+
+
+def test_latest_rates_merge_each_batch_once(spark, tmp_path):
+    latest = review.LatestRates(spark, str(tmp_path / "latest"), keep=3)
+    with pytest.raises(LookupError):
+        latest.read()
+    row = lambda hour, n: (datetime(2024, 1, 1, hour), datetime(2024, 1, 1, hour + 1), n, 0.5)
+    batch = lambda *rows: spark.createDataFrame(rows, "window_start timestamp, window_end timestamp, n long, rate_bad double")
+    seen = lambda: sorted((r.window_start.hour, r.n) for r in latest.read().collect())
+    latest.merge(batch(row(1, 10), row(2, 20)), 0)
+    assert seen() == [(1, 10), (2, 20)]
+    latest.merge(batch(row(2, 25), row(3, 30)), 1)
+    assert seen() == [(1, 10), (2, 25), (3, 30)]
+    latest.merge(batch(row(9, 99)), 1)  # a repeated batch changes nothing
+    latest.merge(batch(row(9, 99)), 0)
+    assert seen() == [(1, 10), (2, 25), (3, 30)]
+    (tmp_path / "latest" / "batch-2").mkdir()  # a batch that was broken off is no version, and is written again
+    assert seen() == [(1, 10), (2, 25), (3, 30)]
+    latest.merge(batch(row(4, 40)), 2)
+    assert seen() == [(2, 25), (3, 30), (4, 40)]
+    latest.merge(batch(), 3)
+    assert seen() == [(2, 25), (3, 30), (4, 40)] and len(list((tmp_path / "latest").glob("batch-*"))) == 2
+
+
+def test_live_rates_from_a_stream(spark, tmp_path):
+    """Closed windows reach the table, late rows are counted, and a stream that goes on adds to it."""
+    (tmp_path / "in").mkdir()
+    batches = [["2024-01-01T00:10:00", "2024-01-01T02:30:00"], ["2024-01-01T02:40:00"], ["2024-01-01T00:20:00", "2024-01-01T05:00:00"]]
+    write = lambda n, times: (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"ts": t, "bad": 1}) for t in times))
+    for n, times in enumerate(batches):
+        write(n, times)
+    stream = spark.readStream.schema("ts timestamp, bad int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    rates = review.window_rates(stream, "ts", ["bad"], window="1 hour", delay="10 minutes")
+    latest = review.LatestRates(spark, str(tmp_path / "latest"))
+    query = latest.run(rates, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert sorted((r.window_start.hour, r.n) for r in latest.read().collect()) == [(0, 1), (2, 2)] and review.late_rows(query) == 1
+    write(3, ["2024-01-01T09:00:00"])
+    latest.run(rates, str(tmp_path / "state")).awaitTermination()
+    assert sorted((r.window_start.hour, r.n) for r in latest.read().collect()) == [(0, 1), (2, 2), (5, 1)]
+
+
+def test_review_with_a_judge(spark, pair):
+    def judge(prompts, attempt):
+        scores = {"hallucination_score": 1, "awkward_language_score": 2, "quality_score": 7, "fit_assessment": prompts[0][:20], "recommendations": []}
+        bad = {**scores, "quality_score": 11}
+        return [json.dumps(scores) if "Senior Python" in p else json.dumps(bad) if "Chef" in p else "no json" for p in prompts]
+
+    other, odd = copy.deepcopy(pair), copy.deepcopy(pair)
+    other["job"]["title"], odd["job"]["title"] = "Chef de cuisine", "Clerk"
+    df = spark.createDataFrame([pair, other, odd], PAIR)
+    rows = review.review(df, AS_OF, judge, "Job: {title} of {years} years").collect()
+    assert [r.judge and r.judge.quality_score for r in rows] == [7, None, None] and rows[0].judge.fit_assessment.startswith("Job: Senior")
+    assert "judge" not in review.review(df, AS_OF).columns
 
 
 def test_summary_document(spark):
