@@ -12,6 +12,7 @@ from assaykit.session import store
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -159,7 +160,14 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, spread_by: Column, how:
 
 
 def last_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Row with the highest position per key. An aggregate, so a hot key is combined before the shuffle."""
+    """Row with the highest position per key. An aggregate, so a hot key is combined before the shuffle.
+
+    Columns of fixed width are one ``max_by`` each, which a hash aggregate updates in place; all of them see the same rows in the same
+    order, so they agree on the row also where positions tie. With others the row travels as one struct.
+    """
     rest = [c for c in df.columns if c not in keys]
+    fixed = all(df.schema[c].dataType.simpleString() in FIXED_WIDTH for c in rest)
+    if fixed:
+        return df.groupBy(*keys).agg(*[F.max_by(c, position).alias(c) for c in rest])
     kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(position)).alias("_row"))
     return kept.select(*keys, "_row.*")

@@ -8,6 +8,7 @@ most promising blocks first and stops at the first bound below the k-th best sco
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -180,9 +181,12 @@ def _idf(index: DataFrame, terms: pa.Array, n_docs: int) -> np.ndarray:
 
 
 def search_index(queries: DataFrame, index: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id", text: str = "text",
-                 k1: float = K1, b: float = B, digits: int = DIGITS, query_words: int = QUERY_WORDS) -> DataFrame:
+                 k1: float = K1, b: float = B, digits: int = DIGITS, query_words: int = QUERY_WORDS, timed: bool = False) -> DataFrame:
     """Candidate rows (query, doc, score): at most k per query and segment, which hold the k best of each query.
 
+    With ``timed`` a column ``seconds`` shares the time of a query in a segment out over its rows there, so that its sum per query is
+    the time the query took.
+
     Queries go to the segments in blocks of about ``query_words`` words, each a measured broadcast; no pair of a query and a document
     is ever shuffled. Scores are rounded, so that equal documents tie whatever order their terms were added in.
     """
@@ -191,6 +195,8 @@ def search_index(queries: DataFrame, index: DataFrame, k: int = 10, query: str =
     totals = index.agg(F.sum("n_docs").alias("d"), F.sum("n_words").alias("w")).first()
     id_type = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, id_type), T.StructField("score", T.DoubleType())])
+    if timed:
+        schema = schema.add("seconds", "double")
     asked = queries.select(query, F.array_distinct(words(F.col(text))).alias("_terms")).where(F.size("_terms") > 0)
     parts = []
     for block in driver_blocks(asked, F.size("_terms"), query_words) if totals["w"] else ():
@@ -211,12 +217,14 @@ def _searcher(shared, avg_len: float, k: int, k1: float, b: float, digits: int,
                 own = pc.fill_null(pc.index_in(terms, value_set=segment.terms), -1).to_numpy()
                 found = []
                 for q in range(len(q_ids)):
+                    began = time.perf_counter()
                     mine = numbers[ends[q] : ends[q + 1]]
                     mine = mine[own[mine] >= 0]
                     docs, scores = segment.best(own[mine], idf[mine], k, digits)
-                    found.append((np.full(len(docs), q), docs, scores))
-                q, docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), segment.ids.take(pa.array(docs)), pa.array(scores, pa.float64())],
-                                                 names=names)
+                    seconds = (time.perf_counter() - began) / max(1, len(docs))
+                    found.append((np.full(len(docs), q), docs, scores, np.full(len(docs), seconds)))
+                q, docs, scores, seconds = (np.concatenate(x) for x in zip(*found, strict=True))
+                columns = [q_ids.take(pa.array(q)), segment.ids.take(pa.array(docs)), pa.array(scores, pa.float64()), pa.array(seconds)]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     return kernel

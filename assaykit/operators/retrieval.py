@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -183,13 +184,14 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
 
 def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id",
                   vector: str = "embedding", metric: str = "cosine", digits: int = DIGITS,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, timed: bool = False) -> DataFrame:
     """Exact search: candidate rows (query, doc, score), at most k per query and task, which hold the k best of each query.
 
     ``metric`` is cosine, ip (inner product) or l2 (negative distance, so larger is better). The corpus is neither moved nor copied:
     each task goes over its rows once, tile by tile, with the best lists of all queries of a block. A block of queries and its lists
     are measured to stay below ``block_bytes``; more queries take a further pass over the corpus each block. Vectors are compared with
-    those of equal length only; null vectors, vectors with null components and null ids take no part.
+    those of equal length only; null vectors, vectors with null components and null ids take no part. With ``timed`` a column
+    ``seconds`` shares each task's time out over the queries of the block and their rows.
     """
     spark = corpus.sparkSession
     ship_package(spark)
@@ -198,6 +200,8 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, query: str = "q
     q, c = whole(queries, query), whole(corpus, doc)
     schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, corpus.schema[doc].dataType),
                            T.StructField("score", T.DoubleType())])
+    if timed:
+        schema = schema.add("seconds", "double")
     parts = []
     for block in driver_blocks(q, F.size("_v") * 8 + 16 * k, block_bytes):
         block = block.combine_chunks()
@@ -213,15 +217,19 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, query: str = "q
 def _search(shared, dim: int, k: int, metric: str, digits: int, names: list[str]):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, matrix = shared.value
-        best = None
+        best, spent = None, 0.0
         for batch in batches:
+            began = time.perf_counter()
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             best = best or RunningBest(matrix, k, metric, digits, ids.dtype)
             id_type = batch.column(0).type
             best.add(ids, _matrix(batch.column(1), dim))
+            spent += time.perf_counter() - began
         if best is not None:
             q, found, scores = best.rows()
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), pa.array(found, id_type), pa.array(scores)], names=names)
+            seconds = spent / len(q_ids) / np.maximum(1, np.bincount(q, minlength=len(q_ids)))[q]
+            columns = [q_ids.take(pa.array(q)), pa.array(found, id_type), pa.array(scores), pa.array(seconds)]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     return kernel
 
@@ -262,6 +270,11 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int, alpha: float = 0.5, quer
     return ranked(both.select(query, doc, F.round(blend, digits).alias("score")), k, query, doc)
 
 
+def query_times(candidates: DataFrame, query: str = "query_id") -> DataFrame:
+    """Rows (query, time_taken): what each query of a timed search took, in seconds of the search kernels."""
+    return candidates.groupBy(query).agg(F.sum("seconds").alias("time_taken"))
+
+
 def candidate_depth(k: int) -> int:
     return max(k, 100)
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import vectors
-from assaykit.operators import experiments, hooks, irmetrics, retrieval
-from assaykit.operators.chunking import DEFAULT_CONFIGS, ChunkConfig
+from assaykit.operators import experiments, hooks, irmetrics, questions, retrieval
+from assaykit.operators.chunking import DEFAULT_CONFIGS, ChunkConfig, create_chunks
 from assaykit.operators.hotkeys import hot_join
 from assaykit.plans.registry import query, spread_table, table
 from assaykit.plans.texts import hashed_sql, semantic_sql, sentences_sql, windows_sql, words_sql
-from assaykit.session import shared_dir
+from assaykit.session import shared_dir, store
 
 K = 10
 KS = irmetrics.K_VALUES
@@ -376,6 +376,62 @@ def grid(spark, sf_dir):
     return rounded(done, METRICS).select("experiment_id", "cache_key", *METRICS, "total_queries")
 
 
+N_QUESTIONS = 20
+
+
+def asked_words(prompts: list[str], attempt: int) -> list[str]:
+    """Stand-in for a model that writes questions: some words from inside the chunk."""
+    return [" ".join(hooks._WORD.findall(p.partition("\n")[2].lower())[3:13]) for p in prompts]
+
+
+def own_questions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions on a set of chunks, one a document (the strata), and the chunk that answers each."""
+    found = store(questions.question_set(chunks, asked_words, N_QUESTIONS, strata=("document_id",)), "questions")
+    return found.select("query_id", "text"), found.select("query_id", "id")
+
+
+def questions_sql(config: ChunkConfig) -> str:
+    cut = chunks_sql(config).replace("SELECT sha256(", "SELECT doc_id AS document_id, sha256(", 1)
+    return f"""
+SELECT row_number() OVER (ORDER BY draw, id) AS query_id, id, array_to_string({words_of('text')}[4:13], ' ') AS text FROM (
+  SELECT doc_id AS id, md5('7|' || doc_id) AS draw, text FROM ({cut})
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY md5('7|' || doc_id), doc_id) = 1)
+QUALIFY query_id <= {N_QUESTIONS}"""
+
+
+@query("question_sets", " UNION ALL ".join(
+    f"SELECT '{c.label}' AS chunking, * FROM ({questions_sql(c)})" for c in GRID_CONFIGS))
+def question_sets(spark, sf_dir):
+    """Every chunk configuration has questions of its own, tied to its own chunk ids."""
+    docs = corpus(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
+    parts = []
+    for config in GRID_CONFIGS:
+        chunks = store(create_chunks(docs, config), "chunks")
+        found = questions.question_set(chunks, asked_words, N_QUESTIONS, strata=("document_id",))
+        parts.append(found.select(F.lit(config.label).alias("chunking"), "query_id", "id", "text"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _own_grid_sql() -> str:
+    ctes, rows = [], []
+    for i, config in enumerate(GRID_CONFIGS):
+        p = f"c{i}_"
+        ctes += [f"c{i} AS MATERIALIZED ({chunks_sql(config)})", f"q{i} AS MATERIALIZED ({questions_sql(config)})",
+                 f"rel{i} AS (SELECT query_id, id AS doc_id FROM q{i})", bm25_sql(f"c{i}", p, f"q{i}"), vector_sql(f"c{i}", p, f"q{i}")]
+        for method, scores in [("bm25", f"{p}bm25"), ("vector", f"{p}vec"), ("hybrid", hybrid_sql(0.5, p))]:
+            per_query = per_query_sql(f"({top_sql(scores, K)})", f"rel{i}", f"q{i}")
+            rows.append(f"SELECT '{config.label}' AS chunking, '{method}' AS retrieval_method, * FROM ({mean_sql(per_query)})")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query("grid_own_questions", _own_grid_sql())
+def grid_own_questions(spark, sf_dir):
+    """The grid with each chunk configuration judged by its own questions."""
+    docs = corpus(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
+    results = experiments.run_grid(docs, None, None, GRID_CONFIGS, {"hash-64": hooks.hashed_terms(64)}, K, questions=own_questions)
+    return rounded(results, METRICS).select("chunking", "retrieval_method", *METRICS, "total_queries")
+
+
 # ---------------------------------------------------------------- reranking, answers, citations
 
 @query("rerank", f"""WITH {QUERIES_SQL}, {bm25_sql()}, top AS ({top_sql('bm25', 20)})

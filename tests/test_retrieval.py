@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.operators import experiments, hooks, irmetrics, lexical, retrieval, sections
+from assaykit.operators import experiments, hooks, irmetrics, lexical, questions, retrieval, sections
 from assaykit.operators.chunking import DEFAULT_CONFIGS
 from assaykit.operators.hotkeys import heavy_keys, hot_join, running_total, sequential_ids, spread_join
 
@@ -328,3 +328,63 @@ def test_answer_scores_reports_rejected(spark):
     assert (got.avg_a, got.avg_b, got.avg_overall, got.n_answers, got.n_rejected, got.meets_target) == (4.0, 4.0, 4.0, 2, 2, True)
     none = experiments.answer_scores(rows.where("b = 6"), ["a", "b"]).first()
     assert (none.avg_overall, none.n_answers, none.n_rejected) == (None, 0, 1)
+
+
+def test_farthest_first():
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(30, 5)), np.zeros((1, 5))])
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    chosen = questions.farthest_first(v, 8)
+    want = [0]
+    while len(want) < 8:
+        gaps = {i: min(round(1 - float(unit[i] @ unit[j]), 9) for j in want) for i in range(len(v)) if i not in want}
+        want.append(max(gaps, key=lambda i: (gaps[i], -i)))
+    assert chosen == want and sorted(questions.farthest_first(v, 99)) == list(range(31)) and questions.farthest_first(v[:0], 3) == []
+
+
+def test_question_sets(spark):
+    """Spread over pages, repeatable, with more variety by vectors, and tied to chunks; failures are kept."""
+    rows = [(f"c{i}", i % 3, i % 7 if i % 11 else None, f"text {i % 5} word{i} about topic{i % 4}") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "id string, document_id int, page_number int, text string").repartition(4)
+
+    def model(prompts, attempt):
+        return [ValueError("no") if "word7 " in p else p.split("\n")[0] + "?" for p in prompts]
+
+    plain = {r.id: r for r in questions.question_set(chunks, model, 12).collect()}
+    again = questions.question_set(chunks.repartition(2), model, 12).collect()
+    assert sorted(r.query_id for r in plain.values()) == list(range(1, 13)) and {(r.id, r.query_id) for r in again} == {(i, r.query_id) for i, r in plain.items()}
+    pages = {i: (d, p) for i, d, p, _ in rows}
+    assert len({pages[i] for i in plain}) == 12
+    assert {r.query_id: r.kind for r in plain.values()}[3] == "analytical" and all(r.text == f"kind: {r.kind}?" or r.errors for r in plain.values())
+    embedder = hooks.hashed_terms(16)
+    varied = [r.id for r in questions.question_set(chunks, model, 6, embedder).collect()]
+    texts = {i: t for i, _, _, t in rows}
+
+    def spread_of(ids):
+        v = np.array(embedder([texts[i] for i in ids]))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        return min((1 - v @ v.T)[np.triu_indices(len(v), 1)])
+
+    first = [i for i, r in plain.items() if r.query_id <= 6]
+    assert len(set(varied)) == 6 and spread_of(varied) >= spread_of(first)
+    grouped = questions.question_pool(chunks.withColumn("config", F.col("document_id") % 2), 5, group=("config",)).groupBy("config").count().collect()
+    assert {r["config"]: r["count"] for r in grouped} == {0: 5, 1: 5}
+    assert questions.question_set(chunks.where("false"), model, 3).count() == 0 and questions.question_set(chunks.where("false"), model, 3, embedder).count() == 0
+    assert questions.question_set(chunks.where("id IN ('c1', 'c2')"), model, 9).count() == 2
+
+
+def test_grid_with_own_questions_and_times(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(60))) for i in range(12)], "document_id int, text string")
+
+    def own(chunks):
+        rows = questions.question_set(chunks, lambda prompts, n: [p.split("\n")[1][:40] for p in prompts], 4, strata=("document_id",))
+        return rows.select("query_id", "text"), rows.select("query_id", "id")
+
+    configs = [DEFAULT_CONFIGS[0], DEFAULT_CONFIGS[2]]
+    rows = experiments.run_grid(docs, None, None, configs, {"m": hooks.hashed_terms(16)}, 5, questions=own).collect()
+    assert len(rows) == 2 * 3 and all(r.total_queries == 4 and r.avg_retrieval_time > 0 for r in rows)
+    by = {(r.chunking, r.retrieval_method): r for r in rows}
+    for c in configs:  # the blend takes as long as both of its parts
+        parts = by[c.label, "bm25"].avg_retrieval_time + by[c.label, "vector"].avg_retrieval_time
+        assert by[c.label, "hybrid"].avg_retrieval_time == pytest.approx(parts)
+        assert by[c.label, "bm25"].recall_at_5 > 0.7
