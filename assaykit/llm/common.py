@@ -63,3 +63,20 @@ def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns c0, c1, .. and the new name of each: whatever names it has, none meets a helper column."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(owner: str, key: object = None, build: Callable[[], object] | None = None) -> object:
+    """What an operator keeps in a Python worker between tasks, built once per ``key``.
+
+    A worker serves one operator after the other and lives on, so it lets go of what others kept: call this at the start of every
+    kernel that needs the memory, with nothing to build if nothing is kept.
+    """
+    name = f"{owner} {key}"
+    for other in [k for k in _KEPT if k != name]:
+        del _KEPT[other]
+    if build is not None and name not in _KEPT:
+        _KEPT[name] = build()
+    return _KEPT.get(name)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import prepare
+from assaykit.llm.common import kept_in_worker, prepare
 from assaykit.operators.hotkeys import fits_broadcast
 
 SEGMENT_IDS = 1 << 20
@@ -240,16 +240,9 @@ class ChunkEncoder:
             self.used = int(self.starts[self.count])
 
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
-
-
 def _encoder(tokenizer_json: str) -> ChunkEncoder:
-    """One encoder for all tasks of a worker process."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(tokenizer_json)
-    return _ENCODERS[key]
+    """One encoder for all tasks of a worker process, until it serves another operator."""
+    return kept_in_worker("elias_fano", zlib.crc32(tokenizer_json.encode()), lambda: ChunkEncoder(tokenizer_json))
 
 
 SEGMENT = T.StructType([
