@@ -34,9 +34,36 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("epl-2", "made available under the terms of the eclipse public license v 2 0", ["eclipse public license v 2 0"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+              "license as published by the free software foundation either version 2 of the license or at your option any later version",
+     ["gnu general public license as published by the free software foundation either version 2 of the license"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+              "license as published by the free software foundation either version 3 of the license or at your option any later version",
+     ["gnu general public license as published by the free software foundation either version 3 of the license"]),
+    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+                 "license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+     ["gnu lesser general public license as published by the free software foundation either version 2 1 of the license"]),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+               "license as published by the free software foundation either version 3 of the license or at your option any later version",
+     ["gnu lesser general public license as published by the free software foundation either version 3 of the license"]),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+               "license as published by the free software foundation either version 3 of the license or at your option any later version",
+     ["gnu affero general public license as published by the free software foundation either version 3 of the license"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+              "available at", ["eclipse public license 2 0"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license version 2 0", ["mozilla public license version 2 0"]),
 ]
+
+# Label and identifier, as words, of a line that names the licence by identifier.
+IDENTIFIERS = [
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"),
+    ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("unlicense", "unlicense"),
+    ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("epl-2", "epl 2 0"),
+]
+TEMPLATES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in IDENTIFIERS]
 ANCHORS = 2
 MIN_COVERAGE = 0.6
+SLACK = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,7 +120,7 @@ def notice_labels(read: DataFrame) -> DataFrame:
     the ``ANCHORS`` rarest (highest by IDF, ties by word) are looked up in every row, however frequent they are and whatever else
     stands there; an offset at which all of them stand is a candidate. All licence words of the candidate rows are then matched
     at that offset: a template is found if each of its key words stands in its place and at least ``MIN_COVERAGE`` of all its
-    words do.
+    words stand in theirs, give or take ``SLACK`` words for those outside the key, so that inserted words do no harm.
     """
     spark = read.sparkSession
     kinds = read.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w"))
@@ -110,13 +137,18 @@ def notice_labels(read: DataFrame) -> DataFrame:
     candidates = hits.join(anchored, "w").groupBy("row", "template", (F.col("i") - F.col("at")).alias("offset")).agg(
         F.count("*").alias("n")).where(F.col("n") == ANCHORS).drop("n")
     candidates = stored(candidates, "licence-candidates")
+    near = candidates.select("row", "template", F.col("offset").alias("start"), F.explode(F.sequence(F.lit(-SLACK), F.lit(SLACK))).alias("shift"))
+    near = near.withColumn("offset", F.col("start") + F.col("shift"))
     rows = candidates.select("row").distinct()
-    matched = (
+    words = (
         read.join(rows, "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.i", "h.w")
         .join(postings, "w").withColumn("offset", F.col("i") - F.col("at"))
-        .join(candidates, ["row", "template", "offset"])
-        .groupBy("row", "template", "offset").agg(F.count("*").alias("n"), F.sum("is_key").alias("k"),
-                                                  F.max("length").alias("length"), F.max("keys").alias("keys"))
+        .join(near, ["row", "template", "offset"]).where((F.col("is_key") == 0) | (F.col("shift") == 0))
+        .groupBy("row", "template", "start", "at").agg(F.max("is_key").alias("is_key"), F.max("length").alias("length"), F.max("keys").alias("keys"))
+    )
+    matched = (
+        words.groupBy("row", "template", "start").agg(F.count("*").alias("n"), F.sum("is_key").alias("k"),
+                                                      F.max("length").alias("length"), F.max("keys").alias("keys"))
         .where("k = keys").withColumn("coverage", F.col("n") / F.col("length")).where(F.col("coverage") >= MIN_COVERAGE)
     )
     label = F.element_at(F.array(*[F.lit(t[0]) for t in TEMPLATES]), F.col("template") + 1)
