@@ -80,9 +80,11 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_dedup", r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents),
 w AS (SELECT doc_id, i, ls[i:i + 1] c FROM l, unnest(range(1, len(ls))) t(i)
-    WHERE trim(ls[i], ' ') <> '' OR trim(ls[i + 1], ' ') <> ''),
-again AS (SELECT doc_id, i, row_number() OVER (PARTITION BY c ORDER BY doc_id, i) r FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) n FROM again WHERE r > 1),
+    WHERE trim(ls[i], ' ') <> '' OR trim(ls[i + 1], ' ') <> ''
+    UNION ALL SELECT doc_id, i, [ls[i]] c FROM l, unnest(range(1, len(ls) + 1)) t(i)
+    WHERE len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) >= 50),
+again AS (SELECT doc_id, i, len(c) k, row_number() OVER (PARTITION BY c ORDER BY doc_id, i) r FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) n FROM again WHERE r > 1),
 island AS (SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) g FROM gone),
 runs AS (SELECT doc_id, min(n) a, max(n) b, count(*) m FROM island GROUP BY doc_id, g),
 per AS (SELECT doc_id, sum(m)::BIGINT n_removed, string_agg((a - 1) || '-' || (b - 1), ',' ORDER BY a) removed_runs

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -387,7 +388,7 @@ def test_graph_search(spark):
 # --- line dedup
 
 
-def removed_lines(rows, window=2):
+def removed_lines(rows, window=2, long_words=50):
     seen, out = set(), {}
     for key in sorted({(i is not None, i or 0, xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (
             xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), t or "") for i, t in rows}):
@@ -398,6 +399,11 @@ def removed_lines(rows, window=2):
                 if part in seen:
                     gone |= set(range(at, at + window))
                 seen.add(part)
+        for at, line in enumerate(lines):
+            if len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= long_words:
+                if ("", line) in seen:
+                    gone.add(at)
+                seen.add(("", line))
         out[key[0] and key[1] if key[0] else None, key[3]] = gone
     return out
 
@@ -421,10 +427,23 @@ def test_line_dedup_windows(spark, window):
     draw = random.Random(window)
     rows = [(i, "\n".join(draw.choice(["a", "b", "c", "", " ", "d"]) for _ in range(draw.randrange(1, 12)))) for i in range(60)]
     got = winnow.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
-    gone = removed_lines(rows, window)
+    gone = removed_lines(rows, window, 10**9)
     assert all(r.n_removed == len(gone[r.doc_id, r.text]) for r in got)
 
 
+def test_single_long_lines(spark):
+    """A long line between differing lines, whole documents of one line, and lines one word too short."""
+    line, short = " ".join(words(80, 1)), " ".join(words(49, 2))
+    rows = [(1, line), (2, line), (3, f"a\n{line}\nb"), (4, f"c\n{line}  \nd\n{line}"), (5, f"x\n{short}\ny"), (6, f"z\n{short}\nw"),
+            (7, f"p\n{short}\tend\nq"), (8, f"r\n{short}\tend\ns"), (9, f"a\n{line}")]
+    got = {r.doc_id: r for r in winnow.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = removed_lines(rows)
+    assert {i: r.n_removed for i, r in got.items()} == {i: len(gone[i, t]) for i, t in rows} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0, 8: 1, 9: 2}
+    assert got[3].kept_text == "a\nb" and got[4].removed_runs == "3-3" and got[2].kept_text == ""
+    few = winnow.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), long_words=49).collect()
+    assert {r.doc_id: r.n_removed for r in few}[6] == 1
+
+
 # --- licences
 
 
@@ -450,6 +469,25 @@ def test_license_scan(spark, docs, empty, corpus):
     assert licenses.scan(docs).count() == len(corpus) and licenses.scan(empty).count() == 0
 
 
+def test_standard_headers(spark):
+    """The headers as projects ship them, identifiers, and a notice with words put in."""
+    foundation = ("This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published "
+                  "by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    rows = {
+        "gpl-3": foundation.format("program", "", "3"), "lgpl-2.1": foundation.format("library", "Lesser ", "2.1"),
+        "gpl-2": foundation.format("really nice program of ours", "", "2").replace("any later", "(and this we like best) any later"),
+        "agpl-3": foundation.format("program", "Affero ", "3"),
+        "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at x",
+        "bsd": "// SPDX-License-Identifier: BSD-3-Clause", "mpl-2": "# SPDX-License-Identifier: MPL-2.0",
+        "apache-2": "SPDX-License-Identifier: Apache-2.0 OR nothing", "mit": "/* SPDX-License-Identifier: MIT */",
+        "none": "the terms of the general public, either version 4 of the software; license identifier: 3.0",
+    }
+    filler = " ".join(words(60, 8))
+    table = [(name, f"{filler}\n{text}\n{filler}") for name, text in rows.items()]
+    found = {r.doc_id: r.found for r in licenses.scan(spark.createDataFrame(table, "doc_id string, text string")).collect()}
+    assert found == {name: [] if name == "none" else [name] for name in rows}
+
+
 @pytest.mark.parametrize("size, share", [(30, 2), (200, 100)])
 def test_licences_in_many_files(spark, size, share):
     """Notices in a large share of the files, and a file of several notices among other licence words."""
@@ -474,6 +512,29 @@ def plain_findings(text):
     return sorted(out, key=lambda f: (f[1], secrets.KINDS.index(f[0])))
 
 
+def test_touched_and_frames():
+    draw = random.Random(2)
+    spans = sorted((a, a + draw.randint(1, 9)) for a in draw.choices(range(300), k=60))
+    found = sorted((a, a + draw.randint(1, 30)) for a in draw.choices(range(300), k=12))
+    for some in (found, [], found[:1]):
+        assert secrets.touched(spans, some) == [any(a < j and i < b for a, b in some) for i, j in spans]
+    for n in (15, 16, 48, 49, 72, 73, 400):
+        token = "".join(draw.choices("abcXYZ019", k=n))
+        frames = list(secrets.candidates(f"see {token} there"))
+        assert {x for i, j, _ in frames for x in range(i, j)} == (set(range(4, 4 + n)) if n >= 16 else set())
+        assert all(p[secrets.LEFT :][: j - i] == token[i - 4 : j - 4] and len(p) == secrets.SPAN and j - i <= secrets.BODY for i, j, p in frames)
+        assert all(a[0] < b[0] < a[1] for a, b in itertools.pairwise(frames))
+
+
+def test_many_findings_in_one_text(spark):
+    """Labelling is linear in the findings of a text."""
+    text = " ".join(f"token={'ab12cd34' * 3}{i}" for i in range(16_000))
+    base, long = secrets.base_findings(text), list(secrets.candidates(text))
+    began = time.perf_counter()
+    labels = secrets.touched([t[:2] for t in long], [f[1:] for f in base])
+    assert time.perf_counter() - began < 1 and all(labels) and len(base) >= 16_000
+
+
 def test_secret_scan(spark, docs, empty, corpus):
     draw = random.Random(5)
     hexa = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
