@@ -1,7 +1,8 @@
-"""Nearest neighbours by inner product over robust-pruned directed graphs, one per shard, searched by beam."""
+"""Nearest neighbours by inner product over robust-pruned directed graphs, one per shard of vectors of like length, searched by beam."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,10 @@ QUERY_BLOCK = 2048
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
+# Lengths in one shard differ by at most this factor, so that lifting adds little to the distances the graph is built on.
+BAND = 1.05
+# A graph that finds less than this of what its own sampled nodes should find is not used: its shard is scanned.
+TRUSTED, SAMPLED = 0.95, 48
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -136,33 +141,58 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-INDEX = "dim int, shard int, start int, groups array<array<long>>, vectors binary, graph binary"
+def graph_recall(graph: np.ndarray, data: np.ndarray, plain: np.ndarray, start: int, width: int, k: int = 20) -> float:
+    """Share of the ``k`` largest inner products of ``SAMPLED`` evenly chosen nodes that a beam search finds."""
+    some = np.unique(np.linspace(0, len(plain) - 1, SAMPLED).astype(int))
+    queries = np.concatenate([plain[some], np.zeros((len(some), 1))], axis=1).astype(np.float32)
+    found = beam_search(graph, data, queries, start, width)
+    scores = plain[some] @ plain.T
+    best = -np.sort(-scores, axis=1)[:, : min(k, len(plain))]
+    hits = np.take_along_axis(scores, np.maximum(found, 0), 1) * (found >= 0) + np.where(found >= 0, 0, -np.inf)
+    return float((hits >= best[:, -1:] - 1e-12 * np.abs(best[:, :1])).sum(1).clip(max=best.shape[1]).sum() / best.size)
+
+
+INDEX = "dim int, band int, shard int, start int, groups array<array<long>>, vectors binary, graph binary"
 
 
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One stored row per shard: start node, ids of each node, its vectors (doubles) and the graph.
 
     Equal vectors are one node with the ``k + 1`` smallest of their ids: no further one can be among the k nearest of
-    anything. Shards are by hash of the vector, of about ``shard_rows`` nodes, so each is built by one task within bounds.
+    anything. Shards are bands of like length, split by hash of the vector to about ``shard_rows`` nodes, so each is built by one
+    task within bounds. A graph is tried on some of its own nodes; where it finds too little, none is kept and the shard is
+    scanned exactly.
     """
     ids = top_k(vectors.select("_id", "_v"), ["_v"], [F.col("_id")], k + 1)
-    nodes = stored(ids.groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids")), "vector-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    keyed = nodes.select(F.size("_v").alias("dim"), F.pmod(F.xxhash64("_v"), F.lit(shards)).cast("int").alias("shard"), "_ids",
-                         "_v")
+    nodes = ids.groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    # the length as a power of the band's width; sums that leave the range of doubles share the outermost bands
+    power = F.log(F.greatest(F.least(length, F.lit(1e300)), F.lit(1e-300))) / math.log(BAND)
+    nodes = stored(nodes.withColumn("dim", F.size("_v")).withColumn("band", F.round(power).cast("int")), "vector-nodes")
+    sizes = nodes.groupBy("dim", "band").agg(F.count("*").alias("n")).select(
+        "dim", "band", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int").alias("parts"))
+    # one row per length that occurs, by steps of a twentieth
+    keyed = nodes.join(F.broadcast(sizes), ["dim", "band"]).select(
+        "dim", "band", F.pmod(F.xxhash64("_v"), F.col("parts")).cast("int").alias("shard"), "_ids", "_v")
+    shards = sizes.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    keyed = keyed.repartition(max(1, shards), "dim", "band", "shard")
 
     def build(key: tuple, part: pa.Table) -> pa.Table:
         groups = part.column("_ids").to_pylist()
         order = sorted(range(len(groups)), key=lambda i: groups[i])
         plain = part.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(groups), -1)[order]
-        graph, start = build_graph(lifted(plain))
+        data = lifted(plain)
+        graph, start = build_graph(data)
+        if graph_recall(graph, data, plain, start, max(BEAM, 2 * k)) < TRUSTED:
+            graph = graph[:0]
         return pa.table({
-            "dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
+            "dim": pa.array([key[0].as_py()], pa.int32()), "band": pa.array([key[1].as_py()], pa.int32()),
+            "shard": pa.array([key[2].as_py()], pa.int32()),
             "start": pa.array([start], pa.int32()), "groups": pa.array([[groups[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
             "vectors": pa.array([plain.astype("<f8").tobytes()], pa.binary()),
             "graph": pa.array([graph.astype("<i4").tobytes()], pa.binary())})
 
-    return stored(keyed.groupBy("dim", "shard").applyInArrow(build, INDEX), "vector-index")
+    return stored(keyed.groupBy("dim", "band", "shard").applyInArrow(build, INDEX), "vector-index")
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20,
@@ -185,7 +215,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     packed = asked.groupBy(F.size("_v").alias("dim"), F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("block")).agg(
         F.collect_list(F.struct("_id", "_v")).alias("asked"))
-    tasks = index.join(index.select("dim", "shard").distinct().join(packed, "dim"), ["dim", "shard"])
+    key = ["dim", "band", "shard"]
+    tasks = index.join(index.select(*key).join(packed, "dim"), key)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +232,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
 def _search(dim, start, groups, vectors, graph, asked, k: int, width: int) -> pa.RecordBatch:
     dim, groups = dim.as_py(), groups.as_py()
     plain = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim)
-    links = np.frombuffer(graph.as_buffer(), "<i4").reshape(len(plain), -1)
+    links = np.frombuffer(graph.as_buffer(), "<i4")
+    links = links.reshape(len(plain), -1) if len(links) else None
     query_ids = asked.values.field("_id").to_numpy()
     queries = asked.values.field("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     data = lifted(plain)
@@ -209,7 +241,10 @@ def _search(dim, start, groups, vectors, graph, asked, k: int, width: int) -> pa
     out_q, out_v, out_s = [], [], []
     for lo in range(0, len(queries), 512):
         some = slice(lo, lo + 512)
-        ids = beam_search(links, data, lifted_queries[some], start.as_py(), max(width, 2 * k))
+        if links is None:
+            ids = np.argsort(-(queries[some] @ plain.T), axis=1, kind="stable")[:, : max(width, 2 * k)]
+        else:
+            ids = beam_search(links, data, lifted_queries[some], start.as_py(), max(width, 2 * k))
         scores = np.einsum("qrd,qd->qr", plain[ids], queries[some])
         for query, found, values in zip(query_ids[some].tolist(), ids.tolist(), scores.tolist(), strict=True):
             rows = [(-s, v) for i, s in zip(found, values, strict=True) if i >= 0 for v in groups[i] if v != query]

@@ -385,6 +385,28 @@ def test_graph_search(spark):
     assert graph_search.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["unit", "gaussian", "log-normal"])
+def test_graph_search_recall_by_lengths(spark, lengths):
+    """At least 0.9 of the exact neighbours are found, whatever the lengths of the vectors, and most by graphs where they help."""
+    draw = np.random.default_rng(3)
+    data = draw.normal(size=(3000, 64))
+    if lengths != "gaussian":
+        data /= np.linalg.norm(data, axis=1, keepdims=True)
+    if lengths == "log-normal":
+        data *= draw.lognormal(size=(3000, 1))
+    data = data.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    got = graph_search.nearest(table, F.col("vec_id") % 50 == 0).toPandas().sort_values(["query_id", "rank"])
+    exact = data.astype(np.float64)
+    scores = exact[::50] @ exact.T
+    scores[np.arange(60), np.arange(0, 3000, 50)] = -np.inf
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    found = got.vec_id.to_numpy().reshape(60, 20)
+    recall = np.mean([len(set(a) & set(b)) for a, b in zip(want.tolist(), found.tolist(), strict=True)]) / 20
+    print(lengths, recall)
+    assert recall >= 0.9
+
+
 # --- line dedup
 
 
