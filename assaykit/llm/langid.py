@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,6 +22,10 @@ HOST_WEIGHT = 10.0
 MAX_LANGUAGES = 200
 MIN_POSTERIOR = 0.5
 UNKNOWN = "und"
+# Likelihoods hold this share of a uniform one, so that a rare trigram weighs no more the larger the corpus is.
+UNIFORM = 0.05
+# A text of none of the languages: this many nats a trigram less likely than the languages' own texts, in one text of a hundred.
+STRANGE_NATS, STRANGE_SHARE = 3.5, 0.01
 
 # Letters keep a class of their own (A-Z as a-z, bytes beyond ASCII as they are); everything else is one separator.
 CLASSES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
@@ -46,12 +51,18 @@ def page_text(page: str) -> str:
 
 
 class Profiles:
-    """Log likelihood of each trigram code in each language, smoothed by half a count, and the languages' shares."""
+    """Log likelihood of each trigram code in each language, smoothed by half a count, and the languages' shares.
+
+    ``background`` is the log likelihood a trigram has in a text that only looks like the language: ``STRANGE_NATS`` below what the
+    language's own texts reach on average, which its counts tell.
+    """
 
     def __init__(self, languages: list[str], counts: np.ndarray, texts: np.ndarray):
         self.languages = languages
         smooth = counts + 0.5
-        self.logs = np.log(smooth / smooth.sum(1, keepdims=True))
+        self.logs = np.log((1 - UNIFORM) * smooth / smooth.sum(1, keepdims=True) + UNIFORM / CODES)
+        own = (counts / np.maximum(1, counts.sum(1, keepdims=True)) * self.logs).sum(1)
+        self.background = np.where(counts.sum(1) > 0, own - STRANGE_NATS, -1e300)
         self.prior = np.log((texts + 1) / (texts.sum() + len(texts)))
 
     def likelihoods(self, text: bytes) -> tuple[np.ndarray, int]:
@@ -192,8 +203,8 @@ def identify(rows: DataFrame, profiles: Profiles, keep: list[str], text: Column,
              declared: Column | None = None, markup: bool = False, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """Columns ``keep`` with ``host``, ``suffix``, ``declared``, ``text_language``, ``language`` and ``confidence``.
 
-    ``language`` is 'und' if the text has no letters or no language reaches ``min_posterior``; ``text_language`` is what the
-    text alone says. Every row is read whole and returned once, repeated rows too. Null texts are empty; a null or odd host,
+    ``language`` is 'und' if the text has no letters, if a background model explains it better than the language whose text it
+    looks like most, or if no language reaches ``min_posterior``; ``text_language`` is what the text alone says. Every row is read whole and returned once, repeated rows too. Null texts are empty; a null or odd host,
     suffix or declared value counts as missing. Names in ``keep`` may not be one of the columns added. An empty table gives an
     empty table.
     """
@@ -209,7 +220,10 @@ def identify(rows: DataFrame, profiles: Profiles, keep: list[str], text: Column,
     def best(p: str) -> Column:
         return F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
 
-    letters = F.col("n_grams") > 0
+    logs = F.zip_with("ll", F.array(*[F.lit(float(x)) for x in profiles.prior]), lambda a, b: a + b)
+    background = F.element_at(F.array(*[F.lit(float(x)) for x in profiles.background]), F.array_position(logs, F.array_max(logs)).cast("int"))
+    strange = F.lit(math.log(STRANGE_SHARE)) + TEMPER * F.col("n_grams") * background > F.array_max(logs)
+    letters = (F.col("n_grams") > 0) & ~strange
     sure = letters & (F.array_max("posterior") >= min_posterior)
     return found.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_host").alias("host"), F.col("_suffix").alias("suffix"),

@@ -611,6 +611,28 @@ def test_language(spark, docs, empty, corpus):
     assert langid.keep_identified(empty).count() == 0
 
 
+def test_unknown_languages_are_rejected(spark):
+    """Foreign texts and letter junk are of no language, whatever is declared; short clean texts stay."""
+    syllables = {"en": "th er on an re he in ed nd ha", "de": "sch ei ung ich der en be ge au st", "es": "que ci ón de la ar os es ad per"}
+    draw = random.Random(3)
+
+    def text(k, n):
+        return " ".join("".join(draw.choices(syllables[k].split(), k=draw.randint(1, 4))) for _ in range(n))
+
+    labelled = spark.createDataFrame([(text(k, 80), k) for k in syllables for _ in range(60)], "text string, lang string")
+    strange = ["Tämä on suomenkielinen teksti joka kertoo pitkästä talvesta ja kesästä järven rannalla missä ihmiset viettävät aikaa",
+               "これは日本語の文章です。長い冬と短い夏について書かれています。", "Это русский текст о долгой зиме и коротком лете у озера",
+               "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=200)), "qwzx " * 40]
+    rows = [(i, t, draw.choice(list(syllables)), "h.org") for i, t in enumerate(strange)]
+    rows += [(100 + i, text(k, n), k, "h.org") for i, (k, n) in enumerate([(k, n) for k in syllables for n in (1, 2, 5, 30, 300)])]
+    table = spark.createDataFrame(rows, "id long, text string, declared string, host string")
+    got = langid.identify(table, langid.learn_profiles(labelled), ["id"], F.col("text"), F.col("host"), F.col("declared"))
+    found = {r.id: r.language for r in got.collect()}
+    assert all(found[i] == "und" for i in range(len(strange))) and all(found[r[0]] == r[2] for r in rows if r[0] >= 100)
+    nothing = langid.learn_profiles(labelled.where("false"))
+    assert {r.language for r in langid.identify(table, nothing, ["id"], F.col("text")).collect()} == {"und"}
+
+
 def test_evidence_decides_a_short_text(spark):
     """A text of one shared letter follows its declared language and host."""
     labelled = spark.createDataFrame([("aa bb cc " * 20, "x"), ("aa dd ee " * 20, "y")] * 20, "text string, lang string")
