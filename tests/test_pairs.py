@@ -238,3 +238,22 @@ def test_report_population_and_gap(spark, pair):
     none = agreement.labelled_run(table(spark, [pair]).where("false"), AS_OF, lambda df, n: df)
     assert agreement.quality_report(none).collect() == []
     assert [r.value for r in agreement.quality_report(run).where("section = 'llm_judge'").collect()] == []
+
+
+def test_pairs_join_flat_rows_and_nest_them_afterwards(spark, tmp_path):
+    from assaykit.operators.generation import assemble_pairs
+    from assaykit.plans.pair_view import CREATED, jobs, pairs, resumes
+
+    spark.createDataFrame(
+        [(i, i % 5 or None, "OFP"[i % 3], "1996-01-02", "3-MEDIUM") for i in range(1, 40)] + [(7, 2, "O", None, "2-HIGH")],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        [(1, "a", "BUILDING", 3), (2, "b", "MACHINERY", 0), (2, "c", None, 1), (None, "d", "BUILDING", 1), (41, "e", "BUILDING", 2)],
+        "c_custkey bigint, c_name string, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = pairs(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "struct(contact" in above and "struct(" not in below
+    whole = assemble_pairs(resumes(spark, str(tmp_path)), jobs(spark, str(tmp_path)), "job_key", CREATED)
+    assert got.schema == whole.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() > 8
