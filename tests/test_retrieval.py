@@ -388,3 +388,20 @@ def test_grid_with_own_questions_and_times(spark):
         parts = by[c.label, "bm25"].avg_retrieval_time + by[c.label, "vector"].avg_retrieval_time
         assert by[c.label, "hybrid"].avg_retrieval_time == pytest.approx(parts)
         assert by[c.label, "bm25"].recall_at_5 > 0.7
+
+
+def test_index_files_hold_few_segments(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SEGMENT_DOCS", 5)
+    docs = spark.createDataFrame([(i, f"w{i} common") for i in range(100)], "doc_id int, text string").coalesce(1)
+    index = lexical.build_index(docs)
+    per_file = index.groupBy("_metadata.file_path").count().collect()
+    assert sum(r["count"] for r in per_file) == 20 and max(r["count"] for r in per_file) <= lexical.SEGMENTS_PER_FILE
+
+
+def test_minmax_scores_scale_every_document_of_a_query(spark, tmp_path):
+    from assaykit.plans.search import minmax_scores
+
+    spark.createDataFrame([(1, "apple")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "apple " + "pear " * i) for i in range(150)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["norm"] for r in minmax_scores(spark, str(tmp_path)).collect()}
+    assert len(got) == 150 and got[0] == 1.0 and got[149] == 0.0
