@@ -43,9 +43,9 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: str | T.StructT
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON record per line, NULL fields kept."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_records(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
+    """One JSON record per line, NULL fields kept. Compressed files (gzip, bzip2, ..) are read back like others."""
+    df.write.mode(mode).option("ignoreNullFields", "false").option("compression", compression).json(path)
 
 
 def summary_document(metrics: DataFrame) -> DataFrame:

@@ -309,3 +309,12 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Cluster())
+
+
+def test_arriving_pairs_are_compressed_records(spark, tmp_path):
+    from assaykit.sources import records
+
+    df = spark.createDataFrame([(i, None, "text") for i in range(10)], "a int, b string, c string")
+    records.write_records(df, f"{tmp_path}/r", compression="gzip")
+    assert list((tmp_path / "r").glob("*.json.gz"))
+    assert sorted(records.read_records(spark, f"{tmp_path}/r", "a int, b string, c string").collect()) == sorted(df.collect())
