@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import ascii_words, plain_names, prepare, text_bytes
+from assaykit.llm.common import ascii_words, plain_names, prepare, text_bytes, tidy
 from assaykit.llm.simhash import shingle_hashes
 
 SHINGLE = 5
@@ -181,5 +181,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
                     keep[[first + r[0] for r in index.search(texts, threshold)]] = False
                 yield batch.select(kept).filter(pa.array(keep))
 
-        left = source.mapInArrow(kernel, left.schema)
+        left = source.mapInArrow(tidy(kernel), left.schema)
     return left.toDF(*columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import kept_in_worker, prepare
+from assaykit.llm.common import kept_in_worker, prepare, tidy
 from assaykit.operators.hotkeys import fits_broadcast
 
 SEGMENT_IDS = 1 << 20
@@ -303,7 +303,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, id_col: str
         if doc_ids:
             yield segment()
 
-    ranged.select("_id", "_text").mapInArrow(kernel, SEGMENT).write.parquet(path)
+    ranged.select("_id", "_text").mapInArrow(tidy(kernel, keeps=True), SEGMENT).write.parquet(path)
 
 
 def in_file_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -373,4 +373,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     [doc_ids.values, pa.array(starts + base.as_py()), pa.array(ends - starts), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return bases.select("doc_ids", "ends", "ids", "base", "id_bytes").mapInArrow(kernel, READ)
+    return bases.select("doc_ids", "ends", "ids", "base", "id_bytes").mapInArrow(tidy(kernel), READ)

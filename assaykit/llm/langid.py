@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import plain_names, prepare, row_key, stored, text_bytes
+from assaykit.llm.common import plain_names, prepare, row_key, stored, text_bytes, tidy
 from assaykit.operators.hotkeys import fits_broadcast, spread_join
 
 CODES = 1 << 16
@@ -100,7 +100,7 @@ def learn_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text")
                                              names=["lang", "code", "n"])
 
     counts = np.zeros((len(languages), CODES), np.int64)
-    summed = rows.mapInArrow(kernel, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    summed = rows.mapInArrow(tidy(kernel), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     where = summed["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64)
     counts[where, summed["code"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
     return Profiles(languages, counts, np.array([shares[x] for x in languages]))
@@ -138,7 +138,7 @@ def read_likelihoods(rows: DataFrame, profiles: Profiles, markup: bool) -> DataF
                  pa.array([n for _, n in found], pa.int64())], names=[*keep, "ll", "n_grams"])
 
     schema = rows.select(*keep).schema.add("ll", T.ArrayType(T.DoubleType())).add("n_grams", "long")
-    return stored(source.mapInArrow(kernel, schema).withColumn("row", row_key()), "language-likelihoods")
+    return stored(source.mapInArrow(tidy(kernel), schema).withColumn("row", row_key()), "language-likelihoods")
 
 
 def _softmax(logs: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from assaykit.llm.common import ascii_words, discard, kept_in_worker, plain_names, prepare, row_key, stored, text_bytes
+from assaykit.llm.common import ascii_words, discard, plain_names, prepare, row_key, stored, text_bytes, tidy
 from assaykit.llm.components import components
 from assaykit.operators.hotkeys import fits_broadcast
 
@@ -87,7 +87,6 @@ def with_keys(docs: DataFrame, text: str, shingle: int, level: int) -> DataFrame
     names = schema.names
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_in_worker("near_copies")
         hashes = _WordHashes()
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle, hashes) for t in batch.column("_text")]
@@ -98,7 +97,7 @@ def with_keys(docs: DataFrame, text: str, shingle: int, level: int) -> DataFrame
                        pa.array(np.array([len(s) for s in sets], np.int64)), _lists(keys), pa.array(map(sketch, lows), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(kernel, schema)
+    return source.mapInArrow(tidy(kernel), schema)
 
 
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -116,7 +115,7 @@ def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = pa.array((left == right).sum(1) >= LEAST_COMMON)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return stored(both.mapInArrow(kernel, "a long, b long"), "near-pairs")
+    return stored(both.mapInArrow(tidy(kernel), "a long, b long"), "near-pairs")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -133,7 +132,6 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
         some.select(F.col("row").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_in_worker("near_copies")
         hashes, last, left = _WordHashes(), None, None
         for batch in batches:
             close = []
@@ -146,7 +144,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             keep = pa.array(close, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    links = stored(both.mapInArrow(kernel, "a long, b long"), "near-links")
+    links = stored(both.mapInArrow(tidy(kernel), "a long, b long"), "near-links")
     discard(pairs)
     return links
 

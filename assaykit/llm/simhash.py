@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import ascii_words, prepare, stored, text_bytes
+from assaykit.llm.common import ascii_words, prepare, stored, text_bytes, tidy
 from assaykit.llm.components import components
 
 # Odd multipliers that derive further 64-bit hashes of a shingle from its first one.
@@ -76,7 +76,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shin
             columns = [batch.column(c) for c in keep] + [pa.array(prints[:, i]) for i in range(lanes)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f"f{i}" for i in range(lanes))])
 
-    return source.mapInArrow(kernel, schema)
+    return source.mapInArrow(tidy(kernel), schema)
 
 
 def distance(left: list[Column], right: list[Column]) -> Column:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from assaykit.llm import (
-    components, decontam, elias_fano, graph_search, langid, licenses, near_copies, pfair, secrets, simhash, suffix_tree, winnow,
+    common, components, decontam, elias_fano, graph_search, langid, licenses, near_copies, pfair, secrets, simhash, suffix_tree, winnow,
 )
 
 bpe = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -163,6 +163,21 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch, crowd):
     assert near_copies_left(spark, texts) == expected and len(close) >= 30
 
 
+def test_workers_give_memory_back(spark):
+    """A kernel starts without what another operator kept in the worker, and still hands on all its rows."""
+    def fill(batches):
+        common.kept_in_worker("other", 1, lambda: np.ones(10))
+        yield from batches
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._KEPT)] * batch.num_rows, pa.int64())], names=["kept"])
+
+    rows = spark.range(0, 100, 1, 1)
+    assert rows.mapInArrow(common.tidy(fill, keeps=True), "id long").count() == 100
+    assert {r.kept for r in rows.mapInArrow(common.tidy(left), "kept long").collect()} == {0}
+
+
 def test_near_copies_by_bands(spark):
     """Pairs just above and just below 0.8, from 5 to 300 words, and texts that only a much repeated line makes alike."""
     draw, texts = random.Random(4), {}
