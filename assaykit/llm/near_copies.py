@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of shingle sets: MinHash bands propose pairs, the whole texts decide."""
+"""Near copies by the Jaccard similarity of shingle sets: SimHash and MinHash bands propose pairs, the whole texts decide."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from assaykit.llm.common import ascii_words, discard, plain_names, prepare, row_key, stored, text_bytes, tidy
 from assaykit.llm.components import components
+from assaykit.llm.simhash import near_duplicates
 from assaykit.operators.hotkeys import fits_broadcast
 
 # Two sets of similarity 0.8 share none of 25 bands of 5 values with probability (1 - 0.8^5)^25 = 5 in 100,000.
@@ -160,21 +161,32 @@ def _in_common(keys: DataFrame) -> DataFrame:
     return stored(keys.join(low.hint("merge"), "k").select("k", "v.*", "low"), "near-keys")
 
 
-def set_links(nodes: DataFrame, texts: DataFrame, shingle: int) -> list[DataFrame]:
+def simhash_links(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Stored links ``(a, b)`` of 0.8 and more among ``nodes`` that their SimHash fingerprints propose.
+
+    Each node is compared with the smallest one of its class of fingerprints. Texts that differ in a word or two meet here.
+    """
+    some = texts.select("row", "t").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    found = near_duplicates(some, "row", "t").where(F.col("row") != F.col("component_id"))
+    return verified(found.select(F.col("component_id").alias("a"), F.col("row").alias("b")), texts, shingle)
+
+
+def set_links(nodes: DataFrame, texts: DataFrame, shingle: int, known: list[DataFrame]) -> list[DataFrame]:
     """Stored links ``(a, b)`` of 0.8 and more among ``nodes`` (node, n, keys), whose components are those of all candidates.
 
-    Candidates are nodes that share a band. First each is compared with the smallest node of its key, which joins most of a group
+    They begin with the ``known`` ones, whose pairs are not compared again. Candidates are nodes that share a band. First each is compared with the smallest node of its key, which joins most of a group
     of copies without making pairs of it. A key that still holds several components is compared in full, but for pairs of one
     component, if it has up to ``CROWD`` rows; the nodes of a larger one get bands of other MinHash values and only those that
     share one of these too meet again, which a pair of 0.8 misses as rarely as before. Keys of the last level are compared in
     full, whatever their number: texts there agree in three times five MinHash values.
     """
-    links: list[DataFrame] = []
+    links = list(known)
     keys = nodes.select("node", "n", F.explode("keys").alias("k"))
     for level in range(1, LEVELS + 1):
         shared = _in_common(keys)
         first = shared.where((F.col("node") != F.col("low.node")) & _sizes_allow("n", "low.n"))
-        links.append(verified(first.select(F.col("low.node").alias("a"), F.col("node").alias("b")), texts, shingle))
+        first = first.select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+        links.append(verified(first.join(_all(links), ["a", "b"], "left_anti") if links else first, texts, shingle))
         roots = components(_all(links))
         rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -209,7 +221,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """``docs`` with one document of each group of near copies: the one with the smallest id (null last), all columns as they were.
 
     Near copies have a Jaccard similarity of 0.8 or more over their distinct runs of ``shingle`` words; a group is what is
-    reachable over such pairs. A pair of exactly 0.8 is proposed with a probability of 0.99995, closer ones more surely, and each
+    reachable over such pairs. SimHash proposes first; bands of MinHash propose what differs in more than its two bits. A pair of exactly 0.8 is proposed with a probability of 0.99995, closer ones more surely, and each
     link is verified on the whole texts. Texts with equal sets and repeated rows are one node; texts without words are copies
     of each other, null counts as empty. An empty table gives an empty table.
     """
@@ -218,7 +230,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     held = stored(with_keys(plain, at[text], shingle, 0).withColumn("row", row_key()), "near-held")
     nodes = stored(held.groupBy("s0", "s1").agg(F.min("row").alias("node")), "near-nodes")
     ones = held.select(F.col("row").alias("node"), "n", "keys").join(nodes.select("node"), "node", "left_semi")
-    links = set_links(ones, held.select("row", F.col(at[text]).alias("t"), "sketch"), shingle)
+    texts = held.select("row", F.col(at[text]).alias("t"), "sketch")
+    links = set_links(ones, texts, shingle, [simhash_links(nodes, texts, shingle)])
     roots = components(_all(links))
     rooted = nodes.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
     rows = held.select("row", F.col(at[id_col]).alias("_id"), "s0", "s1").join(rooted, ["s0", "s1"]).select("row", "_id", "root")

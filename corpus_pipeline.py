@@ -32,8 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words a shingle, similarity of 0.8 and more): that of the smallest id.
 
-    A null text is empty, texts without words are copies of each other, repeated rows too. SimHash bits cannot tell a similarity
-    of 0.8, so candidates come from MinHash bands instead; every link is verified on the whole texts.
+    A null text is empty, texts without words are copies of each other, repeated rows too. Pairs come from SimHash (operator 7) and,
+    as its two bits cannot tell a similarity of 0.8, from MinHash bands besides; every link is verified on the whole texts.
     """
     return near_copies.drop_near_copies(docs)
 

@@ -163,6 +163,16 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch, crowd):
     assert near_copies_left(spark, texts) == expected and len(close) >= 30
 
 
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """SimHash alone finds a long text that differs in its last word; two bits do not stand for 0.8, which the texts decide."""
+    monkeypatch.setattr(near_copies, "set_links", lambda nodes, texts, shingle, known: known)
+    texts = {i: " ".join(words(2000, 40 + i, 10**6)) for i in range(3)}
+    texts |= {10: texts[0] + " end", 11: texts[1], 12: "a b c d", 13: "a b c d e"}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3))[0] for i, t in texts.items()}
+    assert ((prints[0] ^ prints[10]) % 2**64).bit_count() <= 2
+    assert near_copies_left(spark, texts) == {0, 1, 2, 12, 13}
+
+
 def test_workers_give_memory_back(spark):
     """A kernel starts without what another operator kept in the worker, and still hands on all its rows."""
     def fill(batches):
