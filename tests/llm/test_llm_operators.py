@@ -610,6 +610,34 @@ def test_network_learns_and_keeps_recall():
     assert p[y[test] == 1].mean() >= 0.98 and p[y[test] == 0].mean() <= 0.02
 
 
+def test_network_is_trained_on_every_token(spark, monkeypatch):
+    """Beyond what one place takes, gradients and the threshold come from all tokens where they lie."""
+    monkeypatch.setattr(secrets, "BATCHES", 4)
+    draw = random.Random(4)
+    found = ["".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(400)]
+    other = ["".join(draw.choice(["th", "er", "on", "an", "re"]) for _ in range(12)) for _ in range(400)]
+    rows = [(p, y) for y, some in ((1, found), (0, other)) for t in some for _, _, p in secrets.candidates(f"some text {t} follows")]
+    tokens = spark.createDataFrame(rows, "picture string, label int").repartition(3)
+    x, y = secrets.encode([p for p, _ in rows]), np.array([y for _, y in rows])
+
+    table = secrets.token_table(tokens)
+    assert table.count() == len(rows) and table.select("batch").distinct().count() == 4
+    net = secrets.CharNet()
+    sums, n = secrets.gradient_sum(table, net, (2.0, 0.5))
+    both, labels = np.concatenate([x, secrets._blanked(x)]), np.concatenate([y, y])
+    whole = net._gradients(both, labels, np.where(labels == 1, 2.0, 0.5))
+    assert n == 2 * len(rows) and all(np.allclose(sums[k] / n, whole[k]) for k in whole)
+
+    values = [draw.choice([draw.gauss(0, 1), 0.5, 1e9]) for _ in range(500)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(secrets.kth_smallest(frame, "v", k, 20) == sorted(values)[k] for k in (0, 10, 250, 499))
+
+    read = tokens.select(F.array(F.struct("picture", "label")).alias("tokens"))
+    net = secrets.train(read, driver_tokens=100)
+    passed = net.probabilities(x) >= net.threshold
+    assert passed[y == 1].mean() >= 0.97 and passed[y == 0].mean() <= 0.03
+
+
 # --- language
 
 
