@@ -18,7 +18,7 @@ from assaykit.operators.hotkeys import fits_broadcast
 
 # Two sets of similarity 0.8 share none of 25 bands of 5 values with probability (1 - 0.8^5)^25 = 5 in 100,000.
 BANDS, ROWS = 25, 5
-LEVELS, CROWD = 3, 64
+CROWD = 8
 # A pair of 0.8 has 100 of 125 values in common, give or take 4.5, and fewer than 78 once in a million times.
 LEAST_COMMON = 78
 KNOWN_WORDS = 200_000
@@ -150,15 +150,42 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return links
 
 
-def _sizes_allow(left: str, right: str) -> Column:
-    return 5 * F.least(left, right) >= 4 * F.greatest(left, right)
+def _may_reach(left: Column, right: Column, sizes: Column) -> Column:
+    """Whether sets of ``sizes`` values in all, of which ``left`` and ``right`` at most can be common ones, may have a similarity of 0.8."""
+    return 9 * F.least(left, right) >= 4 * sizes
 
 
 def _in_common(keys: DataFrame) -> DataFrame:
-    """The rows of keys that several nodes have, with ``low``, the smallest of each key."""
-    keys = keys.select("k", F.struct("node", "n").alias("v")).repartition("k")  # the counts and the join read one shuffle
-    low = keys.groupBy("k").agg(F.min("v").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return stored(keys.join(low.hint("merge"), "k").select("k", "v.*", "low"), "near-keys")
+    """The rows of keys that several nodes have, with ``low``, the node of each key with the least ``own`` (the smallest of these), and ``c``, their number."""
+    keys = keys.select("k", F.struct("own", "node", "n", "rest").alias("v")).repartition("k")  # the counts and the join read one shuffle
+    low = keys.groupBy("k").agg(F.min("v").alias("low"), F.count("*").alias("c")).where("c > 1")
+    return stored(keys.join(low.hint("merge"), "k").select("k", "v.*", "low", "c"), "near-keys")
+
+
+def prefix_keys(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, n, own, k, rest): the rarest shingles of each of ``nodes`` (node, n), one of which any pair of 0.8 has in common.
+
+    Shingles are ordered by the number of ``nodes`` that have them, then by hash. Two sets of 0.8 share four fifths of either, so the first
+    shingle they share is among the first ``n // 5 + 1`` of both; ``rest``, the shingles from it on, bounds what they share. Shingles of one
+    node (``own`` of them) come first and are shared by no pair: they use the places up and need no rows. A text with more than a fifth of them has none.
+    """
+    source = texts.select("row", "t").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, hashes) for t in batch.column("t")]
+            sizes = pa.array(np.array([len(s) for s in sets], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), sizes, _lists([s.view(np.int64) for s in sets])], names=["node", "n", "s"])
+
+    each = source.mapInArrow(tidy(kernel), "node long, n long, s array<long>").select(F.explode("s").alias("k"), F.struct("node", "n").alias("v"))
+    each = each.repartition("k")  # as in _in_common
+    seen = each.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("k", "c")
+    rare = each.join(seen.hint("merge"), "k").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c", "k"))).alias("s")).select("v.*", "s")
+    own = (F.col("n") - F.size("s")).cast("long")
+    places = F.greatest(F.floor(F.col("n") / 5) + 1 - own, F.lit(0)).cast("int")
+    first = rare.select("node", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), places)).alias("at", "v"))
+    return first.select("node", "n", "own", "v.k", (F.col("n") - F.col("own") - F.col("at")).alias("rest"))
 
 
 def simhash_links(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -171,42 +198,48 @@ def simhash_links(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     return verified(found.select(F.col("component_id").alias("a"), F.col("row").alias("b")), texts, shingle)
 
 
+def _joined(keys: DataFrame, texts: DataFrame, shingle: int, links: list[DataFrame], most: int | None) -> DataFrame:
+    """Add to ``links`` those among nodes that share a key, keys of more than ``most`` rows by one node only.
+
+    ``keys`` has (node, n, own, k, rest). First each node is compared with the ``low`` one of its key, the text that has least alone, which
+    joins most of a group of copies without making pairs of it. A key that still holds several components is compared in full, but for pairs of one
+    component. Returns the stored rows of such keys.
+    """
+    shared = _in_common(keys)
+    first = shared.where((F.col("node") != F.col("low.node")) & _may_reach(F.col("rest"), F.col("low.rest"), F.col("n") + F.col("low.n")))
+    first = first.select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    links.append(verified(first.join(_all(links), ["a", "b"], "left_anti") if links else first, texts, shingle))
+    roots = components(_all(links))
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    rooted = stored(rooted.join(mixed, "k"), "near-mixed")
+    discard(shared)
+    few = rooted if most is None else rooted.where(F.col("c") <= most)
+    left, right = (few.select("k", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("rest").alias(f"{x}rest"),
+                              F.col("root").alias(f"{x}r"), F.col("low.node").alias(f"{x}low")) for x in "ab")
+    found = left.join(right.drop("blow"), "k").where(
+        (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & (F.col("a") != F.col("alow"))
+        & _may_reach(F.col("arest"), F.col("brest"), F.col("an") + F.col("bn")))
+    links.append(verified(found.select("a", "b"), texts, shingle))
+    return rooted
+
+
 def set_links(nodes: DataFrame, texts: DataFrame, shingle: int, known: list[DataFrame]) -> list[DataFrame]:
     """Stored links ``(a, b)`` of 0.8 and more among ``nodes`` (node, n, keys), whose components are those of all candidates.
 
-    They begin with the ``known`` ones, whose pairs are not compared again. Candidates are nodes that share a band. First each is compared with the smallest node of its key, which joins most of a group
-    of copies without making pairs of it. A key that still holds several components is compared in full, but for pairs of one
-    component, if it has up to ``CROWD`` rows; the nodes of a larger one get bands of other MinHash values and only those that
-    share one of these too meet again, which a pair of 0.8 misses as rarely as before. Keys of the last level are compared in
-    full, whatever their number: texts there agree in three times five MinHash values.
+    They begin with the ``known`` ones, whose pairs are not compared again. Candidates are nodes that share a band. A band of more
+    than ``CROWD`` nodes in several components is not compared in full: its nodes get the keys of ``prefix_keys``, counted among
+    them all, and those that share one of these meet again. That loses no pair of 0.8, and texts that differ in what each has
+    alone, however many they are and whatever else they share, do not meet.
     """
     links = list(known)
-    keys = nodes.select("node", "n", F.explode("keys").alias("k"))
-    for level in range(1, LEVELS + 1):
-        shared = _in_common(keys)
-        first = shared.where((F.col("node") != F.col("low.node")) & _sizes_allow("n", "low.n"))
-        first = first.select(F.col("low.node").alias("a"), F.col("node").alias("b"))
-        links.append(verified(first.join(_all(links), ["a", "b"], "left_anti") if links else first, texts, shingle))
-        roots = components(_all(links))
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        rooted = stored(rooted.join(mixed.where("lo < hi").select("k", "c"), "k"), "near-mixed")
-        discard(shared)
-        few = rooted.where(F.col("c") <= CROWD) if level < LEVELS else rooted
-        left, right = (few.select("k", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("root").alias(f"{x}r"),
-                                  F.col("low.node").alias(f"{x}low")) for x in "ab")
-        found = left.join(right.drop("blow"), "k").where(
-            (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & (F.col("a") != F.col("alow")) & _sizes_allow("an", "bn"))
-        links.append(verified(found.select("a", "b"), texts, shingle))
-        many = rooted.where(F.col("c") > CROWD)
-        if level == LEVELS or many.isEmpty():
-            discard(rooted)
-            return links
-        crowd = stored(many.select("node", "n", "k"), "near-crowd")
-        discard(rooted)
-        again = texts.select("row", "t").join(crowd.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-        again = with_keys(again, "t", shingle, level).select(F.col("row").alias("node"), "keys")
-        keys = crowd.join(again, "node").select("node", "n", F.explode(F.transform("keys", lambda x: F.xxhash64("k", x))).alias("k"))
+    keys = nodes.select("node", "n", F.lit(0).cast("long").alias("own"), F.col("n").alias("rest"), F.explode("keys").alias("k"))
+    rooted = _joined(keys, texts, shingle, links, CROWD)
+    crowd = stored(rooted.where(F.col("c") > CROWD).select("node", "n").distinct(), "near-crowd")
+    discard(rooted)
+    if not crowd.isEmpty():
+        discard(_joined(prefix_keys(crowd, texts, shingle), texts, shingle, links, None))
+    discard(crowd)
     return links
 
 

@@ -163,6 +163,23 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch, crowd):
     assert near_copies_left(spark, texts) == expected and len(close) >= 30
 
 
+def test_near_copies_of_one_passage_do_not_meet(spark, monkeypatch):
+    """Texts 0.65 to 0.75 alike by a common passage, and a few of 0.9: candidates grow with the texts, not with their square."""
+    met, likely = [], near_copies.likely
+    monkeypatch.setattr(near_copies, "likely", lambda pairs, texts: met.append(pairs.distinct().count()) or likely(pairs, texts))
+    passage, texts = words(160, 61, 10**6), {}
+    for i in range(300):
+        own = words(36 + i % 5, 7000 + i, 10**6)
+        texts[i] = " ".join([*passage, *own])
+        if i % 30 == 0:
+            texts[1000 + i] = " ".join([*passage, *own[:-4], "some", "other", "end"])
+    texts[2000] = " ".join(passage)
+    texts |= {2001 + i: " ".join([*passage, *words(3 + i, 8000 + i, 10**6)]) for i in range(12)}
+    expected, close = jaccard_groups(texts)
+    assert near_copies_left(spark, texts) == expected and len(close) >= 20
+    assert sum(met) < 10 * len(texts)
+
+
 def test_near_copies_by_simhash(spark, monkeypatch):
     """SimHash alone finds a long text that differs in its last word; two bits do not stand for 0.8, which the texts decide."""
     monkeypatch.setattr(near_copies, "set_links", lambda nodes, texts, shingle, known: known)
