@@ -180,6 +180,20 @@ def test_near_copies_of_one_passage_do_not_meet(spark, monkeypatch):
     assert sum(met) < 10 * len(texts)
 
 
+def test_suffix_tree_kernels():
+    """Ids, rarer tokens and found codes agree with plain loops, with and without an id for the end."""
+    texts = [[], [b"a"], [b"x", b"a", b"y", b"x"], [b"b", b"\xff"], []]
+    for known in ({b"a": 1, b"b": 2}, {suffix_tree.END: 0, b"a": 1, b"b": 2}):
+        x, first = suffix_tree.flatten(known, texts)
+        tokens = [[suffix_tree.END, *words, suffix_tree.END] for words in texts]
+        assert x.tolist() == [known.get(w, -1) for t in tokens for w in t] and first.tolist() == [0, 2, 5, 11, 15]
+        plain = [collections.Counter(w for w in t[1:] if w not in known) for t in tokens]
+        assert suffix_tree.rarer(x, first, texts) == plain
+    codes, wanted = np.array([2, 5, 9, 1 << 60]), np.array([9, -1, 2, 3, 1 << 60, 9, 10])
+    assert suffix_tree.find(codes, wanted).tolist() == [2, -1, 0, -1, 3, 2, -1]
+    assert suffix_tree.find(codes, wanted[:0]).tolist() == [] and suffix_tree.find(codes[:0], wanted).tolist() == [-1] * 7
+
+
 def test_near_copies_by_simhash(spark, monkeypatch):
     """SimHash alone finds a long text that differs in its last word; two bits do not stand for 0.8, which the texts decide."""
     monkeypatch.setattr(near_copies, "set_links", lambda nodes, texts, shingle, known: known)
