@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.functions.text import words
+from assaykit.operators.hooks import word_array, words_of
 from assaykit.operators.hotkeys import driver_blocks
 from assaykit.session import ship_package
 
@@ -95,13 +95,12 @@ def contains_text(items: DataFrame, docs: DataFrame, item: str = "query_id", doc
     spark = docs.sparkSession
     ship_package(spark)
     schema = T.StructType([T.StructField(item, items.schema[item].dataType), T.StructField(doc, docs.schema[doc].dataType)])
-    tokens = docs.select(doc, words(F.col(text)).alias("_w"))
-    wanted = items.select(item, words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    wanted = items.select(item, words_of(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     parts = []
     for block in driver_blocks(wanted, F.size("_w"), item_words):
         block = block.combine_chunks()
         shared = spark.sparkContext.broadcast((block.column(item).combine_chunks(), block.column("_w").combine_chunks()))
-        parts.append(tokens.mapInArrow(_matcher(shared, anchor, schema.names), schema))
+        parts.append(docs.select(doc, text).mapInArrow(_matcher(shared, anchor, schema.names), schema))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -112,7 +111,7 @@ def _matcher(shared, anchor: int, names: list[str]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                text, found = matcher.match(part.column(1))
+                text, found = matcher.match(word_array(part.column(1)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(found)), part.column(0).take(pa.array(text))], names=names)
 
     return kernel

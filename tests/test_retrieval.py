@@ -405,3 +405,51 @@ def test_minmax_scores_scale_every_document_of_a_query(spark, tmp_path):
     spark.createDataFrame([(i, "apple " + "pear " * i) for i in range(150)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["norm"] for r in minmax_scores(spark, str(tmp_path)).collect()}
     assert len(got) == 150 and got[0] == 1.0 and got[149] == 0.0
+
+
+def test_words_are_cut_alike_in_spark_and_in_the_kernels(spark):
+    from assaykit.functions.text import words
+
+    odd = ["A b_c  d1", "", None, "İstanbul ΑΣ ΑΣ. ß", "x\0y Z", "é—ü’s   ٣٤ 一二 ½ é", "\n\t", "¿Qué?\x85no\x1cyes"]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string").repartition(3)
+    rows = df.select("i", words(F.col("t")).alias("a"), hooks.words_of(F.col("t")).alias("b")).collect()
+    assert len(rows) == len(odd) and all((r.a or []) == r.b for r in rows)
+    plain = [t or "" for t in odd]
+    for texts in (plain, [t for t in plain if "\0" not in t], []):
+        assert hooks.word_lists(texts) == [hooks._WORD.findall(t.lower()) for t in texts]
+
+
+def test_a_vector_is_made_once(spark):
+    """Each chunk goes to each embedder once, however its vectors are filtered and searched."""
+    seen = {m: spark.sparkContext.accumulator(0) for m in ("a", "b")}
+
+    def counting(name, dim):
+        inner = hooks.hashed_terms(dim)
+
+        def embed(texts):
+            seen[name].add(len(texts))
+            return inner(texts)
+
+        return embed
+
+    docs = spark.createDataFrame([(i, f"w{i} v{i % 3} common") for i in range(40)], "id int, text string")
+    queries = spark.createDataFrame([(1, "w7 common")], "query_id int, text string")
+    q = queries.select("query_id", hooks.embed(F.col("text"), hooks.hashed_terms(8)).alias("embedding"))
+    d = docs.select("id", hooks.embed(F.col("text"), counting("a", 8)).alias("embedding"))
+    retrieval.vector_scores(q, d, 5, doc="id").collect()
+    assert seen["a"].value == 40
+    texts = docs.withColumnRenamed("id", "document_id")
+    config = DEFAULT_CONFIGS[0]  # one chunk a document
+    before = seen["a"].value
+    truth = lambda chunks: retrieval.contains_text(queries, chunks, doc="id")
+    got = experiments.run_grid(texts, queries, truth, [config], {m: counting(m, 8) for m in seen}, 5).collect()
+    assert len(got) == 6 and all(seen[m].value - (before if m == "a" else 0) < 40 + 10 for m in seen)
+
+
+def test_vectors_with_gaps_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (None, [1.0, 0.0]), (4, []), (5, [1.0, 0.0, 0.0]), (6, [0.0, 1.0])]
+    for kind in ("float", "double"):
+        docs = spark.createDataFrame(rows, f"doc_id int, embedding array<{kind}>").coalesce(1)
+        queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+        got = {(r.doc_id, r.score) for r in retrieval.vector_scores(queries, docs, 5).collect()}
+        assert got == {(1, 1.0), (6, 0.0)}
