@@ -453,3 +453,20 @@ def test_vectors_with_gaps_take_no_part(spark):
         queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
         got = {(r.doc_id, r.score) for r in retrieval.vector_scores(queries, docs, 5).collect()}
         assert got == {(1, 1.0), (6, 0.0)}
+
+
+def test_own_questions_embed_each_chunk_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        seen.add(len(texts))
+        return hooks.hashed_terms(8)(texts)
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(60))) for i in range(50)], "document_id int, text string")
+
+    def own(chunks):
+        rows = questions.question_set(chunks, lambda prompts, n: [p.split("\n")[1][:40] for p in prompts], 2, strata=("document_id",))
+        return rows.select("query_id", "text"), rows.select("query_id", "id")
+
+    rows = experiments.run_grid(docs, None, None, [DEFAULT_CONFIGS[0]], {"m": embedder}, 5, questions=own).collect()
+    assert len(rows) == 3 and 50 <= seen.value < 75  # a chunk a document, and two questions
